@@ -55,8 +55,9 @@ def compare(spark, con, sf_dir, name, build, sql):
     a, b = canonical(rows, df.columns), canonical(want, columns)
     if a == b:
         return took, len(rows), ""
-    extra = [x for x in a if x not in set(b)][:3]
-    lacking = [x for x in b if x not in set(a)][:3]
+    in_a, in_b = set(a), set(b)
+    extra = [x for x in a if x not in in_b][:3]
+    lacking = [x for x in b if x not in in_a][:3]
     return took, len(rows), f"{len(a)} vs {len(b)} rows; spark only {extra}; sql only {lacking}"
 
 

@@ -221,7 +221,7 @@ RELATIONS: dict[str, str] = {
 _SHOW = {
     "s": "cast({c} AS varchar)",
     "i": "cast({c} AS bigint)",
-    "d": "round(cast({c} AS double), 6)",
+    "d": "round(cast({c} AS double), 6) + 0.0",  # no negative zero
     "t": "strftime(cast({c} AS date), '%Y-%m-%d')",
     "z": "strftime(cast({c} AS timestamp), '%Y-%m-%d %H:%M:%S')",
 }
