@@ -21,63 +21,88 @@ QI_MIN = 1e-9
 
 # --- end of fixed values --------------------------------------------------------
 
-_B_GRID = np.concatenate([[B_RANGE[0]], np.linspace(0.1, 1.0, 10)])
-_DI_GRID = np.concatenate([[DI_RANGE[0]], np.logspace(-4, 1, 41)])
-_STARTS = 4
+_B_GRID = np.array([B_RANGE[0], 0.25, 0.5, 0.75, 1.0])
+_LOG_DI_GRID = np.log(np.concatenate([[DI_RANGE[0]], np.logspace(-4, 1, 26)]))
+_CELLS = np.array([(b, d) for b in _B_GRID for d in _LOG_DI_GRID])
+_LOW = np.array([np.log(QI_MIN), np.log(DI_RANGE[0]), B_RANGE[0]])
+_HIGH = np.array([np.inf, np.log(DI_RANGE[1]), B_RANGE[1]])
+_STARTS = 3
 _STEPS = 40
+_WELLS_AT_ONCE = 64
 
 
-def _shape(t: np.ndarray, di: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.exp(-np.log1p(b * di * t) / b)
+def _curve(log_di: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Decline shape per unit of qi, for (wells, candidates) parameters and (wells, months) t."""
+    return np.exp(-np.log1p(b[..., None] * np.exp(log_di)[..., None] * t[:, None, :]) / b[..., None])
 
 
-def _best_scale(f: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least-squares qi for each candidate shape, and its squared error."""
-    qi = np.maximum((f @ q) / np.maximum((f * f).sum(axis=-1), 1e-300), QI_MIN)
-    return qi, ((q - qi[..., None] * f) ** 2).sum(axis=-1)
+def _starting_points(t: np.ndarray, q: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The best cells of a coarse (b, di) grid; qi has a closed form in each."""
+    cells = np.broadcast_to(_CELLS, (len(t), *_CELLS.shape))
+    f = _curve(cells[..., 1], cells[..., 0], t) * used[:, None, :]
+    fq, ff = np.einsum("wct,wt->wc", f, q), np.maximum(np.einsum("wct,wct->wc", f, f), 1e-300)
+    best = np.argsort(-fq * fq / ff, axis=1, kind="stable")[:, :_STARTS]
+    qi = np.maximum(np.take_along_axis(fq / ff, best, axis=1), QI_MIN)
+    return np.stack([np.log(qi), _CELLS[best][..., 1], _CELLS[best][..., 0]], axis=-1)
 
 
-def fit_series(t: np.ndarray, q: np.ndarray) -> tuple[float, float, float, float]:
-    """(qi, di, b, squared error) of one well's producing months.
+def fit_series(t: np.ndarray, q: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """(qi, di, b, squared error) of several wells; ``used`` masks the padding.
 
-    qi has a closed form for any (di, b), so only two parameters are searched: a
-    coarse grid finds starting cells, then a pattern search halves its step
-    around each until it is far below the noise of monthly volumes.
+    Bounded least squares in (log qi, log di, b): damped Gauss-Newton steps from
+    the best grid cells, all wells and starts at once; a step that does not help
+    is taken back and damped more.
     """
-    b, log_di = (m.ravel() for m in np.meshgrid(_B_GRID, np.log(_DI_GRID)))
-    _, sse = _best_scale(_shape(t, np.exp(log_di)[:, None], b[:, None]), q)
-    best = np.argsort(sse, kind="stable")[:_STARTS]
-    b, log_di, sse = b[best], log_di[best], sse[best]
-    step_b, step_d = np.full(len(best), 0.1), np.full(len(best), np.log(10.0) / 8)
-    moves = np.array([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)], dtype=float)
-    low, high = np.log(DI_RANGE[0]), np.log(DI_RANGE[1])
+
+    def residual(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y = np.exp(at[..., 0, None]) * _curve(at[..., 1], at[..., 2], t) * used[:, None, :]
+        return y, q[:, None, :] - y
+
+    at = _starting_points(t, q, used)
+    y, r = residual(at)
+    sse = (r * r).sum(axis=-1)
+    damping = np.full(sse.shape, 1e-2)
     for _ in range(_STEPS):
-        try_b = np.clip(b[:, None] + moves[:, 0] * step_b[:, None], *B_RANGE)
-        try_d = np.clip(log_di[:, None] + moves[:, 1] * step_d[:, None], low, high)
-        _, errors = _best_scale(_shape(t, np.exp(try_d)[..., None], try_b[..., None]), q)
-        pick = errors.argmin(axis=1)
-        rows = np.arange(len(b))
-        better = errors[rows, pick] < sse
-        b = np.where(better, try_b[rows, pick], b)
-        log_di = np.where(better, try_d[rows, pick], log_di)
-        sse = np.where(better, errors[rows, pick], sse)
-        step_b, step_d = np.where(better, step_b, step_b / 2), np.where(better, step_d, step_d / 2)
-    k = int(sse.argmin())
-    di = float(np.exp(log_di[k]))
-    qi, _ = _best_scale(_shape(t, np.array([[di]]), b[k]), q)
-    return float(qi[0]), di, float(b[k]), float(sse[k])
+        b, s = at[..., 2, None], np.exp(at[..., 1, None]) * t[:, None, :]
+        grow = 1.0 + b * s
+        slopes = np.stack([y, -y * s / grow, y * (np.log1p(b * s) / b - s / grow) / b], axis=-1)
+        normal = np.einsum("wcti,wctj->wcij", slopes, slopes)
+        pull = np.einsum("wcti,wct->wci", slopes, r)
+        # a parameter pushed against its bound is held there while the others move
+        free = ~(((at <= _LOW) & (pull < 0)) | ((at >= _HIGH) & (pull > 0)))
+        normal, pull = normal * (free[..., None] & free[..., None, :]), pull * free
+        scale = np.maximum(np.einsum("wcii->wci", normal), 1e-12)
+        damped = normal + np.eye(3) * (damping[..., None] * scale)[..., None, :]
+        tried = np.clip(at + np.linalg.solve(damped, pull[..., None])[..., 0], _LOW, _HIGH)
+        y_new, r_new = residual(tried)
+        sse_new = (r_new * r_new).sum(axis=-1)
+        better = sse_new < sse
+        at = np.where(better[..., None], tried, at)
+        y, r = np.where(better[..., None], y_new, y), np.where(better[..., None], r_new, r)
+        sse = np.where(better, sse_new, sse)
+        damping = np.clip(np.where(better, damping / 5, damping * 4), 1e-12, 1e12)
+    rows, best = np.arange(len(t)), sse.argmin(axis=1)
+    log_qi, log_di, b = at[rows, best].T
+    return np.column_stack([np.exp(log_qi), np.exp(log_di), b, sse[rows, best]])
+
+
+def _padded(series: pd.Series) -> np.ndarray:
+    out = np.zeros((len(series), max(len(s) for s in series)))
+    for row, values in zip(out, series, strict=True):
+        row[: len(values)] = values
+    return out
 
 
 def _fit_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        fits = [
-            fit_series(np.asarray(t, dtype=float), np.asarray(q, dtype=float))
-            for t, q in zip(pdf["t"], pdf["q"], strict=True)
-        ]
-        out = pdf[["as_of_date", "well_id", "t0_month", "positive_months"]].copy()
-        for position, name in enumerate(("qi", "di", "b", "sse")):
-            out[name] = [fit[position] for fit in fits]
-        yield out
+        for start in range(0, len(pdf), _WELLS_AT_ONCE):
+            part = pdf.iloc[start : start + _WELLS_AT_ONCE]
+            t, q = _padded(part["t"]), _padded(part["q"])
+            with np.errstate(all="ignore"):  # a step that overflows is simply not taken
+                fits = fit_series(t, q, (q > 0).astype(float))
+            out = part[["as_of_date", "well_id", "t0_month", "positive_months"]].copy()
+            out[["qi", "di", "b", "sse"]] = fits
+            yield out
 
 
 def decline_inputs(series: DataFrame, cutoffs: Cutoffs, wells: DataFrame | None = None) -> DataFrame:
@@ -118,10 +143,18 @@ def decline_inputs(series: DataFrame, cutoffs: Cutoffs, wells: DataFrame | None
     )
 
 
+def _fit_tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def fit_declines(series: DataFrame, cutoffs: Cutoffs, wells: DataFrame | None = None) -> DataFrame:
     """Fitted parameters per (cutoff, well); wells with too few producing months are absent."""
     inputs = decline_inputs(series, cutoffs, wells).filter(F.col("positive_months") >= MIN_POSITIVE_MONTHS)
-    fits = inputs.mapInPandas(
+    # the fit costs CPU, not bytes: an explicit count keeps AQE from packing the
+    # small rows into a few tasks
+    spread = inputs.repartition(_fit_tasks(series), "as_of_date", "well_id")
+    fits = spread.mapInPandas(
         _fit_batches,
         "as_of_date date, well_id string, t0_month date, positive_months int, "
         "qi double, di double, b double, sse double",
