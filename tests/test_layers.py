@@ -95,6 +95,14 @@ def test_company_name_null_goes_last(spark):
     assert {r.company_id: r.company_name for r in ST.dim_company(df).collect()} == {"C": "A", "D": None}
 
 
+def test_company_names_are_hashed_before_any_sort(spark, tmp_path):
+    path = str(tmp_path / "silver")
+    spark.createDataFrame([("C", "A")], "company_id string, company_name string").write.parquet(path)
+    plan = ST.dim_company(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.split("\n") if "Sort" in line or "HashAggregate" in line]
+    assert "HashAggregate" in lines[-1] and "partial_count" in lines[-1]
+
+
 def test_top_wells_puts_wells_without_oil_last(silver, registry):
     rows = ST.top_wells_by_volume(ST.fact_production(silver), ST.dim_well(registry, silver)).orderBy("oil_volume_rank").collect()
     assert [(r.well_id, r.oil_volume_rank) for r in rows] == [("135204", 1), ("2", 2)]

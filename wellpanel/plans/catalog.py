@@ -24,6 +24,8 @@ from wellpanel.operators import typed as TY
 from wellpanel.operators.cutoffs import default_cutoff
 from wellpanel.operators.ordering import exact_quantiles, global_rank
 from wellpanel.plans import bindings as BD
+from wellpanel.plans import monthly as MO
+from wellpanel.plans import retraining as RT
 from wellpanel.schema import FEATURE_CONTRACT, FLUID_LABELS, MEASURES, NUMERIC, PRODUCTION_SCHEMA, TEXT
 from wellpanel.session import staging_path
 from wellpanel.sources import raw as RAW
@@ -78,7 +80,7 @@ class Panel:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return BD.raw_production(self.table("lineitem"), self.table("supplier"))
+        return BD.raw_production(BD.spread(self.table("lineitem")), self.table("supplier"))
 
     @cached_property
     def raw_registry(self) -> DataFrame:
@@ -633,7 +635,7 @@ def _(p):
 
 @query("a23_profile_documents")
 def _(p):
-    return Q.profile(p.table("documents").select("doc_id", "lang", "source", "n_chars"))
+    return Q.profile(p.table("documents"))
 
 
 # --- windows -------------------------------------------------------------------------------
@@ -1094,6 +1096,23 @@ def _(p):
     return R.well_list(p.wells)
 
 
+@query("b01_monthly_build")
+def _(p):
+    """The layered build twice: everything, then a rerun of the newest months and cutoffs."""
+    lake = MO.Lake(staging_path(p.spark, "lake"))
+    common = {"raw": p.raw, "raw_registry": p.raw_registry, "lake": lake, "checks": _silver_checks()}
+    MO.run_month(p.spark, version=0, run="first", cutoffs=EVALUATED[:3], **common)
+    MO.run_month(p.spark, version=1, run="second", cutoffs=EVALUATED[2:], start="2001-07-01", end="2001-12-01", **common)
+    stored = p.spark.read.parquet(lake.path("features", "well_features"))
+    return stored.select("feature_key", *FEATURE_CONTRACT)
+
+
+@query("b02_retraining")
+def _(p):
+    out = RT.retrain(p.feature_table.drop("feature_key"), p.fact, AS_OF, validation_cutoffs=3, purge_overlap=True, spec=SMALL_MODEL)
+    return out.backtest.metrics
+
+
 # --- request log --------------------------------------------------------------------------------------
 
 

@@ -598,7 +598,7 @@ ORACLES: dict[str, tuple[str, str]] = {
         "s:column_name i:row_count,null_count,distinct_count s:min_value,max_value",
     ),
     "a23_profile_documents": (
-        _profile("documents", {c: "s" for c in ("doc_id", "lang", "source", "n_chars")}),
+        _profile("documents", {c: "s" for c in ("doc_id", "text", "lang", "source", "n_chars")}),
         "s:column_name i:row_count,null_count,distinct_count s:min_value,max_value",
     ),
     "w01_latest_load": ("SELECT * FROM silver", "s:well_id t:production_month s:dlt_load_id,company_id d:oil_prod_m3,gas_prod_mm3,water_prod_m3"),
@@ -793,6 +793,7 @@ ORACLES: dict[str, tuple[str, str]] = {
         "i:request_id s:well_id i:points d:total t:first_date",
     ),
     "f23_well_list": ("SELECT well_id FROM dim_well", "s:well_id"),
+    "b01_monthly_build": ("SELECT * FROM features WHERE as_of_date IN (SELECT as_of_date FROM evaluated)", _FEATURES),
     "r01_arrivals": ("SELECT * FROM silver", _PRODUCTION),
     "r02_request_rate": (_RATE, "z:window_start,window_end s:handler i:requests d:rate_per_second"),
     "r02_request_rate_stream": (_closed(_RATE), "z:window_start,window_end s:handler i:requests d:rate_per_second"),
