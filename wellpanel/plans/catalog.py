@@ -128,13 +128,17 @@ class Panel:
 
     @cached_property
     def dataset(self) -> DataFrame:
-        return SV.training_dataset(self.feature_table, self.series, HORIZONS)
+        return SV.training_dataset(self.features, self.series, HORIZONS)
 
     @cached_property
-    def predictions(self) -> DataFrame:
-        """The supervised rows with a moving average as the judged model."""
+    def dataset_table(self) -> DataFrame:
+        return self.stage(self.dataset, "dataset")
+
+    def predicted(self, cutoffs: list[str]) -> DataFrame:
+        """Supervised rows of some cutoffs, with a moving average as the judged model."""
+        features = FT.well_features(self.fact, self.wells, cutoffs)
         guess = F.coalesce("oil_prod_m3_roll_mean_12m", "naive_forecast_m3", F.lit(0.0))
-        return self.dataset.withColumn("prediction_m3", guess)
+        return SV.training_dataset(features, self.series, HORIZONS).withColumn("prediction_m3", guess)
 
     @cached_property
     def log(self) -> DataFrame:
@@ -276,7 +280,7 @@ def _(p):
 @query("s15_json_report")
 def _(p):
     path = staging_path(p.spark, "report")
-    TB.write_json_report(SV.dataset_footprint(p.dataset), path)
+    TB.write_json_report(SV.dataset_footprint(p.dataset_table), path)
     back = p.spark.read.schema("rows long, wells long, cutoffs array<string>, horizons array<int>").json(path)
     return back.select(
         "rows", "wells", F.size("cutoffs").alias("n_cutoffs"), F.array_join("cutoffs", ",").alias("cutoffs"),
@@ -495,7 +499,7 @@ def _(p):
 
 @query("j13_align_denominators")
 def _(p):
-    test = p.predictions.filter(F.col("as_of_date") == AS_OF)
+    test = p.predicted([AS_OF])
     joined = M.with_mase(M.score_wells(test), M.observed_history(p.series, [AS_OF]))
     return joined.select("well_id", "model_mae_m3", "insample_naive_mae_m3", "months_observed", "mase")
 
@@ -572,13 +576,13 @@ def _(p):
 
 @query("a14_per_well_metrics")
 def _(p):
-    test = p.predictions.filter(F.col("as_of_date").isin(*EVALUATED))
+    test = p.predicted(EVALUATED)
     return M.per_well_metrics(test, M.observed_history(p.series, EVALUATED))
 
 
 @query("a15_pooled_metrics")
 def _(p):
-    return M.pooled_metrics(SV.temporal_split(p.predictions, AS_OF, validation_cutoffs=3))
+    return M.pooled_metrics(SV.temporal_split(p.stage(p.predicted(CUTOFFS), "predicted"), AS_OF, validation_cutoffs=3))
 
 
 @query("a16_quantiles")
@@ -591,14 +595,14 @@ def _(p):
 
 @query("a17_portfolio")
 def _(p):
-    wells = B.well_table(p.predictions.filter(F.col("as_of_date").isin(*EVALUATED)), p.series, EVALUATED, decline=False)
+    wells = B.well_table(p.predicted(EVALUATED), p.series, EVALUATED, decline=False)
     wells = p.stage(wells, "wells")
     return B.summarise(wells, B.metric_quantiles(wells)).select("as_of_date", "mase_median", "naive_mae_ratio", "model_mae_m3", "naive_mae_m3")
 
 
 @query("a18_coverage")
 def _(p):
-    wells = B.well_table(p.predictions.filter(F.col("as_of_date").isin(*EVALUATED)), p.series, EVALUATED, decline=False)
+    wells = B.well_table(p.predicted(EVALUATED), p.series, EVALUATED, decline=False)
     return B.coverage(wells).select(
         "as_of_date", "wells_in_test", "wells_eligible", "wells_excluded_short_history", "wells_mase_undefined"
     )
@@ -611,7 +615,7 @@ def _(p):
 
 @query("a20_dataset_footprint")
 def _(p):
-    foot = SV.dataset_footprint(p.stage(p.dataset, "dataset"))
+    foot = SV.dataset_footprint(p.dataset_table)
     return foot.select(
         "rows", "wells", F.array_join(F.col("cutoffs").cast("array<string>"), ",").alias("cutoffs"),
         F.array_join(F.col("horizons").cast("array<string>"), ",").alias("horizons"),
@@ -975,12 +979,12 @@ def _(p):
 
 @query("f12_temporal_split")
 def _(p):
-    return SV.temporal_split(p.dataset, AS_OF, validation_cutoffs=3).select("well_id", "as_of_date", "horizon", "split")
+    return SV.temporal_split(p.dataset_table, AS_OF, validation_cutoffs=3).select("well_id", "as_of_date", "horizon", "split")
 
 
 @query("f12_purged_split")
 def _(p):
-    split = SV.temporal_split(p.dataset, AS_OF, validation_cutoffs=3, purge_overlap=True)
+    split = SV.temporal_split(p.dataset_table, AS_OF, validation_cutoffs=3, purge_overlap=True)
     return split.groupBy("split", "as_of_date").agg(F.count(F.lit(1)).alias("n_rows"), F.max("target_month").alias("last_target"))
 
 
@@ -989,14 +993,14 @@ SMALL_MODEL = MD.ModelSpec(trees=5, depth=3)
 
 @query("f13_global_regression")
 def _(p):
-    rows = p.stage(SV.temporal_split(p.dataset, AS_OF), "split")
+    rows = p.stage(SV.temporal_split(p.dataset_table, AS_OF), "split")
     fitted = MD.fit(rows.filter("split = 'train'"), SMALL_MODEL)
     return MD.predict(fitted, rows.filter("split = 'test'")).select("well_id", "as_of_date", "horizon", "prediction_m3")
 
 
 @query("f14_batch_forecast")
 def _(p):
-    rows = p.stage(SV.temporal_split(p.dataset, AS_OF), "split")
+    rows = p.stage(SV.temporal_split(p.dataset_table, AS_OF), "split")
     fitted = MD.fit(rows.filter("split = 'train'"), MD.ModelSpec(kind="linear"))
     asked = p.requests.select("well_id", F.add_months("date_end", 0).alias("as_of_date")).filter("as_of_date >= date'1999-08-01'")
     return MD.forecast(fitted, p.feature_table, asked, 6)
@@ -1025,11 +1029,11 @@ def _(p):
 @query("f17_decline_mape")
 def _(p):
     fits = p.stage(D.fit_declines(p.series, [AS_OF]), "fits")
-    return D.decline_mape(p.dataset.filter(F.col("as_of_date") == AS_OF), fits)
+    return D.decline_mape(p.predicted([AS_OF]), fits)
 
 
 def _backtest(p: Panel, cutoffs: list[str], decline: bool) -> B.Backtest:
-    test = p.stage(p.predictions.filter(F.col("as_of_date").isin(*cutoffs)), "test")
+    test = p.stage(p.predicted(cutoffs), "test")
     return B.evaluate(test, p.series, cutoffs, decline=decline)
 
 
