@@ -38,6 +38,8 @@ GUARANTEED = 2 * CHUNKS - 1
 FARTHEST = 25
 #: Members and shingles of a block; a cell holds two blocks.
 BLOCK, BLOCK_WEIGHT = 256, 1 << 20
+#: Pairs of signatures that a task compares at once.
+PAIRS_AT_ONCE = 1 << 17
 
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 63, LENGTH, dtype=np.uint64)
@@ -111,76 +113,102 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _near_pairs(members: pd.DataFrame, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs this cell answers for: near signatures, sizes that allow a link, first shared slot here."""
-    signature = np.frombuffer(b"".join(members["signature"]), np.uint16).reshape(len(members), LENGTH)
-    size = members["n_shingles"].to_numpy()
-    block = members["block"].to_numpy()
-    slot = int(members["slot"].iloc[0])
-    across = members["i"].iloc[0] != members["j"].iloc[0]
-    left = np.flatnonzero(block == members["i"].iloc[0])
-    right = np.flatnonzero(block == members["j"].iloc[0])
-    pairs_a, pairs_b = [], []
-    for a in left:
-        others = right if across else right[right > a]
-        if not len(others):
-            continue
-        low, high = np.minimum(size[a], size[others]), np.maximum(size[a], size[others])
-        others = others[low >= ratio * high]
-        same = signature[others] == signature[a]
-        near = LENGTH - same.sum(axis=1) <= FARTHEST
-        others, same = others[near], same[near]
-        if not len(others):
+def _whole_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by cell, cut so that no cell spans two of them."""
+    rest = None
+    for batch in batches:
+        if not len(batch):
             continue
-        chunks = same[:, :INDEXED].reshape(-1, CHUNKS, CHUNK)
-        hits = chunks.sum(axis=2)
-        shared = (hits[:, :, None] - chunks >= CHUNK - 1).reshape(-1, INDEXED)
-        mine = shared.argmax(axis=1) == slot
-        pairs_a.append(np.full(int(mine.sum()), a))
-        pairs_b.append(others[mine])
-    if not pairs_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(pairs_a), np.concatenate(pairs_b)
+        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        own = rest[BY_CELL].to_numpy()
+        turns = np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1
+        if len(turns):
+            yield rest.iloc[: turns[-1]].reset_index(drop=True)
+            rest = rest.iloc[turns[-1] :].reset_index(drop=True)
+    if rest is not None:
+        yield rest
+
+
+def _near_pairs(members: pd.DataFrame, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions and distances of the pairs that each cell answers for: near signatures, sizes that allow a link,
+    and no earlier slot in common.  Pairs are formed ``PAIRS_AT_ONCE`` at a time."""
+    signature = np.frombuffer(b"".join(members["signature"]), np.uint16).reshape(len(members), LENGTH)
+    size, block, slot = (members[c].to_numpy() for c in ("n_shingles", "block", "slot"))
+    across = (members["i"] != members["j"]).to_numpy()
+    cell = members[BY_CELL].to_numpy()
+    turns = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1
+    ends = np.append(turns, len(members))
+    end = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
+    partners = end - np.arange(len(members)) - 1
+    total = np.cumsum(partners)
+    first = 0
+    while first < len(members):
+        done = total[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(total, done + PAIRS_AT_ONCE, side="right")))
+        own = partners[first:last]
+        a = np.repeat(np.arange(first, last), own)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own)
+        first = last
+        low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        able = (low >= ratio * high) & (~across[a] | (block[a] != block[b]))
+        a, b = a[able], b[able]
+        same = signature[a] == signature[b]
+        distance = LENGTH - same.sum(axis=1)
+        near = distance <= FARTHEST
+        a, b, same, distance = a[near], b[near], same[near, :INDEXED].reshape(-1, CHUNKS, CHUNK), distance[near]
+        shared = (same.sum(axis=2)[:, :, None] - same >= CHUNK - 1).reshape(-1, INDEXED)
+        mine = shared.argmax(axis=1) == slot[a] if len(a) else np.zeros(0, bool)
+        yield a[mine], b[mine], distance[mine]
 
 
 def _mark(ratio: float):
-    def mark(members: pd.DataFrame) -> pd.DataFrame:
-        a, b = _near_pairs(members, ratio)
-        return members.iloc[np.union1d(a, b)][["bucket", "slot", "i", "j", "block", "rep", "n_shingles", "signature"]]
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for members in _whole_cells(batches):
+            hit = np.zeros(len(members), bool)
+            for a, b, _ in _near_pairs(members, ratio):
+                hit[a] = hit[b] = True
+            yield members[hit]
 
     return mark
 
 
 def _confirm(percent: int):
-    def confirm(members: pd.DataFrame) -> pd.DataFrame:
-        a, b = _near_pairs(members, percent / 100)
-        signature = np.frombuffer(b"".join(members["signature"]), np.uint16).reshape(len(members), LENGTH)
-        order = np.argsort((signature[a] != signature[b]).sum(axis=1), kind="stable") if len(a) else []
-        sets = [np.frombuffer(x, np.uint64) for x in members["shingle_set"]]
-        rep = members["rep"].to_numpy()
-        parent = list(range(len(members)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        edges = []
-        for k in order:
-            x, y = int(a[k]), int(b[k])
-            if root(x) == root(y):
-                continue
-            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
-                parent[root(x)] = root(y)
-                edges.append((rep[x], rep[y]))
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for members in _whole_cells(batches):
+            sets = [np.frombuffer(x, np.uint64) for x in members["shingle_set"]]
+            rep = members["rep"].to_numpy()
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = parent.get(up, up)
+                    x = up
+                return x
+
+            edges = []
+            for a, b, distance in _near_pairs(members, percent / 100):
+                for k in np.argsort(distance, kind="stable"):
+                    x, y = int(a[k]), int(b[k])
+                    p, q = root(int(rep[x])), root(int(rep[y]))
+                    if p == q:
+                        continue
+                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                        parent[p] = q
+                        edges.append((rep[x], rep[y]))
+            yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     return confirm
 
 
+BY_CELL = ["bucket", "slot", "i", "j"]
 CELL = "bucket long, slot int, i int, j int, block int, rep long, n_shingles long, signature binary"
+CELL_COLUMNS = [c.split()[0] for c in CELL.split(", ")]
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    """The members of a cell follow each other within one partition."""
+    return rows.repartition(*BY_CELL).sortWithinPartitions(*BY_CELL, "rep").select(*CELL_COLUMNS, *[c for c in rows.columns if c not in CELL_COLUMNS])
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,14 +246,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", "slot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n_shingles", "signature")
     )
-    by_cell = ["bucket", "slot", "i", "j"]
-    marked = staged(cells.groupBy(*by_cell).applyInPandas(_mark(percent / 100), CELL), "marked")
+    marked = staged(_by_cell(cells).mapInPandas(_mark(percent / 100), CELL), "marked")
     wanted = marked.select("rep").distinct()
     sets = staged(
         narrow.join(wanted, narrow["doc_id"] == wanted["rep"], "left_semi").mapInArrow(_sets, "rep long, shingle_set binary").dropDuplicates(["rep"]),
         "sets",
     )
-    links = marked.join(sets, "rep").groupBy(*by_cell).applyInPandas(_confirm(percent), "a long, b long")
+    links = _by_cell(marked.join(sets, "rep")).mapInPandas(_confirm(percent), "a long, b long")
     linked = components(links)
     named = (
         classes.join(linked, classes["rep"] == linked["node"], "left")
