@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wellpanel.llm import minhash_hamming
+from wellpanel.llm import bpe_tree, language_hypervectors, minhash_hamming, quality_ftrl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_ftrl": quality_ftrl.op4_quality_ftrl,
     "op6_minhash_near_dedup": minhash_hamming.op6_minhash_near_dedup,
+    "op7_byte_bpe": bpe_tree.op7_byte_bpe,
+    "op9_language_hypervectors": language_hypervectors.op9_language_hypervectors,
 }
 
 ORACLE_SQL: dict[str, str] = {
