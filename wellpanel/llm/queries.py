@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wellpanel.llm import bpe_tree, language_hypervectors, minhash_hamming, quality_ftrl
+from wellpanel.llm import bpe_tree, language_hypervectors, minhash_hamming, quality_ftrl, source_mixing, url_templates, warc_zstd
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_templates": url_templates.op2_url_templates,
+    "op3_source_mixing": source_mixing.op3_source_mixing,
     "op4_quality_ftrl": quality_ftrl.op4_quality_ftrl,
     "op6_minhash_near_dedup": minhash_hamming.op6_minhash_near_dedup,
     "op7_byte_bpe": bpe_tree.op7_byte_bpe,
     "op9_language_hypervectors": language_hypervectors.op9_language_hypervectors,
+    "op10_warc_zstd": warc_zstd.op10_warc_zstd,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_templates": url_templates.SQL,
+    "op3_source_mixing": source_mixing.SQL,
     "op6_minhash_near_dedup": minhash_hamming.SQL,
+    "op10_warc_zstd": warc_zstd.SQL,
 }
