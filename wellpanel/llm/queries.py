@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wellpanel.llm import bpe_tree, language_hypervectors, minhash_hamming, quality_ftrl, source_mixing, url_templates, warc_zstd
+from wellpanel.llm import (
+    bpe_tree,
+    language_hypervectors,
+    minhash_hamming,
+    nn_descent,
+    quality_ftrl,
+    source_mixing,
+    topk_nra,
+    url_templates,
+    warc_zstd,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_nra": topk_nra.op1_topk_nra,
     "op2_url_templates": url_templates.op2_url_templates,
     "op3_source_mixing": source_mixing.op3_source_mixing,
     "op4_quality_ftrl": quality_ftrl.op4_quality_ftrl,
+    "op5_nn_descent": nn_descent.op5_nn_descent,
     "op6_minhash_near_dedup": minhash_hamming.op6_minhash_near_dedup,
     "op7_byte_bpe": bpe_tree.op7_byte_bpe,
     "op9_language_hypervectors": language_hypervectors.op9_language_hypervectors,
@@ -19,8 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_topk_nra": topk_nra.SQL,
     "op2_url_templates": url_templates.SQL,
     "op3_source_mixing": source_mixing.SQL,
+    "op5_nn_descent": nn_descent.SQL,
     "op6_minhash_near_dedup": minhash_hamming.SQL,
     "op10_warc_zstd": warc_zstd.SQL,
 }
