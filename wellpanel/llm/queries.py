@@ -14,6 +14,7 @@ from wellpanel.llm import (
     quality_ftrl,
     source_mixing,
     topk_nra,
+    toxic_crf,
     url_templates,
     warc_zstd,
 )
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nn_descent": nn_descent.op5_nn_descent,
     "op6_minhash_near_dedup": minhash_hamming.op6_minhash_near_dedup,
     "op7_byte_bpe": bpe_tree.op7_byte_bpe,
+    "op8_toxic_crf": toxic_crf.op8_toxic_crf,
     "op9_language_hypervectors": language_hypervectors.op9_language_hypervectors,
     "op10_warc_zstd": warc_zstd.op10_warc_zstd,
 }

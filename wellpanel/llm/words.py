@@ -86,6 +86,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the lower-cased bytes of each span."""
+    return span_hasher(data)(starts, ends)
+
+
+def span_hasher(data: np.ndarray):
+    """A function from spans of ``data`` to the hashes of their lower-cased bytes."""
     powers = _powers(_RADIX, len(data) + 1)
     terms = _LOWER[data].astype(np.uint64)
     terms += np.uint64(1)
@@ -93,7 +98,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     prefix = np.empty(len(data) + 1, np.uint64)
     prefix[0] = 0
     np.cumsum(terms, out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * _powers(_INVERSE, len(data) + 1)[starts])
+    inverse = _powers(_INVERSE, len(data) + 1)
+    return lambda starts, ends: mix64((prefix[ends] - prefix[starts]) * inverse[starts])
 
 
 def word_groups(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
