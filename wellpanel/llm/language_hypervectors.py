@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from wellpanel.llm.storage import fold, table
 from wellpanel.llm.words import row_groups, text_bytes
 
-DIMENSIONS = 4096
+DIMENSIONS = 2048
 SYMBOLS = 64
 CODES = SYMBOLS**3
 FOLDS, HELD_OUT = 4, 2
