@@ -18,22 +18,40 @@ from wellpanel.schema import (
 
 
 def _window_aggregates() -> list[Column]:
-    """Lags, means, deviations, slopes and zero counts as one conditional aggregation."""
+    """Lags, means, deviations, slopes and zero counts as one conditional aggregation.
+
+    Sums of decimals and integers are exact, so the order in which a shuffle delivers rows never shows; each
+    statistic divides once, at the end.
+    """
     month, as_of, y = F.col("production_month"), F.col("as_of_date"), F.col("y")
 
-    def within(k: int) -> Column:
-        return F.when(month >= F.add_months(as_of, -k), y)
+    def within(k: int, value: Column = y) -> Column:
+        return F.when((month >= F.add_months(as_of, -k)) & y.isNotNull(), value)
 
     # the slope is the same on any origin; months before the cutoff keep the numbers small
-    x = (month_index(month) - month_index(as_of)).cast("double")
+    x = month_index(month) - month_index(as_of)
+
+    def mean(k: int) -> Column:
+        return F.sum(within(k)).cast("double") / F.count(within(k))
+
+    def deviation(k: int) -> Column:
+        n, total = F.count(within(k)), F.sum(within(k))
+        spread = (n * F.sum(within(k, y * y)) - total * total).cast("double")
+        return F.when(n > 1, F.sqrt(spread / (n * (n - 1))))
+
+    def slope(k: int) -> Column:
+        n, total = F.count(within(k)), F.sum(within(k, x))
+        rise = (n * F.sum(within(k, x * y)) - total * F.sum(within(k))).cast("double")
+        return F.when(n > 1, rise / (n * F.sum(within(k, x * x)) - total * total))
+
     return [
         *[
-            F.max(F.when(month == F.add_months(as_of, -k), y)).alias(f"oil_prod_m3_lag_{k}m")
+            F.max(F.when(month == F.add_months(as_of, -k), y)).cast("double").alias(f"oil_prod_m3_lag_{k}m")
             for k in LAG_MONTHS
         ],
-        *[F.avg(within(k)).alias(f"oil_prod_m3_roll_mean_{k}m") for k in MEAN_MONTHS],
-        *[F.stddev_samp(within(k)).alias(f"oil_prod_m3_roll_std_{k}m") for k in STD_MONTHS],
-        *[F.regr_slope(within(k), x).alias(f"oil_prod_m3_trend_{k}m") for k in TREND_MONTHS],
+        *[mean(k).alias(f"oil_prod_m3_roll_mean_{k}m") for k in MEAN_MONTHS],
+        *[deviation(k).alias(f"oil_prod_m3_roll_std_{k}m") for k in STD_MONTHS],
+        *[slope(k).alias(f"oil_prod_m3_trend_{k}m") for k in TREND_MONTHS],
         F.count_if((y == 0) & (month >= F.add_months(as_of, -12))).alias("zero_months_12m"),
     ]
 
@@ -74,7 +92,7 @@ def _many_cutoffs(panel: DataFrame, cutoffs: Column) -> DataFrame:
 
 def history_features(fact: DataFrame, as_of_dates: Cutoffs = None) -> DataFrame:
     """Feature rows without static attributes, one per (well, cutoff) with any history."""
-    panel = fact.select("well_id", "production_month", F.col("oil_prod_m3").cast("double").alias("y"))
+    panel = fact.select("well_id", "production_month", F.col("oil_prod_m3").cast("decimal(16,6)").alias("y"))
     if is_single(as_of_dates):
         stats = _one_cutoff(panel, single_cutoff(fact, as_of_dates))
     else:

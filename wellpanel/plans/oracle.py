@@ -46,20 +46,33 @@ _LAGS = ", ".join(
 )
 
 
-def _within(k: int) -> str:
-    return f"CASE WHEN production_month >= as_of_date - INTERVAL {k} MONTH THEN y END"
+def _mean(k: int) -> str:
+    return f"cast(sum({_units(k, 'u')}) AS double) / 1e6 / count({_units(k, 'u')})"
+
+
+def _deviation(k: int) -> str:
+    n, u = f"count({_units(k, 'u')})", f"sum({_units(k, 'u')})"
+    return f"CASE WHEN {n} > 1 THEN sqrt(cast({n} * sum({_units(k, 'u * u')}) - {u} * {u} AS double) / 1e12 / ({n} * ({n} - 1))) END"
+
+
+def _slope(k: int) -> str:
+    n, x = f"count({_units(k, 'u')})", f"sum({_units(k, 'x')})"
+    rise = f"cast({n} * sum({_units(k, 'x * u')}) - {x} * sum({_units(k, 'u')}) AS double) / 1e6"
+    return f"CASE WHEN {n} > 1 THEN {rise} / ({n} * sum({_units(k, 'x * x')}) - {x} * {x}) END"
+
+
+def _units(k: int, of: str) -> str:
+    """Volumes in whole millionths (u) and months before the cutoff (x), so that all sums are exact."""
+    u, x = "cast(y * 1000000 AS hugeint)", "date_diff('month', as_of_date, production_month)"
+    value = {"u": u, "x": x, "u * u": f"{u} * {u}", "x * u": f"{x} * {u}", "x * x": f"{x} * {x}"}[of]
+    return f"CASE WHEN y IS NOT NULL AND production_month >= as_of_date - INTERVAL {k} MONTH THEN {value} END"
 
 
-# a slope needs two points; this engine answers NaN for one, the definition is NULL
 _WINDOWS = ", ".join(
     [
-        *[f"avg({_within(k)}) AS oil_prod_m3_roll_mean_{k}m" for k in (3, 6, 12)],
-        *[f"stddev_samp({_within(k)}) AS oil_prod_m3_roll_std_{k}m" for k in (6, 12)],
-        *[
-            f"CASE WHEN count({_within(k)}) >= 2 THEN regr_slope({_within(k)}, date_diff('month', as_of_date, production_month)) END "
-            f"AS oil_prod_m3_trend_{k}m"
-            for k in (6, 12)
-        ],
+        *[f"{_mean(k)} AS oil_prod_m3_roll_mean_{k}m" for k in (3, 6, 12)],
+        *[f"{_deviation(k)} AS oil_prod_m3_roll_std_{k}m" for k in (6, 12)],
+        *[f"{_slope(k)} AS oil_prod_m3_trend_{k}m" for k in (6, 12)],
     ]
 )
 
