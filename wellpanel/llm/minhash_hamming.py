@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellpanel.llm.components import components
@@ -38,6 +38,8 @@ GUARANTEED = 2 * CHUNKS - 1
 FARTHEST = 25
 #: Members and shingles of a block; a cell holds two blocks.
 BLOCK, BLOCK_WEIGHT = 256, 1 << 20
+#: Bits of the filter that spares other texts the shuffle before sets are built.
+FILTER_BITS = 1 << 23
 #: Pairs of signatures that a task compares at once.
 PAIRS_AT_ONCE = 1 << 17
 
@@ -113,6 +115,33 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _likely(wanted: DataFrame):
+    """A filter that passes all wanted ids and few others, so that other texts are not shuffled for the exact join.
+
+    Its FILTER_BITS bits are summed up by Spark; the driver sees at most FILTER_BITS / 32 numbers, whatever the table.
+    """
+    words = (
+        wanted.select(_place("rep")).groupBy(F.expr("shiftright(place, 5)").alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, place & 31))").alias("bits")).toArrow()
+    )
+    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    shared = wanted.sparkSession.sparkContext.broadcast(bits)
+
+    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            hit = bits[place >> 5] >> (place & 31).astype(np.uint32) & np.uint32(1)
+            yield batch.select(["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
+
+    return passes
+
+
+def _place(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)).cast("int").alias("place")
+
+
 def _whole_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Batches of rows sorted by cell, cut so that no cell spans two of them."""
     rest = None
@@ -247,9 +276,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         .select("bucket", "slot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n_shingles", "signature")
     )
     marked = staged(_by_cell(cells).mapInPandas(_mark(percent / 100), CELL), "marked")
-    wanted = marked.select("rep").distinct()
+    wanted = staged(marked.select("rep").distinct(), "wanted")
+    likely = narrow.filter("doc_id is not null").select("*", _place("doc_id")).mapInArrow(_likely(wanted), "doc_id long, text string")
     sets = staged(
-        narrow.join(wanted, narrow["doc_id"] == wanted["rep"], "left_semi").mapInArrow(_sets, "rep long, shingle_set binary").dropDuplicates(["rep"]),
+        likely.join(wanted, likely["doc_id"] == wanted["rep"], "left_semi").mapInArrow(_sets, "rep long, shingle_set binary").dropDuplicates(["rep"]),
         "sets",
     )
     links = _by_cell(marked.join(sets, "rep")).mapInPandas(_confirm(percent), "a long, b long")
@@ -268,14 +298,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each component of near duplicates; rows without an id stay."""
-    found = near_duplicates(docs)
-    ids = staged(
-        found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")), "kept"
+    """One row of ``docs`` for each component of near duplicates; rows without an id stay.
+
+    The ids that go are stored first, so that their size decides how they are joined.  Ids on several kept rows are
+    handled apart, and only if there are any.
+    """
+    ids = (
+        near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
+        .filter("not kept or times > 1")
     )
-    stay = docs.join(ids.filter("_kept and _rows = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(ids.filter("_kept and _rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(repeated).unionByName(docs.filter("doc_id is null"))
+    ids = staged(ids, "unkept")
+    gone = staged(ids.filter("not kept").select("doc_id"), "gone")
+    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = staged(ids.filter("kept").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return stay
+    once = stay.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return stay.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
