@@ -35,45 +35,42 @@ def months(first: str, last: str) -> list[dt.date]:
     return out
 
 
-def four_wells() -> list[tuple[str, dt.date, float]]:
-    """Mature decline with shut-ins, gaps with a stale tail, cold start, mostly zero."""
+#: The two cutoffs the feature fixture is built for.
+EARLIER, LATER = "2023-03-01", "2023-04-01"
+
+
+def own_wells() -> list[tuple[str, dt.date, float]]:
+    """Made-up series with four kinds of trouble: shut-ins, gaps and a stale tail, a cold start, mostly zero."""
     rows = []
-    volume = 1000.0
-    for m in months("2024-01", "2025-12"):
-        rows.append(("70001", m, 0.0 if m in (month("2024-07"), month("2025-03")) else volume))
-        volume -= 20
-    rows += [("70001", m, v) for m, v in zip(months("2026-01", "2026-03"), (530.0, 525.0, 520.0))]
-    gaps = {month(x) for x in ("2024-09", "2025-01")}
-    for i, m in enumerate(months("2024-06", "2025-10")):
-        if m not in gaps:
-            rows.append(("70002", m, 500.0 - 4 * i))
-    rows += [("70002", month("2026-01"), 430.0), ("70002", month("2026-03"), 420.0)]
-    rows += [("70003", m, v) for m, v in zip(months("2025-08", "2026-03"), (50.0, 60, 70, 80, 90, 95, 100, 105))]
-    alive = {month(x) for x in ("2024-04", "2024-10", "2025-04", "2025-10")}
-    rows += [("70004", m, 12.5 if m in alive else 0.0) for m in months("2024-01", "2026-03")]
-    return [(w, m, float(v)) for w, m, v in rows]
-
-
-STATICS = [
-    ("70001", "NEUQUINA", "LOMA NEGRA", "CONVENCIONAL"),
-    ("70002", "GOLFO SAN JORGE", "CERRO DRAGON", "CONVENCIONAL"),
-    ("70003", "NEUQUINA", "AGUADA PICHANA", "NO CONVENCIONAL"),
-    ("70004", "AUSTRAL", "CONDOR", "CONVENCIONAL"),
+    for i, m in enumerate(months("2021-01", "2023-06")):
+        idle = m in (month("2021-09"), month("2022-11"))
+        rows.append(("shutin", m, 0.0 if idle else 900.0 - 13 * i - (i % 4)))
+    for i, m in enumerate(months("2021-08", "2023-06")):
+        absent = m in {month(x) for x in ("2021-12", "2022-05", "2023-02", "2023-03", "2023-05")}
+        if not absent:
+            rows.append(("gaps", m, 400.0 - 6 * i + (i * i) % 5))
+    rows += [("young", m, 20.0 + 9 * i - i * i / 2) for i, m in enumerate(months("2022-11", "2023-06"))]
+    rows += [("idle", m, 8.25 if m.month in (3, 9) else 0.0) for m in months("2021-01", "2023-06")]
+    return rows
+
+
+OWN_STATICS = [
+    ("shutin", "NORTH", "FIELD A", "TIGHT"), ("gaps", "SOUTH", "FIELD B", "TIGHT"), ("young", "NORTH", "FIELD C", "SHALE"), ("idle", "WEST", "FIELD D", "TIGHT"),
 ]
 
 
 @pytest.fixture(scope="session")
 def series(spark):
-    return spark.createDataFrame(four_wells(), "well_id string, production_month date, oil_prod_m3 double").cache()
+    return spark.createDataFrame(own_wells(), "well_id string, production_month date, oil_prod_m3 double").cache()
 
 
 @pytest.fixture(scope="session")
 def statics(spark):
-    return spark.createDataFrame(STATICS, "well_id string, basin string, field string, resource_type string")
+    return spark.createDataFrame(OWN_STATICS, "well_id string, basin string, field string, resource_type string")
 
 
 @pytest.fixture(scope="session")
 def features(series, statics):
     from wellpanel.operators.features import well_features
 
-    return well_features(series, statics, ["2025-12-01", "2026-01-01"]).cache()
+    return well_features(series, statics, [EARLIER, LATER]).cache()

@@ -173,12 +173,12 @@ def test_drift_and_layers(spark):
 
 
 def test_training_frames_guard_empty_input(features, series):
-    f, s = TB.training_frames(features, series, "2025-12-01")
+    f, s = TB.training_frames(features, series, "2023-03-01")
     assert f.count() == 4 and s.count() == series.count()
     with pytest.raises(ValueError, match="no stored features"):
         TB.training_frames(features, series, "2020-01-01")
     with pytest.raises(ValueError, match="fact is empty"):
-        TB.training_frames(features, series.filter("false"), "2026-01-01")
+        TB.training_frames(features, series.filter("false"), "2023-04-01")
 
 
 def test_column_helpers(spark):

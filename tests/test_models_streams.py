@@ -33,15 +33,15 @@ def test_model_ignores_naive_and_target_and_is_repeatable(rows):
 
 
 def test_batch_forecast_maps_months(spark, rows, features):
-    asked = spark.createDataFrame([("70001", dt.date(2025, 12, 15)), ("70003", dt.date(2020, 1, 1))], "well_id string, as_of_date date")
+    asked = spark.createDataFrame([("shutin", dt.date(2023, 3, 15)), ("young", dt.date(2020, 1, 1))], "well_id string, as_of_date date")
     fitted = MD.fit(rows, LINEAR)
     out = MD.forecast(fitted, features.drop("feature_key"), asked, 5).collect()
     ok = sorted((r.horizon, str(r.month), r.extrapolated) for r in out if r.status == "ok")
-    assert ok == [(1, "2026-01-01", False), (2, "2026-02-01", False), (3, "2026-03-01", False), (4, "2026-04-01", True), (5, "2026-05-01", True)]
-    assert [(r.well_id, r.status) for r in out if r.status != "ok"] == [("70003", "missing")]
+    assert ok == [(1, "2023-04-01", False), (2, "2023-05-01", False), (3, "2023-06-01", False), (4, "2023-07-01", True), (5, "2023-08-01", True)]
+    assert [(r.well_id, r.status) for r in out if r.status != "ok"] == [("young", "missing")]
     with pytest.raises(ValueError):
         MD.forecast(fitted, features, asked, 13)
-    bad = spark.createDataFrame([("70001", dt.date(1850, 1, 1))], asked.schema)
+    bad = spark.createDataFrame([("shutin", dt.date(1850, 1, 1))], asked.schema)
     with pytest.raises(PySparkException, match="out of range"):
         MD.forecast(fitted, features.drop("feature_key"), bad, 1).collect()
 
@@ -60,8 +60,8 @@ def _versions(spark):
     )
 
 
-def _promote(spark, *events):
-    return spark.createDataFrame([(i, v) for i, v in enumerate(events)], "requested_at int, version string")
+def _promote(spark, *events, model="oil"):
+    return spark.createDataFrame([(i, model, v) for i, v in enumerate(events)], "requested_at int, model string, version string")
 
 
 def test_champion_moves_only_to_approved_versions(spark):
@@ -74,12 +74,22 @@ def test_champion_moves_only_to_approved_versions(spark):
     back = CH.current_champion(v, _promote(spark, "1", "3", "1")).first()
     assert back.version == "1" and back.rollback
     assert CH.current_champion(v, _promote(spark, "2")).count() == 0
-    CH.require_promotable(v, "1")
+    CH.require_promotable(v, "oil", "1")
     with pytest.raises(CH.NotApproved):
-        CH.require_promotable(v, "2")
+        CH.require_promotable(v, "oil", "2")
     for incomplete in ("5", "6", "7", "99"):
         with pytest.raises(CH.MissingMetadata):
-            CH.require_promotable(v, incomplete)
+            CH.require_promotable(v, "oil", incomplete)
+
+
+def test_versions_of_two_models_do_not_mix(spark):
+    v = _versions(spark)
+    both = v.unionByName(v.withColumn("model", F.lit("gas")).withColumn("registered_at", F.col("registered_at") + 10))
+    assert CH.registered_versions(both).count() == 2 * CH.registered_versions(v).count()
+    champions = CH.current_champion(both, _promote(spark, "1").unionByName(_promote(spark, "3", model="gas")))
+    assert {(r.model, r.version) for r in champions.collect()} == {("oil", "1"), ("gas", "3")}
+    with pytest.raises(CH.MissingMetadata):
+        CH.require_promotable(v, "gas", "1")
 
 
 def _checks():
@@ -142,11 +152,12 @@ def test_alert_needs_consecutive_breaches(spark):
     assert sorted(r.firing_at for r in fired) == [start + dt.timedelta(minutes=m) for m in (4, 5)]
 
 
-def test_stream_equals_batch_for_closed_windows(spark, tmp_path):
-    src, out = str(tmp_path / "log"), str(tmp_path / "out")
+def test_stream_equals_batch_over_several_deliveries(spark, tmp_path):
+    src, out, progress = (str(tmp_path / n) for n in ("log", "out", "progress"))
     log = _log(spark)
-    log.coalesce(1).write.parquet(src)
-    live = SM.request_rate(SM.watermarked(spark.readStream.schema(log.schema).parquet(src), "2 minutes"))
-    SM.run_to_parquet(live, out, str(tmp_path / "progress"))
-    closed = SM.request_rate(log).filter(F.col("window_end") <= F.lit("2024-01-01 10:07:40").cast("timestamp"))
-    assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, closed.collect()))
+    for part in ("request_id < 13", "request_id >= 13"):
+        log.filter(part).coalesce(1).write.mode("append").parquet(src)
+        live = SM.request_rate(SM.watermarked(spark.readStream.schema(log.schema).parquet(src), "2 minutes"))
+        SM.run_to_table(live, ["handler"], out, progress)
+    want = SM.request_rate(log)
+    assert sorted(map(tuple, spark.read.parquet(out).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))

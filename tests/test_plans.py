@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import own_wells
+from tests.plain import by_well, shift
 from tests.test_layers import REG_NAMES, frame, raw_row
 from wellpanel.operators import champion as CH
 from wellpanel.operators import model as MD
@@ -49,12 +52,19 @@ def test_monthly_build_upserts_and_blocks(spark, tmp_path):
 
 def test_retraining_chain(spark, features, series):
     stored = features.drop("feature_key")
-    out = retrain(stored, series, "2026-01-01", spec=MD.ModelSpec(kind="linear"))
+    out = retrain(stored, series, "2023-04-01", spec=MD.ModelSpec(kind="linear"))
     pooled = out.pooled.first()
-    assert (pooled.train_rows, pooled.validation_rows, pooled.test_rows) == (10, 0, 11)
-    assert pooled.naive_mae_m3 == pytest.approx((10 + 15 + 20 + 6 + 16 + 5 + 10 + 15) / 11)
-    assert out.footprint.first().rows == 21
-    history = run_record(out, model="oil", version="1", run_id="r1", registered_at=dt.datetime(2026, 2, 1))
+    earlier, cut = dt.date(2023, 3, 1), dt.date(2023, 4, 1)
+    wells = by_well(own_wells())
+
+    def observed(at):
+        return [(w, shift(at, h)) for w in wells for h in range(3) if shift(at, h) in wells[w]]
+
+    assert (pooled.train_rows, pooled.validation_rows, pooled.test_rows) == (len(observed(earlier)), 0, len(observed(cut)))
+    last = {w: known[max(m for m in known if m < cut)] for w, known in wells.items()}
+    assert pooled.naive_mae_m3 == pytest.approx(statistics.mean(abs(wells[w][m] - last[w]) for w, m in observed(cut)))
+    assert out.footprint.first().rows == len(observed(earlier)) + len(observed(cut))
+    history = run_record(out, model="oil", version="1", run_id="r1", registered_at=dt.datetime(2023, 5, 1))
     row = CH.with_decision(CH.registered_versions(history)).first()
     assert row.decision == ("promotable" if row.gates_passed else "rejected") and row.metrics["eval_wells_in_test"] == 4.0
     assert out.backtest.wells.filter(F.col("evaluable")).count() == 3

@@ -5,15 +5,13 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import EARLIER, LATER, own_wells
+from tests.plain import by_well, one_step_error, shift
 from wellpanel.operators import metrics as M
 from wellpanel.operators import supervised as SV
 
-NAIVE = {"70001": 540.0, "70002": 436.0, "70003": 90.0, "70004": 0.0}
-STEP_MAE = {"70001": 155.652174, "70002": 4.571429, "70003": 10.0, "70004": 4.347826}
-ACTUAL = {
-    ("70001", 1): 530.0, ("70001", 2): 525.0, ("70001", 3): 520.0, ("70002", 1): 430.0, ("70002", 3): 420.0,
-    ("70003", 1): 95.0, ("70003", 2): 100.0, ("70003", 3): 105.0, ("70004", 1): 0.0, ("70004", 2): 0.0, ("70004", 3): 0.0,
-}
+WELLS = by_well(own_wells())
+CUT = dt.date.fromisoformat(LATER)
 
 
 @pytest.fixture(scope="module")
@@ -21,13 +19,15 @@ def dataset(features, series):
     return SV.training_dataset(features, series, (1, 2, 3)).cache()
 
 
-def test_dataset_equals_expected_rows(dataset):
-    rows = dataset.filter("as_of_date = '2026-01-01'").collect()
-    assert {(r.well_id, r.horizon): r.oil_prod_m3_target for r in rows} == ACTUAL
-    assert all(r.naive_forecast_m3 == NAIVE[r.well_id] for r in rows)
-    assert all(r.target_month == dt.date(2026, r.horizon, 1) for r in rows)
+def test_dataset_equals_plain_python(dataset):
+    rows = dataset.filter(F.col("as_of_date") == LATER).collect()
+    want = {(w, h): known[shift(CUT, h - 1)] for w, known in WELLS.items() for h in (1, 2, 3) if shift(CUT, h - 1) in known}
+    assert {(r.well_id, r.horizon): r.oil_prod_m3_target for r in rows} == want
+    newest = {w: known[max(m for m in known if m < CUT)] for w, known in WELLS.items()}
+    assert all(r.naive_forecast_m3 == newest[r.well_id] for r in rows)
+    assert all(r.target_month == shift(CUT, r.horizon - 1) for r in rows)
     # an unobserved target month has no row at all
-    assert ("70002", 2) not in {(r.well_id, r.horizon) for r in rows}
+    assert ("gaps", 2) not in want
 
 
 def test_horizon_bounds(features, series):
@@ -52,35 +52,38 @@ def test_asof_keeps_null_of_last_row_unless_told(spark):
 
 
 def test_split_is_chronological(dataset):
-    split = SV.temporal_split(dataset, "2026-01-01")
+    split = SV.temporal_split(dataset, LATER)
     found = {(str(r.as_of_date), r.split) for r in split.select("as_of_date", "split").distinct().collect()}
-    assert found == {("2025-12-01", "train"), ("2026-01-01", "test")}
-    with pytest.raises(ValueError, match="no dataset rows"):
-        SV.temporal_split(dataset, "2026-02-01")
-    with pytest.raises(ValueError, match="no training cutoffs"):
-        SV.temporal_split(dataset, "2025-12-01")
-    with pytest.raises(ValueError, match="no training cutoffs"):
-        SV.temporal_split(dataset, "2026-01-01", validation_cutoffs=1)
+    assert found == {(EARLIER, "train"), (LATER, "test")}
+    with pytest.raises(ValueError, match="nothing to evaluate"):
+        SV.temporal_split(dataset, "2023-05-01")
+    with pytest.raises(ValueError, match="nothing to train on"):
+        SV.temporal_split(dataset, EARLIER)
+    with pytest.raises(ValueError, match="nothing to train on"):
+        SV.temporal_split(dataset, LATER, validation_cutoffs=1)
 
 
 def test_purge_drops_training_targets_of_the_tested_period(dataset):
-    plain = SV.temporal_split(dataset, "2026-01-01").filter("split = 'train'")
-    purged = SV.temporal_split(dataset, "2026-01-01", purge_overlap=True).filter("split = 'train'")
-    assert plain.filter("target_month >= '2026-01-01'").count() == 7
-    assert plain.count() == 10 and purged.count() == 3
+    plain = SV.temporal_split(dataset, LATER).filter("split = 'train'")
+    purged = SV.temporal_split(dataset, LATER, purge_overlap=True).filter("split = 'train'")
+    earlier = shift(CUT, -1)
+    kept = [(w, h) for w, known in WELLS.items() for h in (1, 2, 3) if shift(earlier, h - 1) in known]
+    inside = [(w, h) for w, h in kept if h > 1]
+    assert plain.filter(F.col("target_month") >= LATER).count() == len(inside)
+    assert plain.count() == len(kept) and purged.count() == len(kept) - len(inside)
 
 
 def test_footprint(dataset):
     r = SV.dataset_footprint(dataset).first()
-    assert (r.rows, r.wells, r.horizons) == (21, 4, [1, 2, 3])
-    assert [str(c) for c in r.cutoffs] == ["2025-12-01", "2026-01-01"]
+    assert (r.rows, r.wells, r.horizons) == (dataset.count(), 4, [1, 2, 3])
+    assert [str(c) for c in r.cutoffs] == [EARLIER, LATER]
 
 
 def test_one_step_naive_and_eligibility(series):
-    found = {r.well_id: r.insample_naive_mae_m3 for r in M.one_step_naive_mae(series, ["2026-01-01"]).collect()}
-    assert found == pytest.approx(STEP_MAE, rel=1e-6)
-    eligible = {r.well_id for r in M.eligible_wells(series, ["2026-01-01"]).collect()}
-    assert eligible == {"70001", "70002", "70004"}
+    found = {r.well_id: r.insample_naive_mae_m3 for r in M.one_step_naive_mae(series, [LATER]).collect()}
+    assert found == pytest.approx({w: one_step_error(known, CUT) for w, known in WELLS.items()}, rel=1e-9)
+    eligible = {r.well_id for r in M.eligible_wells(series, [LATER]).collect()}
+    assert eligible == {"shutin", "gaps", "idle"}
 
 
 def test_single_observation_has_no_denominator(spark):

@@ -203,12 +203,10 @@ def require_representative(summary: DataFrame) -> None:
         raise ValueError("the test split is empty")
     for row in rows:
         if row.wells_eligible == 0:
-            raise ValueError(
-                f"{row.as_of_date}: no eligible wells (>= {MIN_HISTORY_MONTHS} observed months) with a naive forecast"
-            )
+            raise ValueError(f"cutoff {row.as_of_date}: no tested well has been observed long enough ({MIN_HISTORY_MONTHS} months)")
         defined = row.wells_eligible - row.wells_mase_undefined
         if defined < MIN_DEFINED_SHARE * row.wells_eligible:
-            raise ValueError(f"{row.as_of_date}: MASE defined for only {defined}/{row.wells_eligible} eligible wells")
+            raise ValueError(f"cutoff {row.as_of_date}: the scaled error exists for {defined} of {row.wells_eligible} wells, too few to judge by")
 
 
 def evaluate(

@@ -17,8 +17,8 @@ class MissingMetadata(RuntimeError):
 
 
 def registered_versions(runs: DataFrame) -> DataFrame:
-    """One version per run id: registering a run again returns the first version."""
-    return latest_per_key(runs, ["run_id"], [F.asc("registered_at"), F.asc("version")])
+    """One version per model and run: registering a run again returns the first version."""
+    return latest_per_key(runs, ["model", "run_id"], [F.asc("registered_at"), F.asc("version")])
 
 
 def with_decision(versions: DataFrame) -> DataFrame:
@@ -34,12 +34,12 @@ def with_decision(versions: DataFrame) -> DataFrame:
 def champion_history(versions: DataFrame, promotions: DataFrame) -> DataFrame:
     """Promotion events that took effect, in order; asking for an older version is a rollback.
 
-    ``promotions`` holds (requested_at, version); events for versions that are not
-    promotable leave the champion unchanged.  Version labels are ordered by when
+    ``promotions`` holds (requested_at, model, version), as labels are only unique within a model; events for
+    versions that are not promotable leave the champion unchanged.  Version labels are ordered by when
     they were registered.
     """
     approved = with_decision(registered_versions(versions)).filter(F.col("decision") == "promotable")
-    events = promotions.join(approved, "version")
+    events = promotions.join(approved, ["model", "version"])
     # promotions are decisions of people, a handful per month
     w = Window.partitionBy("model").orderBy("requested_at")
     previous = F.lag("registered_at").over(w)
@@ -51,10 +51,11 @@ def current_champion(versions: DataFrame, promotions: DataFrame) -> DataFrame:
     return latest_per_key(champion_history(versions, promotions), ["model"], [F.desc("requested_at")])
 
 
-def require_promotable(versions: DataFrame, version: str) -> None:
-    """Raise unless ``version`` may be promoted."""
-    row = with_decision(registered_versions(versions)).filter(F.col("version") == version).first()
+def require_promotable(versions: DataFrame, model: str, version: str) -> None:
+    """Raise unless ``version`` of ``model`` may be promoted."""
+    wanted = (F.col("model") == model) & (F.col("version") == version)
+    row = with_decision(registered_versions(versions)).filter(wanted).first()
     if row is None or row.decision == "incomplete":
-        raise MissingMetadata(f"version {version} lacks promotion metadata")
+        raise MissingMetadata(f"{model} {version}: a promotion needs cutoff, metrics and gates")
     if row.decision == "rejected":
-        raise NotApproved(f"version {version} did not pass its quality gates")
+        raise NotApproved(f"{model} {version}: a blocking gate failed")

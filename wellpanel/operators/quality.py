@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wellpanel.functions.columns import any_of
+from wellpanel.functions.columns import all_of, any_of
 from wellpanel.schema import FEATURE_CONTRACT, kind_of
 
 ERROR, WARN = "error", "warn"
@@ -24,7 +24,6 @@ MIN_MEASURE = 0
 MIN_NOT_NULL_SHARE = 0.9
 MAX_MONTHS_OLD = 2
 MAX_FAILING_PCT = 1.0
-MAX_PROFILED_COLUMNS = 50
 
 # --- end of fixed values ---------------------------------------------------------
 
@@ -253,8 +252,8 @@ def _keyed(df: DataFrame, check: UniqueCheck) -> DataFrame:
 def failing_rows(df: DataFrame, checks: list[Check], table: str, keys: list[str]) -> DataFrame:
     """Evidence: (table, check, severity, keys, row as JSON), one line per failure.
 
-    Row checks are evaluated together in one scan; uniqueness failures carry the
-    key and its count.
+    Row checks are evaluated together in one scan; a uniqueness failure is each
+    row that shares its key.
     """
     shape = [F.lit(table).alias("table_name"), "check_name", "dimension", "severity"]
     parts = []
@@ -284,8 +283,11 @@ def failing_rows(df: DataFrame, checks: list[Check], table: str, keys: list[str]
         )
     for check in checks:
         if isinstance(check, UniqueCheck):
-            found = duplicates(_keyed(df, check), *check.columns)
-            columns = [*check.columns, "n"]
+            again = duplicates(_keyed(df, check), *check.columns).drop("n").toDF(*[f"_{c}" for c in check.columns])
+            # the rows themselves, so that every failure has its period
+            same = all_of([F.col(c).eqNullSafe(F.col(f"_{c}")) for c in check.columns])
+            found = df.join(again, same, "left_semi")
+            columns = df.columns
         elif isinstance(check, ReferenceCheck):
             found = orphans(df, check.column, check.parent, check.parent_column)
             columns = df.columns
@@ -328,9 +330,10 @@ def failing_share(failures: DataFrame, table: DataFrame, period: str = "producti
     failed = failures.groupBy(F.col(period).cast("date").alias(period), "dimension").agg(
         F.count(F.lit(1)).alias("failing_rows")
     )
-    totals = table.groupBy(period).agg(F.count(F.lit(1)).alias("total_rows"))
+    totals = table.groupBy(F.col(period).alias("_period")).agg(F.count(F.lit(1)).alias("total_rows"))
     pct = F.round(F.col("failing_rows") * 100.0 / F.nullif("total_rows", F.lit(0)), 2)
-    return failed.join(totals, period).select(period, "dimension", "failing_rows", "total_rows", pct.alias("failing_pct"))
+    # rows without a period are a group of their own and must not vanish
+    return failed.join(totals, F.col(period).eqNullSafe(F.col("_period"))).select(period, "dimension", "failing_rows", "total_rows", pct.alias("failing_pct"))
 
 
 def fitness(failures: DataFrame, table: DataFrame, period: str = "production_month",
@@ -344,12 +347,12 @@ def fitness(failures: DataFrame, table: DataFrame, period: str = "production_mon
         F.count(F.lit(1)).alias("failing_rows"),
         F.count_if(F.col("dimension") != RANGE).alias("other_failures"),
     )
-    totals = table.groupBy(period).agg(F.count(F.lit(1)).alias("total_rows"))
+    totals = table.groupBy(F.col(period).alias("_period")).agg(F.count(F.lit(1)).alias("total_rows"))
     n = F.coalesce("failing_rows", F.lit(0))
     tolerable = (F.col("other_failures") == 0) & (n * 100.0 < F.lit(max_pct) * F.col("total_rows"))
     verdict = F.when(n == 0, "fit").when(tolerable, "fit_with_remark").otherwise("unfit")
-    return totals.join(failed, period, "left").select(
-        period, n.alias("failing_rows"), "total_rows", verdict.alias("fitness")
+    return totals.join(failed, F.col(period).eqNullSafe(F.col("_period")), "left").select(
+        F.col("_period").alias(period), n.alias("failing_rows"), "total_rows", verdict.alias("fitness")
     )
 
 
@@ -360,37 +363,43 @@ def evidence_sample(failures: DataFrame, period_value: dt.date | str, *, period:
     return failures.filter(wanted).orderBy(F.asc_nulls_last(key), "check_name", "row_json").limit(limit)
 
 
-def feature_contract_violations(features: DataFrame) -> list[str]:
-    """Every violation of the feature contract, not only the first."""
-    columns = set(features.columns)
-    missing = [c for c in FEATURE_CONTRACT if c not in columns]
-    unexpected = [c for c in features.columns if c not in FEATURE_CONTRACT]
-    problems = []
-    if missing:
-        problems.append(f"missing columns: {missing}")
-    if unexpected:
-        problems.append(f"unexpected columns: {unexpected}")
-    for name, kind in FEATURE_CONTRACT.items():
-        if name in columns and kind_of(features.schema[name].dataType) != kind:
-            problems.append(f"column {name} is {features.schema[name].dataType.simpleString()}, expected {kind}")
-    if {"well_id", "as_of_date"} <= columns:
-        keys = features.groupBy("well_id", "as_of_date").agg(F.count(F.lit(1)).alias("n"))
-        found = keys.agg(
-            F.count_if(F.col("well_id").isNull() | F.col("as_of_date").isNull()).alias("nulls"),
-            F.count_if(F.col("n") > 1).alias("repeated"),
-        ).first()
-        if found.nulls:
-            problems.append("key columns contain nulls")
-        if found.repeated:
-            problems.append("duplicated (well_id, as_of_date) keys")
-    return problems
+@dataclass(frozen=True)
+class Violation:
+    """One departure from a contract: ``kind`` is absent, extra, type, null_key or repeated_key."""
+
+    kind: str
+    column: str
+    found: str = ""
+    expected: str = ""
+
+    def __str__(self) -> str:
+        return " ".join(part for part in (self.kind, self.column, self.found and f"has {self.found}", self.expected and f"wants {self.expected}") if part)
+
+
+def feature_contract_violations(features: DataFrame, keys: tuple[str, ...] = ("well_id", "as_of_date")) -> list[Violation]:
+    """All departures of the stored columns and keys from the feature contract."""
+    stored = {f.name: f.dataType for f in features.schema}
+    found = [
+        Violation("type", name, stored[name].simpleString(), kind)
+        for name, kind in FEATURE_CONTRACT.items()
+        if name in stored and kind_of(stored[name]) != kind
+    ]
+    found += [Violation("absent", name) for name in FEATURE_CONTRACT if name not in stored]
+    found += [Violation("extra", name) for name in stored if name not in FEATURE_CONTRACT]
+    if all(k in stored for k in keys):
+        repeats = features.groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
+        counts = repeats.agg(*[F.count_if(F.col(k).isNull()).alias(k) for k in keys], F.count_if(F.col("times") > 1).alias("again")).first()
+        found += [Violation("null_key", k, f"{counts[k]} groups") for k in keys if counts[k]]
+        if counts.again:
+            found.append(Violation("repeated_key", "+".join(keys), f"{counts.again} groups"))
+    return found
 
 
 def require_feature_contract(features: DataFrame) -> DataFrame:
     """Canonical column order, or an error listing all violations."""
-    problems = feature_contract_violations(features)
-    if problems:
-        raise ContractError("feature table violates its contract: " + "; ".join(problems))
+    found = feature_contract_violations(features)
+    if found:
+        raise ContractError("features: " + ", ".join(map(str, found)))
     return features.select(*FEATURE_CONTRACT)
 
 
@@ -404,11 +413,12 @@ def _profile_text(c: Column, data_type: T.DataType) -> Column:
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Row count, nulls, distinct values, min and max of each column.
 
-    Null counts and extremes take one aggregation.  Distinct counts go through
-    (column, value) groups that map tasks combine first: a value filling a third
-    of a column travels once per task.
+    Every column is profiled.  Null counts and extremes take one aggregation.
+    Distinct counts go through (column, digest) groups that map tasks combine
+    first: a value filling a third of a column travels once per task, and a long
+    text as 16 bytes.
     """
-    chosen = (columns or df.columns)[:MAX_PROFILED_COLUMNS]
+    chosen = columns or df.columns
     types = {c: df.schema[c].dataType for c in chosen}
     stats = df.agg(
         F.count(F.lit(1)).alias("_rows"),
@@ -430,7 +440,7 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     basic = stats.select(F.col("_rows").alias("row_count"), F.explode(entries).alias("e")).select("row_count", "e.*")
     cells = df.select(
         F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in chosen])
+            F.array(*[F.struct(F.lit(c).alias("column_name"), F.unhex(F.md5(F.col(c).cast("string"))).alias("v")) for c in chosen])
         ).alias("cell")
     ).select("cell.*")
     distinct = cells.filter(F.col("v").isNotNull()).distinct().groupBy("column_name").agg(

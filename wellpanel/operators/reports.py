@@ -132,9 +132,13 @@ def production_window(requests: DataFrame, fact: DataFrame) -> DataFrame:
         .otherwise(F.lit(True))
         .alias("_ok"),
     ).filter("_ok")
-    inside = (F.col("production_month") >= F.col("date_start")) & (F.col("production_month") <= F.col("date_end"))
+    # the months asked for, not the history of the well, decide what a request costs
+    first = F.add_months(F.trunc("date_start", "MM"), F.when(F.dayofmonth("date_start") > 1, 1).otherwise(0))
+    last = F.trunc("date_end", "MM")
+    months = F.when(first <= last, F.sequence(first, last, F.expr("interval 1 month")))
+    asked = checked.select(*requests.columns, F.explode(months).alias("production_month"))
     series = fact.select("well_id", "production_month", "oil_prod_m3")
-    return checked.join(series, "well_id").filter(inside).select(
+    return asked.join(series, ["well_id", "production_month"]).select(
         *requests.columns,
         F.col("production_month").alias("date"),
         F.coalesce(F.col("oil_prod_m3").cast("double"), F.lit(0.0)).alias("prod"),

@@ -33,9 +33,10 @@ def asof_before(
 ) -> DataFrame:
     """Add to each request its well's newest value strictly before ``as_of_date``.
 
-    Requests and observations are merged into one timeline per well, so a single
-    shuffle and sort answers every request; a join on ``month < cutoff`` would
-    first produce every earlier month for every request.  By default the newest
+    Distinct questions and observations are merged into one timeline per well, so a
+    single sort answers them; a join on ``month < cutoff`` would first produce every
+    earlier month for every request.  The answers are joined back to the requests,
+    where a well with very many of them can be split.  By default the newest
     *row* decides and its value may be NULL; ``skip_nulls`` takes the newest
     value instead.
     """
@@ -47,17 +48,19 @@ def asof_before(
     )
     if skip_nulls:
         observed = observed.filter(F.col("_seen.v").isNotNull())
-    asked = requests.select(
-        "*", F.col("as_of_date").alias("_at"), F.lit(0).alias("_kind")
-    )
+    keys = ["well_id", "as_of_date"]
+    # distinct questions of a well are bounded by the calendar, however many requests ask them
+    asked = requests.select(*keys).distinct().select("*", F.col("as_of_date").alias("_at"), F.lit(0).alias("_kind"))
     # a request sorts before an observation of the same month: strictly before
     w = Window.partitionBy("well_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     timeline = asked.unionByName(observed, allowMissingColumns=True)
-    return (
-        timeline.withColumn(name, F.last("_seen", ignorenulls=True).over(w)["v"])
-        .filter(F.col("_kind") == 0)
-        .drop("_at", "_kind", "_seen")
+    answers = (
+        timeline.withColumn("_answer", F.last("_seen", ignorenulls=True).over(w))
+        .filter((F.col("_kind") == 0) & F.col("_answer").isNotNull())
+        .select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_answer.v").alias(name))
     )
+    same = (F.col("well_id") == F.col("_well_id")) & (F.col("as_of_date") == F.col("_as_of_date"))
+    return requests.join(answers, same, "left").select(*requests.columns, name)
 
 
 def targets_by_cutoff(series: DataFrame, horizons: Iterable[int]) -> DataFrame:
@@ -131,9 +134,9 @@ def temporal_split(
     # one label per cutoff: a calendar-bounded lookup
     found = {r.as_of_date: r.split for r in labels.collect()}
     if "test" not in found.values():
-        raise ValueError(f"no dataset rows for evaluation cutoff {as_of}")
+        raise ValueError(f"nothing to evaluate: the dataset has no cutoff {as_of}")
     if "train" not in found.values():
-        raise ValueError(f"no training cutoffs older than {as_of} (validation_cutoffs={validation_cutoffs})")
+        raise ValueError(f"nothing to train on: every cutoff before {as_of} is held back for validation ({validation_cutoffs}) or absent")
     by_name = {
         name: [F.lit(day) for day, label in sorted(found.items()) if label == name]
         for name in ("train", "validation", "test")

@@ -15,17 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input has fewer splits than there are cores.
-
-    A file with a single row group is read by one task, and everything up to the
-    first shuffle would follow it there.  Inputs of any size beyond that already
-    arrive in more splits and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *df.columns) if df.rdd.getNumPartitions() < cores else df
-
-
 def _money(c: str) -> Column:
     return F.col(c).cast("decimal(18,2)")
 

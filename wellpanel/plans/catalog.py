@@ -80,7 +80,7 @@ class Panel:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return BD.raw_production(BD.spread(self.table("lineitem")), self.table("supplier"))
+        return BD.raw_production(self.table("lineitem"), self.table("supplier"))
 
     @cached_property
     def raw_registry(self) -> DataFrame:
@@ -892,6 +892,15 @@ def _(p):
 @query("q14_fitness")
 def _(p):
     checks = [Q.accepted_range("oil_prod_m3", 0, 49), Q.unique("well_id", "production_month")]
+    return _fitness(p, checks)
+
+
+@query("q14_fitness_unfit")
+def _(p):
+    return _fitness(p, [Q.accepted_range("oil_prod_m3", 0, 49), Q.not_null("company_name"), Q.unique("well_id", "resource_type", "formation", "company_id")])
+
+
+def _fitness(p: Panel, checks: list[Q.Check]) -> DataFrame:
     failures = Q.failing_rows(p.silver_table, checks, "typed_production", ["well_id", "production_month"])
     return Q.fitness(failures, p.silver_table)
 
@@ -1081,7 +1090,7 @@ def _(p):
         F.create_map(F.lit("mase_median"), F.col("mase_median")).alias("metrics"), "gates_passed",
         F.col("as_of_date").alias("registered_at"),
     )
-    promotions = verdict.select(label.alias("version"), F.col("as_of_date").alias("requested_at"))
+    promotions = verdict.select(F.lit("oil").alias("model"), label.alias("version"), F.col("as_of_date").alias("requested_at"))
     return CH.with_decision(CH.registered_versions(versions)).select("version", "gates_passed", "decision").join(
         CH.current_champion(versions, promotions).select("version", F.lit(True).alias("champion")), "version", "left"
     ).withColumn("champion", F.coalesce("champion", F.lit(False)))
@@ -1157,8 +1166,7 @@ def _(p):
 
 @query("r07_sustained_alert")
 def _(p):
-    hourly = p.log.groupBy(F.window("ts", "1 hour")["start"].alias("window_start"), "handler").agg(F.avg("latency").alias("mean_latency"))
-    return SM.sustained_alert(hourly, "mean_latency", ["handler"], threshold=30.0, held=5, step_seconds=HOUR)
+    return SM.sustained_alert(SM.handler_latency(p.log, HOUR), "mean_latency", ["handler"], threshold=30.0, held=5, step_seconds=HOUR)
 
 
 def _stream(p: Panel, name: str) -> DataFrame:
@@ -1166,29 +1174,39 @@ def _stream(p: Panel, name: str) -> DataFrame:
     return p.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(p.sf_dir)
 
 
-def _streamed(p: Panel, metric: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def _streamed(p: Panel, metric: Callable[[DataFrame], DataFrame], name: str, *keys: str) -> DataFrame:
     out = staging_path(p.spark, name)
     live = metric(SM.watermarked(BD.request_log(_stream(p, "events"))))
-    SM.run_to_parquet(live, out, staging_path(p.spark, f"{name}-progress"))
-    return p.spark.read.schema(live.schema).parquet(out)
+    SM.run_to_table(live, list(keys), out, staging_path(p.spark, f"{name}-progress"))
+    return p.spark.read.parquet(out).select(*live.columns)
 
 
 @query("r01_arrivals")
 def _(p):
+    """Line items arrive in three deliveries that touch the same months."""
+    inbox = staging_path(p.spark, "inbox")
+    lineitem = p.table("lineitem")
+    for turn in range(3):
+        lineitem.filter(F.col("l_linenumber") % 3 == turn).write.mode("append").parquet(inbox)
+    deliveries = p.spark.readStream.schema(lineitem.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     path = TB.layer_path(staging_path(p.spark, "lake"), "silver", "production")
-    raw = BD.raw_production(_stream(p, "lineitem"), p.table("supplier"))
-    AR.run_arrivals(raw, path, staging_path(p.spark, "arrivals"), _silver_checks)
+    AR.run_arrivals(BD.raw_production(deliveries, p.table("supplier")), path, staging_path(p.spark, "arrivals"), _silver_checks)
     return TB.read_table(p.spark, path).select(*PRODUCTION_SCHEMA.fieldNames())
 
 
 @query("r02_request_rate_stream")
 def _(p):
-    return _streamed(p, SM.request_rate, "rate")
+    return _streamed(p, SM.request_rate, "rate", "handler")
 
 
 @query("r03_latency_histogram_stream")
 def _(p):
-    return _streamed(p, lambda log: SM.latency_histogram(log, LATENCY_BOUNDS, HOUR), "latency")
+    return _streamed(p, lambda log: SM.latency_histogram(log, LATENCY_BOUNDS, HOUR), "latency", "handler")
+
+
+@query("r03_latency_percentiles_stream")
+def _(p):
+    return _streamed(p, lambda log: SM.streamed_percentiles(log, HOUR), "percentiles", "handler")
 
 
 @query("r04_error_share_stream")
@@ -1198,9 +1216,20 @@ def _(p):
 
 @query("r05_trailing_by_status_stream")
 def _(p):
-    return _streamed(p, lambda log: SM.trailing_requests(log, True), "trailing")
+    return _streamed(p, lambda log: SM.trailing_requests(log, True), "trailing", "status")
+
+
+@query("r05_trailing_total_stream")
+def _(p):
+    return _streamed(p, lambda log: SM.trailing_requests(log, False), "trailing-total")
 
 
 @query("r06_mean_latency_stream")
 def _(p):
     return _streamed(p, SM.mean_latency, "mean")
+
+
+@query("r07_sustained_alert_stream")
+def _(p):
+    hourly = _streamed(p, lambda log: SM.handler_latency(log, HOUR), "hourly", "handler")
+    return SM.sustained_alert(hourly, "mean_latency", ["handler"], threshold=30.0, held=5, step_seconds=HOUR)

@@ -228,7 +228,6 @@ RELATIONS: dict[str, str] = {
     "log": """
         SELECT event_id AS request_id, ts, event_type AS handler, CASE WHEN event_type = 'error' THEN '5xx' ELSE '2xx' END AS status,
           value AS latency, event_type = 'error' AS is_error FROM events""",
-    "closed": "SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events",
 }
 
 _SHOW = {
@@ -379,11 +378,6 @@ _ERRORS = (
 )
 
 
-def _closed(body: str) -> str:
-    """Only windows the watermark has passed, as an appending stream writes them."""
-    return f"SELECT * FROM ({body}) WHERE window_end <= (SELECT mark FROM closed)"
-
-
 _TYPED_CHECKS = " UNION ALL ".join(
     [
         *[_row_check("typed_production", "silver", f"not_null_{c}", "completeness", f"{c} IS NULL") for c in ("well_id", "company_id", "production_month")],
@@ -716,6 +710,14 @@ ORACLES: dict[str, tuple[str, str]] = {
         "FROM (SELECT production_month, count(*) FILTER (WHERE oil_prod_m3 > 49) AS n, count(*) AS total FROM silver GROUP BY 1)",
         "t:production_month i:failing_rows,total_rows s:fitness",
     ),
+    "q14_fitness_unfit": (
+        "WITH m AS (SELECT *, count(*) OVER (PARTITION BY well_id, resource_type, formation, company_id) AS again FROM silver), "
+        "c AS (SELECT production_month, count(*) AS total, count(*) FILTER (WHERE oil_prod_m3 > 49) AS r, "
+        "count(*) FILTER (WHERE company_name IS NULL) + count(*) FILTER (WHERE again > 1) AS other FROM m GROUP BY 1) "
+        "SELECT production_month, r + other AS failing_rows, total AS total_rows, "
+        "CASE WHEN r + other = 0 THEN 'fit' WHEN other = 0 AND r * 100.0 < total THEN 'fit_with_remark' ELSE 'unfit' END AS fitness FROM c",
+        "t:production_month i:failing_rows,total_rows s:fitness",
+    ),
     "q_text_tables": (
         " UNION ALL ".join(
             [
@@ -809,20 +811,15 @@ ORACLES: dict[str, tuple[str, str]] = {
     "b01_monthly_build": ("SELECT * FROM features WHERE as_of_date IN (SELECT as_of_date FROM evaluated)", _FEATURES),
     "r01_arrivals": ("SELECT * FROM silver", _PRODUCTION),
     "r02_request_rate": (_RATE, "z:window_start,window_end s:handler i:requests d:rate_per_second"),
-    "r02_request_rate_stream": (_closed(_RATE), "z:window_start,window_end s:handler i:requests d:rate_per_second"),
     "r03_latency_percentiles": (
         "SELECT date_trunc('hour', ts) AS window_start, handler, quantile_cont(latency, 0.5) AS p50, quantile_cont(latency, 0.95) AS p95, quantile_cont(latency, 0.99) AS p99 FROM log GROUP BY 1, 2",
         "z:window_start s:handler d:p50,p95,p99",
     ),
     "r03_latency_histogram": (_buckets(_tumbling(60), f"{_tumbling(60)}, handler"), "z:window_start,window_end s:handler i:requests d:p50,p95,p99"),
-    "r03_latency_histogram_stream": (_closed(_buckets(_tumbling(60), f"{_tumbling(60)}, handler")), "z:window_start,window_end s:handler i:requests d:p50,p95,p99"),
     "r04_error_share": (_ERRORS, "z:window_start,window_end i:requests,errors d:error_pct"),
-    "r04_error_share_stream": (_closed(_ERRORS), "z:window_start,window_end i:requests,errors d:error_pct"),
     "r05_trailing_by_status": (_sliding(30, 5, "status", "count(*) AS requests"), "z:window_start,window_end s:status i:requests"),
-    "r05_trailing_by_status_stream": (_closed(_sliding(30, 5, "status", "count(*) AS requests")), "z:window_start,window_end s:status i:requests"),
     "r05_trailing_total": (_sliding(30, 5, "", "count(*) AS requests"), "z:window_start,window_end i:requests"),
     "r06_mean_latency": (_sliding(5, 1, "", "avg(latency) AS mean_latency, count(*) AS requests"), "z:window_start,window_end d:mean_latency i:requests"),
-    "r06_mean_latency_stream": (_closed(_sliding(5, 1, "", "avg(latency) AS mean_latency, count(*) AS requests")), "z:window_start,window_end d:mean_latency i:requests"),
     "r07_sustained_alert": (
         "SELECT handler, window_start AS firing_at FROM (SELECT handler, window_start, count(*) OVER (PARTITION BY handler ORDER BY window_start RANGE BETWEEN INTERVAL 4 HOUR PRECEDING AND CURRENT ROW) AS held "
         "FROM (SELECT date_trunc('hour', ts) AS window_start, handler FROM log GROUP BY 1, 2 HAVING avg(latency) > 30.0)) WHERE held = 5",
@@ -830,6 +827,13 @@ ORACLES: dict[str, tuple[str, str]] = {
     ),
 }
 
+#: A stream shows what the same batch does.
+for _name in (
+    "r02_request_rate", "r03_latency_histogram", "r03_latency_percentiles", "r04_error_share", "r05_trailing_by_status", "r05_trailing_total",
+    "r06_mean_latency", "r07_sustained_alert",
+):
+    ORACLES[f"{_name}_stream"] = ORACLES[_name]
+
 _LISTED = (
     "SELECT count(*) AS rows, count(DISTINCT well_id) AS wells, {extra}string_agg(DISTINCT cast(as_of_date AS varchar), ',' ORDER BY cast(as_of_date AS varchar)) AS cutoffs, "
     "string_agg(DISTINCT cast(horizon AS varchar), ',' ORDER BY cast(horizon AS varchar)) AS horizons FROM dataset"

@@ -6,7 +6,6 @@ import datetime as dt
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +22,7 @@ from wellpanel.sources.tables import training_frames
 class Candidate:
     """A fitted model with everything a promotion looks at."""
 
-    model: PipelineModel
+    model: MD.Fitted
     pooled: DataFrame
     backtest: B.Backtest
     footprint: DataFrame
@@ -42,10 +41,9 @@ def retrain(
 ) -> Candidate:
     """Train on the cutoffs before ``as_of`` and judge the model on ``as_of`` itself."""
     stored, series = training_frames(features, fact, as_of)
-    dataset = SV.training_dataset(require_feature_contract(stored), series, horizons)
-    split = durable(
-        SV.temporal_split(dataset, as_of, validation_cutoffs=validation_cutoffs, purge_overlap=purge_overlap)
-    )
+    # stored once: the split reads it for its cutoffs and again for its rows
+    dataset = durable(SV.training_dataset(require_feature_contract(stored), series, horizons))
+    split = SV.temporal_split(dataset, as_of, validation_cutoffs=validation_cutoffs, purge_overlap=purge_overlap)
     fitted = MD.fit(split.filter("split = 'train'"), spec)
     predicted = durable(MD.predict(fitted, split.filter("split = 'test'")))
     counted = split.filter("split <> 'test'").withColumn("prediction_m3", F.lit(None).cast("double"))

@@ -23,9 +23,6 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-_TARGET_PARTITION_BYTES = 128 * 1024 * 1024
-
-
 def build_session(app: str = "wellpanel", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the defaults above; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -38,13 +35,6 @@ def build_session(app: str = "wellpanel", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def shuffle_partitions_for(input_bytes: int, cores: int, target: int = _TARGET_PARTITION_BYTES) -> int:
-    """Partition count giving ``target`` bytes per task, rounded up to whole waves of cores."""
-    needed = max(1, -(-input_bytes // target))
-    waves = -(-needed // max(1, cores))
-    return waves * max(1, cores)
-
-
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
@@ -80,6 +70,8 @@ def staging_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder once and continue from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once as Parquet below the shared folder and continue from there, with its columns prunable."""
+    spark = df.sparkSession
+    path = staging_path(spark, "durable")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

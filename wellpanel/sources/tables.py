@@ -26,22 +26,24 @@ def layer_path(root: str, layer: str, table: str) -> str:
     return f"{root.rstrip('/')}/{layer}/{table}"
 
 
-def create_layers(spark: SparkSession) -> None:
-    """One database per layer, for sessions that use a catalogue."""
-    for layer in LAYERS:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer}")
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table, or ``None`` while nothing has been written there."""
+def read_table(spark: SparkSession, path: str, *, base: str | None = None) -> DataFrame | None:
+    """The table with the columns of all its files, or ``None`` while nothing has been written there."""
+    reader = spark.read.option("mergeSchema", True)
     try:
-        return spark.read.option("mergeSchema", True).parquet(path)
+        return (reader.option("basePath", base) if base else reader).parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
+def read_periods(spark: SparkSession, path: str, batch: DataFrame, period: str) -> DataFrame | None:
+    """The partitions of the table that ``batch`` touches; no other file is opened, not even for its columns."""
+    # one name per calendar period of the batch
+    names = [r[0] or "__HIVE_DEFAULT_PARTITION__" for r in batch.select(F.col(period).cast("string")).distinct().collect()]
+    return read_table(spark, f"{path}/{period}={{{','.join(sorted(names))}}}", base=path) if names else None
+
+
 def replace_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Full refresh. ``df`` must not read from ``path``."""
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
@@ -87,11 +89,10 @@ def upsert_periods(
     because the write replaces the files they were read from.
     """
     batch = durable(batch)
-    target = read_table(spark, path)
-    if target is None:
+    touched = read_periods(spark, path, batch, period)
+    if touched is None:
         replace_periods(batch, path, period)
         return
-    touched = target.join(F.broadcast(batch.select(period).distinct()), period, "left_semi")
     replace_periods(durable(merge_by_key(touched, batch, [*keys, period])), path, period)
 
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wellpanel.operators.latest import latest_per_key, newest_load_first
 from wellpanel.operators.quality import Check, require_passed, run_checks
 from wellpanel.operators.typed import typed_production
 from wellpanel.schema import PRODUCTION_SCHEMA
 from wellpanel.session import durable
-from wellpanel.sources.tables import read_table, replace_periods
+from wellpanel.sources.tables import read_periods, replace_periods
 
 _KEYS = ["well_id", "production_month"]
 _TIES = [c for c in PRODUCTION_SCHEMA.fieldNames() if c not in (*_KEYS, "dlt_load_id")]
@@ -27,15 +26,16 @@ def merge_newest(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def apply_batch(spark: SparkSession, raw: DataFrame, path: str, checks: list[Check]) -> None:
-    """Type one batch of raw rows, check it, and merge it into the months it touches."""
+    """Type one batch of raw rows, merge it into the months it touches, check those months, and write them.
+
+    The checks see what would be written, as those of a monthly build do; shares of a few rows that happen to arrive
+    together mean nothing.
+    """
     batch = durable(typed_production(raw))
+    touched = read_periods(spark, path, batch, "production_month")
+    if touched is not None:
+        batch = durable(merge_newest(touched.select(*PRODUCTION_SCHEMA.fieldNames()), batch))
     require_passed(run_checks(batch, checks, "typed_production"))
-    target = read_table(spark, path)
-    if target is not None:
-        # one row per calendar month in the batch
-        months = F.broadcast(batch.select("production_month").distinct())
-        touched = target.join(months, "production_month", "left_semi").select(*PRODUCTION_SCHEMA.fieldNames())
-        batch = durable(merge_newest(touched, batch))
     replace_periods(batch, path)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellpanel.operators.ordering import exact_quantiles
+from wellpanel.sources.tables import upsert_periods
 
 # --- fixed values -------------------------------------------------------------
 
@@ -63,6 +64,20 @@ def latency_percentiles(log: DataFrame, seconds: int = 60) -> DataFrame:
     return exact_quantiles(placed, ["window_start", "handler"], "latency", "request_id", LATENCY_QUANTILES)
 
 
+def streamed_percentiles(log: DataFrame, seconds: int = 60) -> DataFrame:
+    """The same exact percentiles where a stream is wanted; state holds the distinct values of open windows."""
+    return log.groupBy(F.window("ts", f"{seconds} seconds"), "handler").agg(
+        *[F.percentile("latency", q).alias(name) for name, q in LATENCY_QUANTILES.items()]
+    ).select(F.col("window.start").alias("window_start"), "handler", *LATENCY_QUANTILES)
+
+
+def handler_latency(log: DataFrame, seconds: int = 60) -> DataFrame:
+    """Mean latency per handler in tumbling windows, the points an alert looks at."""
+    return log.groupBy(F.window("ts", f"{seconds} seconds"), "handler").agg(F.avg("latency").alias("mean_latency")).select(
+        *_bounds(), "handler", "mean_latency"
+    )
+
+
 def latency_histogram(log: DataFrame, bounds: tuple[float, ...] = LATENCY_BOUNDS, seconds: int = 60) -> DataFrame:
     """Percentiles interpolated from cumulative bucket counts.
 
@@ -119,16 +134,21 @@ def watermarked(log: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return log.withWatermark("ts", delay)
 
 
-def run_to_parquet(metrics: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what has arrived, append closed windows, stop.
+def run_to_table(metrics: DataFrame, keys: list[str], path: str, checkpoint: str) -> None:
+    """Process what has arrived and replace the touched windows in the table at ``path``, then stop.
 
-    Append mode keeps only windows the watermark has not passed, so state stays
-    bounded; windows newer than that are written by a later run.
+    Update mode hands over every window that changed, open or closed, so the table always shows all that has arrived;
+    the watermark only bounds the state.  The table is partitioned by day: a micro-batch reads and rewrites the days
+    of its windows.  Replacing the same windows twice changes nothing, so a retried batch is harmless.
     """
+
+    def each(batch: DataFrame, _batch_id: int) -> None:
+        days = batch.withColumn("window_day", F.to_date("window_start"))
+        upsert_periods(batch.sparkSession, days, path, ["window_start", *keys], "window_day")
+
     (
-        metrics.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", path)
+        metrics.writeStream.outputMode("update")
+        .foreachBatch(each)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
