@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wellpanel.llm.components import components
-from wellpanel.llm.storage import staged, table
+from wellpanel.llm.storage import hash_sample, staged, table
 
 THRESHOLD = 0.98
 #: Entries of a list at first and at most.
@@ -173,10 +173,9 @@ def links_of(graph: DataFrame) -> DataFrame:
 
 
 def audit(known: DataFrame, links: DataFrame, exact: DataFrame) -> float:
-    """Share of the true links of at most AUDITED nodes that were found; nodes compared exactly are left out."""
+    """Share of the true links of about AUDITED nodes that were found; nodes compared exactly are left out."""
     spark = known.sparkSession
-    turn = F.xxhash64("id", F.lit(5))
-    sample = known.join(exact.select("id"), "id", "left_anti").select("id", "label", "vec", turn.alias("turn")).orderBy("turn", "id").limit(AUDITED).toPandas()
+    sample = hash_sample(known.join(exact.select("id"), "id", "left_anti").select("id", "label", "vec"), "id", AUDITED, 5).toPandas()
     if not len(sample):
         return 1.0
     shared = spark.sparkContext.broadcast((sample["id"].to_numpy(), sample["label"].to_numpy(), sample["vec"].tolist()))

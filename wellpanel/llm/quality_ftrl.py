@@ -4,7 +4,7 @@ Features are the one- and two-word grams of a text and of its word shapes (case
 that an unseen word still shows its form), hashed into ``BUCKETS``.  A text with n features gives each
 occurrence the value 1 / sqrt(n), so long texts do not saturate.  Scoring is a sparse dot product.
 
-Training reads at most ``TRAINING_ROWS`` labelled rows, the first by a hash of their id: one FTRL learner goes
+Training reads about ``TRAINING_ROWS`` labelled rows, chosen by a hash of their id: one FTRL learner goes
 over that bounded sample ``EPOCHS`` times.  Only the weights (BUCKETS floats) reach the driver.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellpanel.llm.storage import fold, table
+from wellpanel.llm.storage import fold, hash_sample, table
 from wellpanel.llm.words import mix64, row_groups, span_hashes, text_bytes, word_spans
 
 BUCKETS = 1 << 18
@@ -118,28 +118,24 @@ def _train(sample: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = TRAINING_ROWS) -> np.ndarray:
-    """Weights learned from at most ``rows`` labelled documents outside the held-out fold.
+    """Weights learned from about ``rows`` labelled documents outside the held-out fold.
 
     A document labelled more than once counts with its largest label; without labelled rows all weights are 0,
     so every score is 0.5.
     """
-    turn = F.xxhash64("doc_id", F.lit(11))
-    sample = (
+    known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .filter("doc_id is not null and label is not null")
         .filter(fold(F.col("doc_id"), FOLDS) != 0)
         .groupBy("doc_id").agg(F.max("label").alias("label"))
-        .select("doc_id", "label", turn.alias("turn"))
-        .orderBy("turn", "doc_id")
-        .limit(rows)
     )
+    sample = hash_sample(known, "doc_id", rows, 11).select("doc_id", "label", F.xxhash64("doc_id", F.lit(29)).alias("turn"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = (
-        texts.join(F.broadcast(sample), "doc_id")  # at most `rows` narrow rows
+        texts.join(F.broadcast(sample), "doc_id")  # fewer than 2 * rows narrow rows
         .select("turn", "label", "text")
         .mapInArrow(_sparse_rows, "turn long, label int, ids binary, vals binary")
-        .orderBy("turn", "ids")
-        .limit(2 * rows)  # ids that repeat in the documents do not lift the bound
+        .limit(3 * rows)  # ids that repeat in the documents do not lift the bound
         .groupBy(F.lit(0).alias("one"))
         .applyInPandas(_train, "weights binary")
         .first()

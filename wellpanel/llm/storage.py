@@ -23,3 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(doc_id, folds: int):
     """crc32 of the id's decimal text, modulo ``folds``; a null id falls into fold 0 of "null"."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % folds
+
+
+def hash_sample(df: DataFrame, key: str, rows: int, salt: int) -> DataFrame:
+    """All of ``df`` if it has at most ``rows`` rows, else about so many (never twice as many), chosen by a hash of ``key``.
+
+    A threshold on the hash, not a sort: no task or driver sees the candidates of all partitions.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 31)) < int((1 << 31) * rows / n)).limit(2 * rows)

@@ -8,7 +8,7 @@ above one half.
 
 Both directions are prefix products of 2 x 2 matrices over all words of a group of texts; a text's first word
 carries a matrix that forgets what came before.  So whole texts of any length are read without a loop per word.
-Training reads at most ``TRAINING_ROWS`` labelled texts of each class, the first by a hash of their id.
+Training reads about ``TRAINING_ROWS`` labelled texts of each class, chosen by a hash of their id.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wellpanel.llm.storage import fold, table
+from wellpanel.llm.storage import fold, hash_sample, table
 from wellpanel.llm.words import mix64, row_groups, span_hasher, span_hashes, text_bytes, word_spans
 
 BUCKETS = 1 << 18
@@ -179,24 +179,22 @@ def _train(sample: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """The field learned from at most ``rows`` labelled documents of each class outside the held-out fold.
+    """The field learned from about ``rows`` labelled documents of each class outside the held-out fold.
 
     Without labelled rows every word is improbably toxic.  A document labelled twice counts with its larger label.
     """
-    of_class = Window.partitionBy("label").orderBy("turn", "doc_id")
-    sample = (
+    known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .filter("doc_id is not null and label in (0, 1)")
         .filter(fold(F.col("doc_id"), FOLDS) != 0)
         .groupBy("doc_id").agg(F.max("label").alias("label"))
-        .withColumn("turn", F.xxhash64("doc_id", F.lit(13)))
-        .withColumn("place", F.row_number().over(of_class)).filter(F.col("place") <= rows)
-        .select("doc_id", "label", "turn")
     )
+    sample = hash_sample(known.filter("label = 0"), "doc_id", rows, 13).unionAll(hash_sample(known.filter("label = 1"), "doc_id", rows, 13))
+    sample = sample.select("doc_id", "label", F.xxhash64("doc_id", F.lit(31)).alias("turn"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     found = (
-        texts.join(F.broadcast(sample), "doc_id")  # at most 2 * rows narrow rows
-        .select("turn", "label", "text").orderBy("turn", "text").limit(4 * rows)
+        texts.join(F.broadcast(sample), "doc_id")  # fewer than 4 * rows narrow rows
+        .select("turn", "label", "text").limit(5 * rows)
         .groupBy(F.lit(0).alias("one")).applyInPandas(_train, "weights binary, transitions binary").first()
     )
     if not found:
