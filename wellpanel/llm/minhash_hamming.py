@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellpanel.llm.components import components
+from wellpanel.llm.groups import pairs_within, whole_groups
 from wellpanel.llm.storage import staged, table
 from wellpanel.llm.words import distinct_shingles, mix64, word_groups
 
@@ -142,42 +143,13 @@ def _place(name: str) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)).cast("int").alias("place")
 
 
-def _whole_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches of rows sorted by cell, cut so that no cell spans two of them."""
-    rest = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        own = rest[BY_CELL].to_numpy()
-        turns = np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1
-        if len(turns):
-            yield rest.iloc[: turns[-1]].reset_index(drop=True)
-            rest = rest.iloc[turns[-1] :].reset_index(drop=True)
-    if rest is not None:
-        yield rest
-
-
 def _near_pairs(members: pd.DataFrame, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Positions and distances of the pairs that each cell answers for: near signatures, sizes that allow a link,
     and no earlier slot in common.  Pairs are formed ``PAIRS_AT_ONCE`` at a time."""
     signature = np.frombuffer(b"".join(members["signature"]), np.uint16).reshape(len(members), LENGTH)
     size, block, slot = (members[c].to_numpy() for c in ("n_shingles", "block", "slot"))
     across = (members["i"] != members["j"]).to_numpy()
-    cell = members[BY_CELL].to_numpy()
-    turns = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1
-    ends = np.append(turns, len(members))
-    end = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
-    partners = end - np.arange(len(members)) - 1
-    total = np.cumsum(partners)
-    first = 0
-    while first < len(members):
-        done = total[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(total, done + PAIRS_AT_ONCE, side="right")))
-        own = partners[first:last]
-        a = np.repeat(np.arange(first, last), own)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own)
-        first = last
+    for a, b in pairs_within(members, BY_CELL, PAIRS_AT_ONCE):
         low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         able = (low >= ratio * high) & (~across[a] | (block[a] != block[b]))
         a, b = a[able], b[able]
@@ -192,7 +164,7 @@ def _near_pairs(members: pd.DataFrame, ratio: float) -> Iterator[tuple[np.ndarra
 
 def _mark(ratio: float):
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for members in _whole_cells(batches):
+        for members in whole_groups(batches, BY_CELL):
             hit = np.zeros(len(members), bool)
             for a, b, _ in _near_pairs(members, ratio):
                 hit[a] = hit[b] = True
@@ -203,7 +175,7 @@ def _mark(ratio: float):
 
 def _confirm(percent: int):
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for members in _whole_cells(batches):
+        for members in whole_groups(batches, BY_CELL):
             sets = [np.frombuffer(x, np.uint64) for x in members["shingle_set"]]
             rep = members["rep"].to_numpy()
             parent: dict[int, int] = {}
