@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wellpanel.llm.components import components
+from wellpanel.llm.groups import pairs_within, whole_groups
 from wellpanel.llm.storage import hash_sample, staged, table
 
 THRESHOLD = 0.98
@@ -32,6 +33,8 @@ ROUNDS, ATTEMPTS = 4, 3
 SETTLED = 0.001
 AUDITED, RECALL = 256, 0.99
 BLOCK = 1024
+#: Pairs of vectors that a task compares at once.
+PAIRS_AT_ONCE = 1 << 15
 
 NODE = "id long, label int, copies long, vec binary, codes array<long>"
 PAIR = "a long, b long, sim double"
@@ -128,15 +131,26 @@ def _lists(pairs: DataFrame, before: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _join_neighbours(rows: pd.DataFrame) -> pd.DataFrame:
+def _join_neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """All pairs with a new member among one node's neighbours that beat the worst entry of either list."""
-    rows = rows.drop_duplicates("member")
-    fresh, worst, ids = rows["fresh"].to_numpy(bool), rows["worst"].to_numpy(), rows["member"].to_numpy()
-    unit = _unit(rows["vec"])
-    sims = _cosines(unit, unit)
-    useful = np.triu(fresh[:, None] | fresh[None, :], 1) & (sims > np.minimum(worst[:, None], worst[None, :]))
-    a, b = np.nonzero(useful)
-    return pd.DataFrame({"a": ids[a], "b": ids[b], "sim": sims[a, b]})
+    for rows in whole_groups(batches, ["hub"]):
+        rows = rows.drop_duplicates(["hub", "member"]).reset_index(drop=True)
+        fresh, worst, ids = rows["fresh"].to_numpy(bool), rows["worst"].to_numpy(), rows["member"].to_numpy()
+        unit = _unit(rows["vec"])
+        width = np.array([len(v) for v in unit])
+        table = np.zeros((len(unit), width.max(initial=0)))
+        for k, v in enumerate(unit):
+            table[k, : len(v)] = v
+        found = []
+        for a, b in pairs_within(rows, ["hub"], PAIRS_AT_ONCE):
+            open_pair = (fresh[a] | fresh[b]) & (width[a] == width[b])
+            a, b = a[open_pair], b[open_pair]
+            sims = np.einsum("ij,ij->i", table[a], table[b])
+            useful = sims > np.minimum(worst[a], worst[b])
+            found.append((ids[a[useful]], ids[b[useful]], sims[useful]))
+        a, b, s = (np.concatenate(x) for x in zip(*found))
+        once = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1, return_index=True)[1]
+        yield pd.DataFrame({"a": a[once], "b": b[once], "sim": s[once]})
 
 
 def descend(graph: DataFrame, known: DataFrame) -> DataFrame:
@@ -149,7 +163,8 @@ def descend(graph: DataFrame, known: DataFrame) -> DataFrame:
     active = members.groupBy("hub").agg(F.max("fresh").alias("any")).filter("any").select("hub")
     worst = graph.select(F.col("a").alias("member"), F.when(F.size("near") < F.col("most"), F.lit(-2.0)).otherwise(F.get("near", F.size("near") - 1)["sim"]).alias("worst"))
     vectors = known.select(F.col("id").alias("member"), "vec").join(worst, "member")
-    return members.join(active, "hub", "left_semi").join(vectors, "member").groupBy("hub").applyInPandas(_join_neighbours, PAIR)
+    told = members.join(active, "hub", "left_semi").join(vectors, "member")
+    return told.repartition("hub").sortWithinPartitions("hub", "member", F.desc("fresh")).select("hub", "member", "fresh", "worst", "vec").mapInPandas(_join_neighbours, PAIR)
 
 
 def build_graph(known: DataFrame, before: DataFrame | None = None) -> DataFrame:
