@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellpanel.llm.storage import staged, table
+from wellpanel.llm.storage import hash_sample, staged, table
 from wellpanel.session import staging_path
 
 #: Magic numbers of the dictionary frame, of other skippable frames (low nibble free) and of data frames.
@@ -29,7 +29,7 @@ DICTIONARY_MAGIC, SKIPPABLE_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB
 SEPARATOR = struct.pack("<II", SKIPPABLE_MAGIC, 0).decode("ascii")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
-#: The dictionary is trained on at most so many pages, of at most so many characters each.
+#: The dictionary is trained on about so many pages, of at most so many characters each.
 SAMPLE_PAGES, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 8192, 1 << 15
 LEVEL = 3
 
@@ -38,12 +38,8 @@ READ = "page_id long, url string, payload_bytes long, payload_digest string, rec
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of payloads; raw content where there is too little to train on."""
-    sample = [
-        r[0].encode("utf-8", "replace")
-        for r in pages.filter("html is not null and html <> ''")
-        .select(F.substring("html", 1, SAMPLE_CHARS).alias("html"), F.xxhash64("page_id").alias("turn"))
-        .orderBy("turn", "html").limit(SAMPLE_PAGES).select("html").collect()
-    ]
+    pages = pages.filter("html is not null and html <> ''").select("page_id", F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+    sample = sorted(r["html"].encode("utf-8", "replace") for r in hash_sample(pages, "page_id", SAMPLE_PAGES, 19).collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes() if sample else b""
     except zstandard.ZstdError:
