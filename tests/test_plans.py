@@ -50,6 +50,25 @@ def test_monthly_build_upserts_and_blocks(spark, tmp_path):
     assert kept.filter("run = '2014-06' and check_name = 'not_null_company_id'").count() == 1
 
 
+def test_a_broken_layer_stops_what_follows(spark, tmp_path, monkeypatch):
+    lake = P.Lake(str(tmp_path / "lake"))
+    registry = frame(spark, [("1", "C", "", "", "", "R-1", "", "F", "B", "", "", "", "", "1")], REG_NAMES)
+    rows = frame(spark, [raw_row(well="1", mon=str(m), oil=str(m), prod_agua="1") for m in (1, 2, 3)])
+    whole = P.ST.dim_company
+    monkeypatch.setattr(P.ST, "dim_company", lambda production: whole(production).limit(0))
+    with pytest.raises(Q.QualityError, match="relationships_company_key"):
+        P.run_month(spark, rows, registry, lake, version=0, run="one", checks=_checks(), cutoffs=["2014-04-01"])
+    results = spark.read.parquet(lake.path("silver", "quality_results"))
+    assert {r.table_name for r in results.collect()} == {"typed_production", "typed_registry", "dim_well", "dim_company", "dim_date", "fact_production"}
+    assert not (tmp_path / "lake" / "gold" / "fact_production").exists() and not (tmp_path / "lake" / "features").exists()
+    monkeypatch.setattr(P.ST, "dim_company", whole)
+    leaky = P.FT.well_features
+    monkeypatch.setattr(P.FT, "well_features", lambda *a: leaky(*a).withColumn("oil_prod_m3_lag_1m", F.lit(99.0)))
+    with pytest.raises(Q.QualityError, match="point_in_time"):
+        P.run_month(spark, rows, registry, lake, version=0, run="two", checks=_checks(), cutoffs=["2014-04-01"])
+    assert not (tmp_path / "lake" / "features").exists()
+
+
 def test_retraining_chain(spark, features, series):
     stored = features.drop("feature_key")
     out = retrain(stored, series, "2023-04-01", spec=MD.ModelSpec(kind="linear"))

@@ -90,7 +90,18 @@ class ReferenceCheck:
     dimension: str = INTEGRITY
 
 
-Check = RowCheck | ShareCheck | RecencyCheck | UniqueCheck | ReferenceCheck
+@dataclass(frozen=True)
+class ListedCheck:
+    """No row may be among the keys that another computation lists as wrong."""
+
+    name: str
+    columns: tuple[str, ...]
+    wrong: DataFrame = field(repr=False)
+    severity: str = ERROR
+    dimension: str = INTEGRITY
+
+
+Check = RowCheck | ShareCheck | RecencyCheck | UniqueCheck | ReferenceCheck | ListedCheck
 
 
 def not_null(column: str, severity: str = ERROR) -> RowCheck:
@@ -124,6 +135,11 @@ def references(column: str, parent: DataFrame, parent_column: str | None = None,
     return ReferenceCheck(f"relationships_{column}", column, parent, parent_column or column, severity)
 
 
+def absent_from(name: str, columns: list[str], wrong: DataFrame, severity: str = ERROR) -> ListedCheck:
+    """``wrong`` holds keys; keys without a row count as failures as well."""
+    return ListedCheck(name, tuple(columns), wrong.select(*columns), severity)
+
+
 def typed_production_checks(today: dt.date | str, first_month: dt.date = FIRST_MONTH) -> list[Check]:
     """The published checks of the typed production table."""
     checks: list[Check] = [not_null(c) for c in ("well_id", "company_id", "production_month")]
@@ -229,6 +245,8 @@ def run_checks(df: DataFrame, checks: list[Check], table: str = "") -> DataFrame
             found = duplicates(_keyed(df, check), *check.columns).agg(F.sum("n").alias("n"))
         elif isinstance(check, ReferenceCheck):
             found = orphans(df, check.column, check.parent, check.parent_column).agg(F.count(F.lit(1)).alias("n"))
+        elif isinstance(check, ListedCheck):
+            found = check.wrong.agg(F.count(F.lit(1)).alias("n"))
         else:
             continue
         failing = F.coalesce("n", F.lit(0))
@@ -291,6 +309,8 @@ def failing_rows(df: DataFrame, checks: list[Check], table: str, keys: list[str]
         elif isinstance(check, ReferenceCheck):
             found = orphans(df, check.column, check.parent, check.parent_column)
             columns = df.columns
+        elif isinstance(check, ListedCheck):
+            found, columns = check.wrong, check.wrong.columns
         else:
             continue
         kept = [

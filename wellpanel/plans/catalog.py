@@ -997,22 +997,48 @@ def _(p):
     return split.groupBy("split", "as_of_date").agg(F.count(F.lit(1)).alias("n_rows"), F.max("target_month").alias("last_target"))
 
 
-SMALL_MODEL = MD.ModelSpec(trees=5, depth=3)
+#: The fitted regression of each set of tables: fitted once a session, read by every query that serves it.
+_FITTED: dict[tuple[str, str], tuple[MD.Fitted, DataFrame]] = {}
+
+
+def _fitted(p: Panel) -> tuple[MD.Fitted, DataFrame]:
+    """The published model, and the split it was fitted on."""
+    key = (p.spark.sparkContext.applicationId, p.sf_dir)
+    if key not in _FITTED:
+        rows = p.stage(SV.temporal_split(p.dataset_table, AS_OF), "split")
+        _FITTED[key] = MD.fit(rows.filter("split = 'train'")), rows
+    return _FITTED[key]
 
 
 @query("f13_global_regression")
 def _(p):
-    rows = p.stage(SV.temporal_split(p.dataset_table, AS_OF), "split")
-    fitted = MD.fit(rows.filter("split = 'train'"), SMALL_MODEL)
+    fitted, rows = _fitted(p)
     return MD.predict(fitted, rows.filter("split = 'test'")).select("well_id", "as_of_date", "horizon", "prediction_m3")
 
 
+@query("f13_scored_rows")
+def _(p):
+    """What can be compared of a fitted model: every tested row has one finite prediction."""
+    fitted, rows = _fitted(p)
+    scored = MD.predict(fitted, rows.filter("split = 'test'"))
+    finite = F.col("prediction_m3").isNotNull() & ~F.isnan("prediction_m3")
+    return scored.groupBy("as_of_date", "horizon").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(finite).alias("n_scored"))
+
+
+def _forecast(p: Panel) -> DataFrame:
+    asked = p.requests.select("well_id", F.add_months("date_end", 0).alias("as_of_date"))
+    return MD.forecast(_fitted(p)[0], p.feature_table, asked, 6)
+
+
 @query("f14_batch_forecast")
 def _(p):
-    rows = p.stage(SV.temporal_split(p.dataset_table, AS_OF), "split")
-    fitted = MD.fit(rows.filter("split = 'train'"), MD.ModelSpec(kind="linear"))
-    asked = p.requests.select("well_id", F.add_months("date_end", 0).alias("as_of_date")).filter("as_of_date >= date'1999-08-01'")
-    return MD.forecast(fitted, p.feature_table, asked, 6)
+    return _forecast(p)
+
+
+@query("f14_forecast_frame")
+def _(p):
+    """Every request answered: its months and flags, or that its features are missing."""
+    return _forecast(p).select("well_id", "as_of_date", "horizon", "month", "extrapolated", "status")
 
 
 @query("f15_persistence")
@@ -1120,9 +1146,25 @@ def _(p):
     return stored.select("feature_key", *FEATURE_CONTRACT)
 
 
+@query("b01_quality_results")
+def _(p):
+    """Every gate of one build, and two on damaged copies: wells without a depth removed, one feature moved."""
+    lake = MO.Lake(staging_path(p.spark, "lake"))
+    found = MO.run_month(
+        p.spark, p.raw, p.raw_registry, lake, checks=_silver_checks(), version=0, run="first", cutoffs=EVALUATED[:2],
+    )
+    fact, features = (p.spark.read.parquet(lake.path(*at)) for at in (("gold", "fact_production"), ("features", "well_features")))
+    wells = TB.read_version(p.spark, lake.path("gold", "dim_well"), 0).filter("depth_m is not null")
+    orphaned = Q.run_checks(fact, [Q.references("well_key", wells)], "fact_production damaged")
+    moved = features.withColumn("months_with_history", F.col("months_with_history") + (F.col("months_with_history") == 12).cast("int"))
+    wrong = FT.audit_features(moved, fact)
+    leaked = Q.run_checks(moved, [Q.absent_from("point_in_time", ["well_id", "as_of_date"], wrong)], "well_features damaged")
+    return found.unionByName(orphaned).unionByName(leaked).select("table_name", "check_name", "failing_rows", "total_rows", "passed")
+
+
 @query("b02_retraining")
 def _(p):
-    out = RT.retrain(p.feature_table.drop("feature_key"), p.fact, AS_OF, validation_cutoffs=3, purge_overlap=True, spec=SMALL_MODEL)
+    out = RT.retrain(p.feature_table.drop("feature_key"), p.fact, AS_OF, validation_cutoffs=3, purge_overlap=True)
     return out.backtest.metrics
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,45 +38,58 @@ def build_typed(spark: SparkSession, raw: DataFrame, raw_registry: DataFrame, la
     TB.replace_table(TY.typed_registry(raw_registry), lake.path("silver", "wells"))
 
 
+def _gate(lake: Lake, run: str, table: str, rows: DataFrame, checks: list[Q.Check], keys: list[str]) -> DataFrame:
+    """Check one table, keep results and evidence under the run's name, and stop the chain if a blocking check failed."""
+    results = durable(Q.run_checks(rows, checks, table))
+    TB.replace_table(results, f"{lake.path('silver', 'quality_results')}/run={run}/checked={table}")
+    TB.replace_table(Q.failing_rows(rows, checks, table, keys), f"{lake.path('silver', 'quality_failures')}/run={run}/checked={table}")
+    Q.require_passed(results)
+    return results
+
+
 def check_typed(spark: SparkSession, lake: Lake, checks: list[Q.Check], run: str) -> DataFrame:
-    """Run the checks and keep their results and evidence under the run's name; returns the results."""
+    """The gates behind the typed layer: production and registry."""
     production = spark.read.parquet(lake.path("silver", "production"))
-    results = durable(Q.run_checks(production, checks, "typed_production"))
-    TB.replace_table(results, f"{lake.path('silver', 'quality_results')}/run={run}")
-    evidence = Q.failing_rows(production, checks, "typed_production", ["well_id", "production_month"])
-    TB.replace_table(evidence, f"{lake.path('silver', 'quality_failures')}/run={run}")
-    return results
+    registry = spark.read.parquet(lake.path("silver", "wells"))
+    found = _gate(lake, run, "typed_production", production, checks, ["well_id", "production_month"])
+    return found.unionByName(_gate(lake, run, "typed_registry", registry, Q.registry_checks(), ["well_id"]))
+
+
+#: Surrogate and business key of each dimension.
+DIMENSIONS = {"dim_well": ("well_key", "well_id"), "dim_company": ("company_key", "company_id"), "dim_date": ("date_key", "production_month")}
 
 
-def build_star(spark: SparkSession, lake: Lake, version: int, *, start: Day | None = None, end: Day | None = None) -> None:
-    """Upsert the dimensions into a new version and the fact into the months of the range."""
+def build_star(spark: SparkSession, lake: Lake, version: int, run: str, *, start: Day | None = None, end: Day | None = None) -> DataFrame:
+    """Write the dimensions as a new version, check them and the fact against them, then upsert the fact."""
     production = spark.read.parquet(lake.path("silver", "production")).select(*PRODUCTION_SCHEMA.fieldNames())
     registry = spark.read.parquet(lake.path("silver", "wells"))
-    dimensions = {
-        "dim_well": (ST.dim_well(registry, production), "well_key"),
-        "dim_company": (ST.dim_company(production), "company_key"),
-        "dim_date": (ST.dim_date(production), "date_key"),
-    }
-    for name, (rows, key) in dimensions.items():
-        TB.upsert_dimension(spark, rows, lake.path("gold", name), [key], version)
-    fact = ST.fact_production(production, start, end)
+    rows = {"dim_well": ST.dim_well(registry, production), "dim_company": ST.dim_company(production), "dim_date": ST.dim_date(production)}
+    written, found = {}, []
+    for name, (key, business_key) in DIMENSIONS.items():
+        written[name] = TB.upsert_dimension(spark, rows[name], lake.path("gold", name), [key], version)
+        found.append(_gate(lake, run, name, written[name], Q.dimension_checks(key, business_key), [business_key]))
+    fact = durable(ST.fact_production(production, start, end))
+    found.append(_gate(lake, run, "fact_production", fact, Q.fact_checks(*written.values()), ["production_key"]))
     TB.upsert_periods(spark, fact, lake.path("gold", "fact_production"), ["production_key"])
+    return reduce(DataFrame.unionByName, found)
 
 
-def build_features(spark: SparkSession, lake: Lake, version: int, cutoffs: Cutoffs) -> None:
-    """Materialise the cutoffs; other cutoffs keep their rows."""
+def build_features(spark: SparkSession, lake: Lake, version: int, run: str, cutoffs: Cutoffs) -> DataFrame:
+    """Compute the cutoffs, check and audit them, then materialise them; other cutoffs keep their rows."""
     fact = spark.read.parquet(lake.path("gold", "fact_production"))
     wells = TB.read_version(spark, lake.path("gold", "dim_well"), version)
-    rows = FT.well_features(fact, wells, cutoffs)
+    rows = durable(FT.well_features(fact, wells, cutoffs))
+    leaked = FT.audit_features(rows, fact).select("well_id", "as_of_date")
+    audited = [*Q.feature_checks(), Q.absent_from("point_in_time", ["well_id", "as_of_date"], leaked)]
+    found = _gate(lake, run, "well_features", rows, audited, ["well_id", "as_of_date"])
     TB.upsert_periods(spark, rows, lake.path("features", "well_features"), ["feature_key"], "as_of_date")
+    return found
 
 
 def run_month(spark: SparkSession, raw: DataFrame, raw_registry: DataFrame, lake: Lake, *, version: int, run: str,
               checks: list[Q.Check], cutoffs: Cutoffs, start: Day | None = None, end: Day | None = None) -> DataFrame:
-    """The whole chain; a failed blocking check leaves star schema and features as they were."""
+    """The whole chain; a failed blocking check leaves the layers behind it as they were.  Returns all results."""
     build_typed(spark, raw, raw_registry, lake, start=start, end=end)
-    results = check_typed(spark, lake, checks, run)
-    Q.require_passed(results)
-    build_star(spark, lake, version, start=start, end=end)
-    build_features(spark, lake, version, cutoffs)
-    return results
+    found = check_typed(spark, lake, checks, run)
+    found = found.unionByName(build_star(spark, lake, version, run, start=start, end=end))
+    return found.unionByName(build_features(spark, lake, version, run, cutoffs))

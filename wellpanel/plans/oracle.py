@@ -389,6 +389,55 @@ _TYPED_CHECKS = " UNION ALL ".join(
     ]
 )
 
+_BUILT_FEATURES = "(SELECT * FROM features WHERE as_of_date IN (DATE '2001-04-01', DATE '2001-05-01'))"
+
+
+def _listed(table: str, relation: str, name: str, failing: str) -> str:
+    return (
+        f"SELECT '{table}' AS table_name, '{name}' AS check_name, 'integrity' AS dimension, 'error' AS severity, "
+        f"({failing}) AS failing_rows, ({failing}) = 0 AS passed, count(*) AS total_rows FROM {relation}"
+    )
+
+
+def _missing_parent(key: str, parent: str, where: str = "true") -> str:
+    return f"SELECT count(*) FROM fact WHERE {key} IS NOT NULL AND {key} NOT IN (SELECT {key} FROM {parent} WHERE {where})"
+
+
+_GATES = " UNION ALL ".join(
+    [
+        f"SELECT * FROM ({_TYPED_CHECKS})",
+        _row_check("typed_registry", "registry", "not_null_well_id", "completeness", "well_id IS NULL"),
+        _unique_check("typed_registry", "registry", "well_id"),
+        *[
+            part
+            for table, key, business in (("dim_well", "well_key", "well_id"), ("dim_company", "company_key", "company_id"), ("dim_date", "date_key", "production_month"))
+            for part in (
+                _row_check(table, table, f"not_null_{key}", "completeness", f"{key} IS NULL"),
+                _unique_check(table, table, key),
+                _row_check(table, table, f"not_null_{business}", "completeness", f"{business} IS NULL"),
+            )
+        ],
+        _row_check("fact_production", "fact", "not_null_production_key", "completeness", "production_key IS NULL"),
+        _unique_check("fact_production", "fact", "production_key"),
+        *[
+            _listed("fact_production", "fact", f"relationships_{key}", _missing_parent(key, parent))
+            for key, parent in (("well_key", "dim_well"), ("company_key", "dim_company"), ("date_key", "dim_date"))
+        ],
+        *[
+            _row_check("well_features", _BUILT_FEATURES, f"not_null_{c}", "completeness", f"{c} IS NULL")
+            for c in (
+                "feature_key", "well_id", "as_of_date", "months_with_history", "well_age_months", "months_since_last_observed", "zero_months_12m",
+                "last_observed_month",
+            )
+        ],
+        _unique_check("well_features", _BUILT_FEATURES, "feature_key"),
+        _unique_check("well_features", _BUILT_FEATURES, "well_id, as_of_date"),
+        _listed("well_features", _BUILT_FEATURES, "point_in_time", "SELECT 0"),
+        _listed("fact_production damaged", "fact", "relationships_well_key", _missing_parent("well_key", "dim_well", "depth_m IS NOT NULL")),
+        _listed("well_features damaged", _BUILT_FEATURES, "point_in_time", f"SELECT count(*) FROM {_BUILT_FEATURES} WHERE months_with_history = 12"),
+    ]
+)
+
 _TOP_TOTALS = (
     "SELECT well_alias, v.fluid_type, v.total_volume FROM (SELECT w.well_alias, sum(oil_prod_m3) AS o, sum(gas_prod_mm3) AS g, sum(water_prod_m3) AS a "
     "FROM fact f JOIN dim_well w ON f.well_key = w.well_key {where} GROUP BY w.well_alias) AS x, LATERAL (SELECT 'Petróleo' AS fluid_type, x.o AS total_volume "
@@ -771,6 +820,18 @@ ORACLES: dict[str, tuple[str, str]] = {
         + ") s ON d.as_of_date = s.as_of_date WHERE s.split <> 'train' OR target_month < DATE '2001-08-01' GROUP BY 1, 2",
         "s:split t:as_of_date i:n_rows t:last_target",
     ),
+    "f13_scored_rows": (
+        "SELECT as_of_date, horizon, count(*) AS n_rows, count(*) AS n_scored FROM dataset WHERE as_of_date = DATE '2001-08-01' GROUP BY 1, 2",
+        "t:as_of_date i:horizon,n_rows,n_scored",
+    ),
+    "f14_forecast_frame": (
+        "WITH asked AS (SELECT DISTINCT well_id, date_end AS as_of_date, date_end + INTERVAL 1 MONTH AS cutoff FROM requests), "
+        "known AS (SELECT a.*, f.well_id IS NOT NULL AS found FROM asked a LEFT JOIN features f ON f.well_id = a.well_id AND f.as_of_date = a.cutoff) "
+        "SELECT well_id, as_of_date, h AS horizon, cutoff + INTERVAL (h - 1) MONTH AS month, h > 3 AS extrapolated, 'ok' AS status "
+        "FROM known, (SELECT unnest(range(1, 7)) AS h) WHERE found "
+        "UNION ALL SELECT well_id, as_of_date, NULL, NULL, NULL, 'missing' FROM known WHERE NOT found",
+        "s:well_id t:as_of_date i:horizon t:month s:extrapolated,status",
+    ),
     "f15_persistence": (
         "SELECT h.well_id, h.as_of_date, s.y AS naive_forecast_m3 FROM history h LEFT JOIN series s ON s.well_id = h.well_id AND s.production_month = h.last_observed_month",
         "s:well_id t:as_of_date d:naive_forecast_m3",
@@ -827,6 +888,10 @@ ORACLES: dict[str, tuple[str, str]] = {
     ),
 }
 
+ORACLES["b01_quality_results"] = (
+    f"SELECT table_name, check_name, failing_rows, total_rows, passed FROM ({_GATES})", "s:table_name,check_name i:failing_rows,total_rows s:passed"
+)
+
 #: A stream shows what the same batch does.
 for _name in (
     "r02_request_rate", "r03_latency_histogram", "r03_latency_percentiles", "r04_error_share", "r05_trailing_by_status", "r05_trailing_total",
