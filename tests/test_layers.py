@@ -22,8 +22,8 @@ REG_NAMES = (
 ).split()
 
 
-def raw_row(well="135204", year="2014", mon="1", oil="10.5", load="1", company="PAL", name="PLUSPETROL", alias="LLL-1", **more):
-    base = dict(zip(RAW_NAMES, (company, year, mon, well, oil, "0.000", "", name, alias, "lajas", "", "NEUQUINA", "Neuquén", "CONVENCIONAL", load)))
+def raw_row(well="77", year="2014", mon="1", oil="10.5", load="1", company="NOR", name="NORTHERN OIL", alias="N-1", **more):
+    base = dict(zip(RAW_NAMES, (company, year, mon, well, oil, "0.000", "", name, alias, "lower sand", "", "NEUQUINA", "Neuquén", "CONVENCIONAL", load)))
     return tuple({**base, **more}[n] for n in RAW_NAMES)
 
 
@@ -42,7 +42,7 @@ def test_typing_cleaning_and_latest_load(silver):
     assert silver.schema.fieldNames() == PRODUCTION_SCHEMA.fieldNames()
     got = {(r.well_id, r.production_month.month): r.oil_prod_m3 for r in silver.collect()}
     assert {k: None if v is None else float(v) for k, v in got.items()} == {
-        ("135204", 1): 99.0, ("135204", 2): 0.0, ("135204", 3): None, ("135204", 4): None, ("135204", 5): 7.25, ("2", 5): 10.5,
+        ("77", 1): 99.0, ("77", 2): 0.0, ("77", 3): None, ("77", 4): None, ("77", 5): 7.25, ("2", 5): 10.5,
     }
     r = silver.filter("well_id = '2'").first()
     assert r.well_alias is None and r.company_name is None and r.field is None and r.province == "Neuquén"
@@ -65,8 +65,8 @@ def test_deduplication_limits_groups_before_the_shuffle(spark):
 @pytest.fixture(scope="module")
 def registry(spark):
     rows = [
-        ("144081", "PAL", "3025.00", "-38.5", "-68.7", "REG-1", "quintuco", "F", "NEUQUINA", "Neuquén", "EXPLOTACION", "", "CONV", "1"),
-        ("144081", "PAL", "", "-38.5", "-68.7", "REG-2", "quintuco", "F", "NEUQUINA", "Neuquén", "EXPLOTACION", "", "CONV", "2"),
+        ("88", "NOR", "3025.00", "-38.5", "-68.7", "R-88a", "upper shale", "F", "NEUQUINA", "Neuquén", "EXPLOTACION", "", "CONV", "1"),
+        ("88", "NOR", "", "-38.5", "-68.7", "R-88b", "upper shale", "F", "NEUQUINA", "Neuquén", "EXPLOTACION", "", "CONV", "2"),
         (" ", "X", "", "", "", "", "", "", "", "", "", "", "", "3"),
         ("2", "Z", "5", "", "", "ALIAS-2", "", "REGISTRY FIELD", "", "", "", "", "", "1"),
     ]
@@ -75,12 +75,12 @@ def registry(spark):
 
 def test_dimensions_and_fact_resolve(silver, registry):
     wells = {r.well_id: r for r in ST.dim_well(registry, silver).collect()}
-    assert set(wells) == {"144081", "2", "135204"} == {r.well_id for r in ST.well_universe(registry, silver).collect()}
+    assert set(wells) == {"88", "2", "77"} == {r.well_id for r in ST.well_universe(registry, silver).collect()}
     assert wells["2"].well_alias == "ALIAS-2" and wells["2"].field == "REGISTRY FIELD" and wells["2"].basin == "NEUQUINA"
-    assert wells["144081"].well_alias == "REG-2" and wells["144081"].depth_m is None and wells["144081"].formation is None
-    assert wells["135204"].formation == "lajas"
+    assert wells["88"].well_alias == "R-88b" and wells["88"].depth_m is None and wells["88"].formation is None
+    assert wells["77"].formation == "lower sand"
     companies = {r.company_id: r.company_name for r in ST.dim_company(silver).collect()}
-    assert companies == {"PAL": "PLUSPETROL", "Z": None}
+    assert companies == {"NOR": "NORTHERN OIL", "Z": None}
     dates = ST.dim_date(silver)
     d = dates.filter("month = 5").first()
     assert (d.year, d.quarter, d.month_name) == (2014, 2, "May")
@@ -105,7 +105,7 @@ def test_company_names_are_hashed_before_any_sort(spark, tmp_path):
 
 def test_top_wells_puts_wells_without_oil_last(silver, registry):
     rows = ST.top_wells_by_volume(ST.fact_production(silver), ST.dim_well(registry, silver)).orderBy("oil_volume_rank").collect()
-    assert [(r.well_id, r.oil_volume_rank) for r in rows] == [("135204", 1), ("2", 2)]
+    assert [(r.well_id, r.oil_volume_rank) for r in rows] == [("77", 1), ("2", 2)]
 
 
 def test_csv_scan_keeps_text_and_cleans_header(spark, tmp_path):
@@ -195,3 +195,14 @@ def test_column_helpers(spark):
     assert (r.ne, r.eq, r.near, r.gone, r.has) == (True, False, False, True, True)
     with pytest.raises(PySparkException):
         df.select(C.strict("t", NUMERIC)).collect()
+
+
+def test_range_rebuild_reads_only_its_months(spark, tmp_path):
+    raw = frame(spark, [raw_row(well=str(w), mon=str(m), oil=str(m)) for w in (1, 2) for m in range(1, 13)] + [raw_row(mon=" "), raw_row(year="")])
+    RAW.store_raw_production(raw, str(tmp_path / "raw"))
+    stored = RAW.read_raw_production(spark, str(tmp_path / "raw"), raw)
+    rebuilt = TY.typed_production(stored, "2014-03-01", "2014-06-01")
+    assert {(r.well_id, r.production_month.month) for r in rebuilt.collect()} == {(w, m) for w in ("1", "2") for m in (3, 4, 5)}
+    plan = rebuilt._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "anio" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert TY.typed_production(raw, "2014-03-01", "2014-06-01").count() == rebuilt.count()

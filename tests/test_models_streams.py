@@ -107,12 +107,12 @@ def test_arrivals_keep_newest_load_and_survive_retries(spark, tmp_path):
 
     water = {"prod_agua": "1"}
     first = [raw_row(oil="1", load="1", **water), raw_row(well="2", oil="2", load="1", **water)]
-    assert arrive(first) == {("135204", 1): 1.0, ("2", 1): 2.0}
-    assert arrive([raw_row(oil="5", load="3", **water), raw_row(mon="2", oil="7", load="3", **water)]) == {("135204", 1): 5.0, ("135204", 2): 7.0, ("2", 1): 2.0}
+    assert arrive(first) == {("77", 1): 1.0, ("2", 1): 2.0}
+    assert arrive([raw_row(oil="5", load="3", **water), raw_row(mon="2", oil="7", load="3", **water)]) == {("77", 1): 5.0, ("77", 2): 7.0, ("2", 1): 2.0}
     late = frame(spark, [raw_row(oil="4", load="2", **water)])
     for _ in range(2):  # an older load, delivered twice
         AR.apply_batch(spark, late, lake, _checks())
-    assert {float(r.oil_prod_m3) for r in spark.read.parquet(lake).filter("well_id = '135204'").collect()} == {5.0, 7.0}
+    assert {float(r.oil_prod_m3) for r in spark.read.parquet(lake).filter("well_id = '77'").collect()} == {5.0, 7.0}
     with pytest.raises(Q.QualityError):
         AR.apply_batch(spark, frame(spark, [raw_row(year="1990", **water)]), lake, _checks())
     assert spark.read.parquet(lake).count() == 3

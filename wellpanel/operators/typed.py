@@ -61,11 +61,25 @@ def type_production(raw: DataFrame) -> DataFrame:
     return dated.select(*[columns[name].alias(name) for name in PRODUCTION_SCHEMA.fieldNames()])
 
 
+def _raw_range(raw: DataFrame, start: dt.date | str | None, end: dt.date | str | None) -> DataFrame:
+    """Raw rows whose text months lie in the range.
+
+    Says nothing new beside the exact filter on the typed month, but it speaks of ``anio`` and ``mes``
+    alone, so a raw table partitioned by them is read only where the range lies.
+    """
+    month = F.try_to_number(F.trim("anio"), F.lit("9999")) * 12 + F.try_to_number(F.trim("mes"), F.lit("99"))
+    for bound, keep in ((start, lambda at: month >= at), (end, lambda at: month <= at)):
+        if bound is not None:
+            day = dt.date.fromisoformat(str(bound)[:10])
+            raw = raw.filter(keep(day.year * 12 + day.month))
+    return raw
+
+
 def typed_production(
     raw: DataFrame, start: dt.date | str | None = None, end: dt.date | str | None = None
 ) -> DataFrame:
     """One row per (well, month), the newest load wins; optionally only ``[start, end)``."""
-    rows = month_range(type_production(raw), start, end)
+    rows = month_range(type_production(_raw_range(raw, start, end)), start, end)
     keys = ["well_id", "production_month"]
     ties = [c for c in PRODUCTION_SCHEMA.fieldNames() if c not in (*keys, "dlt_load_id")]
     return latest_per_key(rows, keys, newest_load_first("dlt_load_id", ties))

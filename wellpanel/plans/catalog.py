@@ -248,7 +248,9 @@ def _(p):
 
 @query("s10_range_rebuild")
 def _(p):
-    return TY.typed_production(p.raw, "2000-01-01", "2000-07-01")
+    path = staging_path(p.spark, "raw")
+    RAW.store_raw_production(p.raw, path)
+    return TY.typed_production(RAW.read_raw_production(p.spark, path, p.raw), "2000-01-01", "2000-07-01")
 
 
 @query("s11_logical_view")

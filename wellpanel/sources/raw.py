@@ -30,6 +30,16 @@ def read_raw_csv(spark: SparkSession, path: str | list[str], *, multi_line: bool
     )
 
 
+def store_raw_production(raw: DataFrame, path: str) -> None:
+    """Raw declarations as a table partitioned by their text period, so that a range rebuild reads only its months."""
+    raw.hint("rebalance", "anio", "mes").write.mode("overwrite").partitionBy("anio", "mes").parquet(path)
+
+
+def read_raw_production(spark: SparkSession, path: str, raw: DataFrame) -> DataFrame:
+    """The stored declarations with the columns of ``raw``, all text."""
+    return spark.read.schema(raw.schema).parquet(path).select(*raw.columns)
+
+
 def _is_blank_header(name: str, position: int) -> bool:
     return not name.strip() or name == f"_c{position}"
 
