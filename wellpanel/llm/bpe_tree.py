@@ -34,7 +34,7 @@ from wellpanel.llm.words import row_groups, text_bytes
 #: Characters of a leaf of the tree, bytes of a leaf within one match, characters of a part of a spread text.
 LEAF, MATCH_LEAF, SPREAD = 1 << 14, 64, 1 << 20
 #: Encoded matches a task remembers.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Trailing matches of a scan that may change with what follows.
 OPEN_MATCHES = 4
 NO_RANK, GONE = 1 << 60, 1 << 29
