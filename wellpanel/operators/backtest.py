@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -238,8 +239,8 @@ def evaluate(
     )
 
 
-def report_rows(result: Backtest, thresholds: Thresholds = Thresholds()) -> DataFrame:
-    """One nested row per cutoff: the report as it is stored."""
+def report_rows(result: Backtest, thresholds: Thresholds = Thresholds(), horizons: Iterable[int] = (1, 2, 3)) -> DataFrame:
+    """One nested row per cutoff: the report as it is stored, with the horizons that were judged."""
     named = result.distributions.groupBy("as_of_date").agg(
         F.map_from_entries(
             F.sort_array(F.collect_list(F.struct("metric", F.struct(*QUANTILES).alias("q"))))
@@ -254,4 +255,5 @@ def report_rows(result: Backtest, thresholds: Thresholds = Thresholds()) -> Data
         .join(verdicts, "as_of_date", "left")
         .join(gates_passed(result.gates), "as_of_date", "left")
         .withColumn("thresholds", limits)
+        .withColumn("horizons", F.array(*[F.lit(h) for h in sorted(set(horizons))]))
     )

@@ -1092,6 +1092,17 @@ def _(p):
     return _backtest(p, [AS_OF], True).summary
 
 
+@query("s15_evaluation_report")
+def _(p):
+    path = staging_path(p.spark, "evaluation")
+    TB.write_json_report(B.report_rows(_backtest(p, [AS_OF], False), horizons=HORIZONS), path)
+    stored = "as_of_date date, wells_in_test long, mase_median double, gates_passed boolean, gates array<struct<gate:string>>, horizons array<int>"
+    return p.spark.read.schema(stored).json(path).select(
+        "as_of_date", "wells_in_test", "mase_median", "gates_passed", F.size("gates").alias("n_gates"),
+        F.array_join(F.col("horizons").cast("array<string>"), ",").alias("horizons"),
+    )
+
+
 @query("f19_gates")
 def _(p):
     return _backtest(p, [AS_OF], False).gates

@@ -842,6 +842,11 @@ ORACLES: dict[str, tuple[str, str]] = {
         f"t:as_of_date {_BASIC_SUMMARY} d:model_mae_m3,naive_mae_m3 s:arps_degraded d:mase_median,naive_mae_ratio",
     ),
     "f18_backtest_distributions": ("SELECT * FROM distributions", "t:as_of_date s:metric d:p50,p75,p90"),
+    "s15_evaluation_report": (
+        "SELECT c.as_of_date, wells_in_test, mase_median, gates_passed, 3 AS n_gates, '1,2,3' AS horizons "
+        "FROM coverage c JOIN verdicts v ON c.as_of_date = v.as_of_date WHERE c.as_of_date = DATE '2001-08-01'",
+        "t:as_of_date i:wells_in_test d:mase_median s:gates_passed i:n_gates s:horizons",
+    ),
     "f19_gates": ("SELECT * FROM gates WHERE as_of_date = DATE '2001-08-01'", "t:as_of_date s:gate d:value,threshold s:passed,blocking"),
     "f20_long_metrics": (
         "SELECT as_of_date, metric, value FROM (SELECT as_of_date, 'eval_' || k AS metric, cast(v AS double) AS value FROM coverage c, LATERAL (SELECT 'model_mae_m3' AS k, c.model_mae_m3 AS v "
