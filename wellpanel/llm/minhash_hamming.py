@@ -103,23 +103,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, last, words, bounds in word_groups(batch.column("text")):
-            sets, at = distinct_shingles(words, bounds, WIDTH)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(first, last - first),
-                    pa.array([sets[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
-                ],
-                names=["rep", "shingle_set"],
-            )
-
+def _likely_sets(wanted: DataFrame):
+    """Shingle sets of all wanted ids and few others, so that other texts are neither shuffled nor kept.
 
-def _likely(wanted: DataFrame):
-    """A filter that passes all wanted ids and few others, so that other texts are not shuffled for the exact join.
-
-    Its FILTER_BITS bits are summed up by Spark; the driver sees at most FILTER_BITS / 32 numbers, whatever the table.
+    The filter's FILTER_BITS bits are summed up by Spark; the driver sees at most FILTER_BITS / 32 numbers, whatever the
+    table.  Filter and sets are one Python step: two in a stage would hold two workers a core.
     """
     words = (
         wanted.select(_place("rep")).groupBy(F.expr("shiftright(place, 5)").alias("word"))
@@ -129,14 +117,23 @@ def _likely(wanted: DataFrame):
     bits[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     shared = wanted.sparkSession.sparkContext.broadcast(bits)
 
-    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likely_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
             place = batch.column("place").to_numpy()
             hit = bits[place >> 5] >> (place & 31).astype(np.uint32) & np.uint32(1)
-            yield batch.select(["doc_id", "text"]).filter(pa.array(hit.astype(bool)))
+            batch = batch.filter(pa.array(hit.astype(bool)))
+            for first, last, words, bounds in word_groups(batch.column("text")):
+                sets, at = distinct_shingles(words, bounds, WIDTH)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(first, last - first),
+                        pa.array([sets[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                    ],
+                    names=["rep", "shingle_set"],
+                )
 
-    return passes
+    return likely_sets
 
 
 def _place(name: str) -> Column:
@@ -249,11 +246,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     )
     marked = staged(_by_cell(cells).mapInPandas(_mark(percent / 100), CELL), "marked")
     wanted = staged(marked.select("rep").distinct(), "wanted")
-    likely = narrow.filter("doc_id is not null").select("*", _place("doc_id")).mapInArrow(_likely(wanted), "doc_id long, text string")
-    sets = staged(
-        likely.join(wanted, likely["doc_id"] == wanted["rep"], "left_semi").mapInArrow(_sets, "rep long, shingle_set binary").dropDuplicates(["rep"]),
-        "sets",
-    )
+    likely = narrow.filter("doc_id is not null").select("*", _place("doc_id")).mapInArrow(_likely_sets(wanted), "rep long, shingle_set binary")
+    sets = staged(likely.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "sets")
     links = _by_cell(marked.join(sets, "rep")).mapInPandas(_confirm(percent), "a long, b long")
     linked = components(links)
     named = (
