@@ -16,6 +16,7 @@ already connected.  What remains quadratic is the comparison of signatures withi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -34,9 +35,8 @@ INDEXED = CHUNKS * CHUNK
 LENGTH = 64
 #: Signature distance up to which the indexed join is guaranteed to find a pair.
 GUARANTEED = 2 * CHUNKS - 1
-#: Pairs further apart than this in all LENGTH values are not confirmed.  At a similarity of 0.85 a pair differs in
-#: 9.6 values on average; more than 25 have a probability below 1e-6.
-FARTHEST = 25
+#: A pair exactly at the asked similarity may be lost before it is confirmed with this probability.
+LOST = 1e-6
 #: Members and shingles of a block; a cell holds two blocks.
 BLOCK, BLOCK_WEIGHT = 256, 1 << 20
 #: Bits of the filter that spares other texts the shuffle before sets are built.
@@ -140,30 +140,39 @@ def _place(name: str) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)).cast("int").alias("place")
 
 
-def _near_pairs(members: pd.DataFrame, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def farthest(percent: int) -> int:
+    """Pairs further apart than this in all LENGTH values are not confirmed: 25 at 85 percent, 30 at 80."""
+    p, tail, at = 1 - percent / 100, 0.0, LENGTH
+    while at > 0 and (tail := tail + comb(LENGTH, at) * p**at * (1 - p) ** (LENGTH - at)) < LOST:
+        at -= 1
+    return at
+
+
+def _near_pairs(members: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Positions and distances of the pairs that each cell answers for: near signatures, sizes that allow a link,
     and no earlier slot in common.  Pairs are formed ``PAIRS_AT_ONCE`` at a time."""
     signature = np.frombuffer(b"".join(members["signature"]), np.uint16).reshape(len(members), LENGTH)
     size, block, slot = (members[c].to_numpy() for c in ("n_shingles", "block", "slot"))
     across = (members["i"] != members["j"]).to_numpy()
+    ratio, limit = percent / 100, farthest(percent)
     for a, b in pairs_within(members, BY_CELL, PAIRS_AT_ONCE):
         low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         able = (low >= ratio * high) & (~across[a] | (block[a] != block[b]))
         a, b = a[able], b[able]
         same = signature[a] == signature[b]
         distance = LENGTH - same.sum(axis=1)
-        near = distance <= FARTHEST
+        near = distance <= limit
         a, b, same, distance = a[near], b[near], same[near, :INDEXED].reshape(-1, CHUNKS, CHUNK), distance[near]
         shared = (same.sum(axis=2)[:, :, None] - same >= CHUNK - 1).reshape(-1, INDEXED)
         mine = shared.argmax(axis=1) == slot[a] if len(a) else np.zeros(0, bool)
         yield a[mine], b[mine], distance[mine]
 
 
-def _mark(ratio: float):
+def _mark(percent: int):
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for members in whole_groups(batches, BY_CELL):
             hit = np.zeros(len(members), bool)
-            for a, b, _ in _near_pairs(members, ratio):
+            for a, b, _ in _near_pairs(members, percent):
                 hit[a] = hit[b] = True
             yield members[hit]
 
@@ -184,7 +193,7 @@ def _confirm(percent: int):
                 return x
 
             edges = []
-            for a, b, distance in _near_pairs(members, percent / 100):
+            for a, b, distance in _near_pairs(members, percent):
                 for k in np.argsort(distance, kind="stable"):
                     x, y = int(a[k]), int(b[k])
                     p, q = root(int(rep[x])), root(int(rep[y]))
@@ -244,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", "slot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n_shingles", "signature")
     )
-    marked = staged(_by_cell(cells).mapInPandas(_mark(percent / 100), CELL), "marked")
+    marked = staged(_by_cell(cells).mapInPandas(_mark(percent), CELL), "marked")
     wanted = staged(marked.select("rep").distinct(), "wanted")
     likely = narrow.filter("doc_id is not null").select("*", _place("doc_id")).mapInArrow(_likely_sets(wanted), "rep long, shingle_set binary")
     sets = staged(likely.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "sets")
@@ -263,14 +272,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each component of near duplicates; rows without an id stay.
+def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One row of ``docs`` for each component of near duplicates at ``percent``; rows without an id stay.
 
     The ids that go are stored first, so that their size decides how they are joined.  Ids on several kept rows are
     handled apart, and only if there are any.
     """
     ids = (
-        near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
+        near_duplicates(docs, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
         .filter("not kept or times > 1")
     )
     ids = staged(ids, "unkept")
