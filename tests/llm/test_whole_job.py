@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from math import comb
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline as C
@@ -57,3 +59,15 @@ def test_few_true_pairs_are_left_unconfirmed(percent):
     p = 1 - percent / 100
     lost = [sum(comb(MH.LENGTH, k) * p**k * (1 - p) ** (MH.LENGTH - k) for k in range(d + 1, MH.LENGTH + 1)) for d in range(MH.LENGTH)]
     assert lost[MH.farthest(percent)] < MH.LOST <= lost[MH.farthest(percent) - 1]
+
+
+def test_pairs_within_the_promised_distance_are_confirmed():
+    """15 of the indexed values and all others differ: 39 of 64, still within the promise."""
+    a = np.arange(MH.LENGTH, dtype=np.uint16)
+    b = a + 1000
+    agree = [c * MH.CHUNK + k for c in range(MH.CHUNKS) for k in range(MH.CHUNK)][MH.GUARANTEED :]
+    b[agree] = a[agree]
+    slot = next(s for s in range(MH.INDEXED) if (MH.slots(a[None]) == MH.slots(b[None]))[0, s])
+    cell = pd.DataFrame({"bucket": 1, "slot": slot, "i": 0, "j": 0, "block": 0, "rep": [1, 2], "n_shingles": 10, "signature": [a.tobytes(), b.tobytes()]})
+    found = [x for part in MH._near_pairs(cell, 85) for x in zip(*part)]
+    assert len(found) == 1 and found[0][2] == MH.LENGTH - MH.INDEXED + MH.GUARANTEED

@@ -141,7 +141,8 @@ def _place(name: str) -> Column:
 
 
 def farthest(percent: int) -> int:
-    """Pairs further apart than this in all LENGTH values are not confirmed: 25 at 85 percent, 30 at 80."""
+    """Pairs beyond the guaranteed distance are not confirmed if more than so many of all LENGTH values differ: 25 at
+    85 percent, 30 at 80."""
     p, tail, at = 1 - percent / 100, 0.0, LENGTH
     while at > 0 and (tail := tail + comb(LENGTH, at) * p**at * (1 - p) ** (LENGTH - at)) < LOST:
         at -= 1
@@ -161,7 +162,7 @@ def _near_pairs(members: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarra
         a, b = a[able], b[able]
         same = signature[a] == signature[b]
         distance = LENGTH - same.sum(axis=1)
-        near = distance <= limit
+        near = (distance <= limit) | (INDEXED - same[:, :INDEXED].sum(axis=1) <= GUARANTEED)
         a, b, same, distance = a[near], b[near], same[near, :INDEXED].reshape(-1, CHUNKS, CHUNK), distance[near]
         shared = (same.sum(axis=2)[:, :, None] - same >= CHUNK - 1).reshape(-1, INDEXED)
         mine = shared.argmax(axis=1) == slot[a] if len(a) else np.zeros(0, bool)
