@@ -11,7 +11,9 @@ import pytest
 
 import corpus_pipeline as C
 from tests.llm.test_text_operators import DOCS, shingle_set
+from tests.llm.test_vectors_and_pages import VECTORS, brute_links
 from wellpanel.llm import minhash_hamming as MH
+from wellpanel.llm import nn_descent as ND
 
 
 def brute_kept(rows, percent):
@@ -71,3 +73,15 @@ def test_pairs_within_the_promised_distance_are_confirmed():
     cell = pd.DataFrame({"bucket": 1, "slot": slot, "i": 0, "j": 0, "block": 0, "rep": [1, 2], "n_shingles": 10, "signature": [a.tobytes(), b.tobytes()]})
     found = [x for part in MH._near_pairs(cell, 85) for x in zip(*part)]
     assert len(found) == 1 and found[0][2] == MH.LENGTH - MH.INDEXED + MH.GUARANTEED
+
+
+def test_missing_links_are_completed_exactly(spark, monkeypatch):
+    """Where descents find no neighbour at all, every link is still returned."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).tolist(), 1) for i in range(150)]
+    rows += [(500 + i, (np.array(rows[i][1]) + rng.normal(size=16) * 0.02).tolist(), 1) for i in range(3)]
+    monkeypatch.setattr(ND, "_windows", lambda keep: lambda batches: iter(()))
+    found = ND.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()
+    want = brute_links(rows)
+    assert sum(n for n, _ in want.values()) >= 6
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == want

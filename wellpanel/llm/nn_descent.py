@@ -3,8 +3,10 @@
 A neighbour graph is started from windows over several random-hyperplane orders and refined: the neighbours of a
 node, forward and reverse, are joined with each other and what beats a list's worst entry enters it.  A list whose
 every entry is above the threshold is saturated; it is enlarged, and at ``LARGEST`` entries its node is compared
-exactly with all vectors of its label, in blocks.  Recall is audited on a bounded sample against brute force; below
-``RECALL`` another set of orders and another descent follow.  Edges at or above the threshold are kept.
+exactly with all vectors of its label, in blocks.  Recall is audited against brute force on samples of the linked, the
+nearly linked and all other nodes, enlarged until ``SEEN`` of them have links; below ``RECALL`` another set of orders
+and another descent follow, and after ``ATTEMPTS`` of them all nodes are compared exactly.  Edges at or above the
+threshold are kept.
 
 Equal vectors of a label are one class with its number of copies, so copies are never paired.  Lists and groups are
 bounded by ``LARGEST``; reverse neighbours beyond a list's size wait for the lists they are on.  Windows are cut
@@ -22,16 +24,19 @@ from pyspark.sql import functions as F
 
 from wellpanel.llm.components import components
 from wellpanel.llm.groups import pairs_within, whole_groups
-from wellpanel.llm.storage import hash_sample, staged, table
+from wellpanel.llm.storage import staged, table
 
 THRESHOLD = 0.98
 #: Entries of a list at first and at most.
 NEIGHBOURS, LARGEST = 6, 96
 ORDERS, PLANES, WINDOW = 6, 24, 128
-ROUNDS, ATTEMPTS = 4, 3
-#: A round that changes fewer than this share of lists ends the descent.
+ATTEMPTS = 3
+#: A round that changes at most this share of the lists that hold links ends the descent.
 SETTLED = 0.001
-AUDITED, RECALL = 256, 0.99
+#: Audited nodes of each stratum at first, and how many with links the audit must see, if there are so many.
+AUDITED, SEEN, RECALL = 256, 192, 0.99
+#: An unlinked node with a cosine of this or more is nearly linked.
+NEARLY = 0.9
 BLOCK = 1024
 #: Pairs of vectors that a task compares at once.
 PAIRS_AT_ONCE = 1 << 15
@@ -168,17 +173,22 @@ def descend(graph: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def build_graph(known: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """Start from the hyperplane orders and descend until few lists change."""
+    """Start from the hyperplane orders and descend until few of the lists that hold links change."""
     turns = known.select("id", "label", "vec", F.posexplode("codes").alias("turn", "code"))
     ordered = turns.repartitionByRange("turn", "label", "code", F.xxhash64("id")).sortWithinPartitions("turn", "label", "code", F.xxhash64("id"))
     pairs = ordered.select("turn", "label", "id", "vec").mapInPandas(_windows(NEIGHBOURS), PAIR)
     graph = staged(_lists(pairs, before), "graph")
-    for _ in range(ROUNDS):
+    while True:  # lists only improve, so this ends
         graph = staged(_lists(descend(graph, known), graph), "graph")
-        total, changed = graph.agg(F.count("*"), F.coalesce(F.sum((F.size("fresh") > 0).cast("int")), F.lit(0))).first()
+        linked = (F.get("near", F.lit(0))["sim"] >= THRESHOLD) & ~F.coalesce(_saturated(), F.lit(False))
+        total, changed = graph.agg(F.count_if(linked), F.count_if(linked & (F.size("fresh") > 0))).first()
         if changed <= SETTLED * total:
-            break
-    return graph
+            return graph
+
+
+def _saturated() -> Column:
+    """A list that cannot grow and holds links only; its node is compared exactly, whatever else changes."""
+    return (F.size("near") >= LARGEST) & (F.get("near", F.lit(LARGEST - 1))["sim"] >= THRESHOLD)
 
 
 def links_of(graph: DataFrame) -> DataFrame:
@@ -187,27 +197,43 @@ def links_of(graph: DataFrame) -> DataFrame:
     return held.unionAll(held.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def audit(known: DataFrame, links: DataFrame, exact: DataFrame) -> float:
-    """Share of the true links of about AUDITED nodes that were found; nodes compared exactly are left out."""
-    spark = known.sparkSession
-    sample = hash_sample(known.join(exact.select("id"), "id", "left_anti").select("id", "label", "vec"), "id", AUDITED, 5).toPandas()
-    if not len(sample):
-        return 1.0
-    shared = spark.sparkContext.broadcast((sample["id"].to_numpy(), sample["label"].to_numpy(), sample["vec"].tolist()))
+def link_counts(known: DataFrame, links: DataFrame, checked: DataFrame, exact: DataFrame) -> DataFrame:
+    """(a, linked): vectors linked with each node, from the lists or, for nodes in ``exact``, from their comparison."""
+    listed = links.join(exact.withColumnRenamed("id", "a"), "a", "left_anti")
+    sideways = checked.filter("kind = 1").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return (
+        listed.unionAll(sideways).distinct().join(known.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("linked"))
+        .unionAll(checked.filter("kind = 0").groupBy("a").agg(F.sum("b").alias("linked")))
+    )
 
-    def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, labels, packed = shared.value
-        unit = _unit(packed)
-        for batch in batches:
-            sims = _cosines(unit, _unit(batch["vec"]))
-            true = (sims >= THRESHOLD) & (labels[:, None] == batch["label"].to_numpy()[None, :]) & (ids[:, None] != batch["id"].to_numpy()[None, :])
-            a, b = np.nonzero(true)
-            yield pd.DataFrame({"a": ids[a], "b": batch["id"].to_numpy()[b]})
 
-    truth = known.select("id", "label", "vec").mapInPandas(brute, "a long, b long")
-    held = links.withColumn("held", F.lit(1))
-    true, found = truth.join(held, ["a", "b"], "left").agg(F.count("*"), F.coalesce(F.sum("held"), F.lit(0))).first()
-    return found / true if true else 1.0
+def audit(known: DataFrame, graph: DataFrame, counted: DataFrame, exact: DataFrame) -> float:
+    """Estimated mean share of a linked node's links that was found; nodes compared exactly are left out.
+
+    Linked, nearly linked and other nodes are drawn apart and weighted by their numbers, each node counting once.  If
+    too few of those drawn have links, more are drawn, in the end all.
+    """
+    best = graph.select(F.col("a").alias("id"), F.get("near", F.lit(0))["sim"].alias("best"))
+    left = known.select("id").join(exact.select("id"), "id", "left_anti").join(best, "id", "left").join(counted.withColumnRenamed("a", "id"), "id", "left")
+    stratum = F.when(F.col("linked") > 0, 0).when(F.col("best") >= NEARLY, 1).otherwise(2)
+    left = staged(left.select("id", F.coalesce("linked", F.lit(0)).alias("linked"), stratum.alias("stratum")), "audited")
+    # three rows at most
+    sizes = {r["stratum"]: r["count"] for r in left.groupBy("stratum").count().collect()}
+    rows, place = AUDITED, F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 31))
+    while True:
+        drawn = F.lit(False)
+        for s, n in sizes.items():
+            drawn = drawn | ((F.col("stratum") == s) & (place < int((1 << 31) * min(1, rows / n))))
+        sample = staged(left.filter(drawn), "sample")
+        truth = compare_exactly(known, sample.select("id")).filter("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("true"))
+        held = F.coalesce(F.sum(F.when(F.col("true") > 0, F.least(F.col("linked") / F.col("true"), F.lit(1.0)))), F.lit(0.0))
+        seen = sample.join(truth, "id", "left").groupBy("stratum").agg(F.count("*").alias("n"), F.count("true").alias("true"), held.alias("held")).collect()
+        if sum(r["true"] for r in seen) >= SEEN or rows >= max(sizes.values(), default=0):
+            break
+        rows *= 8
+    weight = {r["stratum"]: sizes[r["stratum"]] / r["n"] for r in seen}
+    true = sum(weight[r["stratum"]] * r["true"] for r in seen)
+    return sum(weight[r["stratum"]] * r["held"] for r in seen) / true if true else 1.0
 
 
 def _exact(rows: pd.DataFrame) -> pd.DataFrame:
@@ -267,18 +293,16 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     for attempt in range(ATTEMPTS):
         known = staged(nodes(vectors, attempt), "nodes")
         graph = build_graph(known, graph)
-        full = (F.size("near") >= LARGEST) & (F.get("near", F.lit(LARGEST - 1))["sim"] >= THRESHOLD)
-        exact = staged(graph.filter(full).select(F.col("a").alias("id")), "saturated")
+        exact = staged(graph.filter(_saturated()).select(F.col("a").alias("id")), "saturated")
         links = staged(links_of(graph), "links")
-        if audit(known, links, exact) >= RECALL:
+        checked = staged(compare_exactly(known, exact), "exact")
+        counted = staged(link_counts(known, links, checked, exact), "counted")
+        if audit(known, graph, counted, exact) >= RECALL:
             break
-    checked = staged(compare_exactly(known, exact), "exact")
-    listed = links.join(exact.withColumnRenamed("id", "a"), "a", "left_anti")
-    sideways = checked.filter("kind = 1").select(F.col("b").alias("a"), F.col("a").alias("b"))
-    counted = (
-        listed.unionAll(sideways).distinct().join(known.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("linked"))
-        .unionAll(checked.filter("kind = 0").groupBy("a").agg(F.sum("b").alias("linked")))
-    )
+    else:
+        exact = known.select("id")
+        checked = staged(compare_exactly(known, exact), "exact")
+        counted = link_counts(known, links, checked, exact)
     linked = components(links.unionAll(checked.filter("kind > 0").select("a", "b")))
     classes = (
         known.select("id", "copies").join(counted.withColumnRenamed("a", "id"), "id", "left").join(linked.withColumnRenamed("node", "id"), "id", "left")
