@@ -14,6 +14,7 @@ from tests.llm.test_text_operators import DOCS, shingle_set
 from tests.llm.test_vectors_and_pages import VECTORS, brute_links
 from wellpanel.llm import minhash_hamming as MH
 from wellpanel.llm import nn_descent as ND
+from wellpanel.llm import url_templates as UT
 
 
 def brute_kept(rows, percent):
@@ -85,3 +86,14 @@ def test_missing_links_are_completed_exactly(spark, monkeypatch):
     want = brute_links(rows)
     assert sum(n for n, _ in want.values()) >= 6
     assert {r.vec_id: (r.n_links, r.component_id) for r in found} == want
+
+
+def test_bad_sections_below_the_third_segment(spark):
+    rows = [(i, f"http://h.net/a/b/c/{'spam' if i % 2 else 'blog'}/{i}") for i in range(400)]
+    rows += [(1000 + i, f"http://h.net/a/b/c/d{i % 40}/e/f/g/x") for i in range(40)] + [(2000, "http://h.net/a/b/c")]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(300)], "doc_id long, quality int")
+    found = UT.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()
+    assert len(found) == len(rows)
+    assert {(r.template, r.verdict) for r in found if r.page_id < 400} == {("/*/*/*/spam/*", "block"), ("/*/*/*/blog/*", "allow")}
+    assert {r.template for r in found if 1000 <= r.page_id < 2000} == {"/*/*/*/*/*/*/*/*"}
+    assert {r.template for r in found if r.page_id == 2000} == {"/*/*/*"}

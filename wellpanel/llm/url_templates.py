@@ -3,7 +3,7 @@
 Only DataFrame functions.  A path's segments are read level by level.  Long hexadecimal runs and digit runs become
 ``{x}`` and ``{n}``.  At each node a child keeps its literal only if it has ``SUPPORT`` pages and its labelled
 share of bad pages differs from its parent's by a chi-square test; rare children and those that do not differ are
-merged into ``*``.  Levels beyond ``DEPTH`` belong to the template above them.  A template is rejected when its
+merged into ``*``.  Levels are read until no page has a segment left that could keep its literal.  A template is rejected when its
 share of bad pages, smoothed towards its host's and that towards the overall one, reaches ``REJECT``.
 
 Each level sums pages by (host, template, segment) before the shuffle and joins the few literals it keeps, so a
@@ -25,7 +25,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-DEPTH, SUPPORT = 3, 20
+SUPPORT = 20
+#: Levels between which pages that are finished leave the work; the SQL form reads so many and holds for such paths.
+DEPTH = 3
 #: Chi-square quantile (one degree of freedom, 5 %) beyond which a branch differs from its parent.
 DIFFERS = 3.84
 SMOOTHING, REJECT = 10, 0.5
@@ -57,9 +59,30 @@ def _general(segment: Column) -> Column:
 
 def templates(pages: DataFrame) -> DataFrame:
     """Adds ``template`` to a stored table with (host, segments, bad); ``bad`` is 1, 0 or null for unlabelled."""
-    rows = pages.withColumn("template", F.lit(""))
+    rows, done, level = pages.withColumn("template", F.lit("")), [], 0
+    deepest = pages.agg(F.max(F.size("segments"))).first()[0] or 0
+    while True:
+        rows = _levels(pages.columns, rows, level)
+        level += DEPTH
+        if level >= deepest:
+            break
+        done.append(rows.filter(F.size("segments") <= level))
+        rows = staged(rows.filter(F.size("segments") > level), "deeper")
+        # below a template with fewer pages than SUPPORT no literal is kept
+        wide = staged(rows.groupBy("host", "template").count().filter(F.col("count") >= SUPPORT).select("host", "template"), "wide")
+        rest = F.concat("template", F.repeat(F.lit("/*"), F.size("segments") - level))
+        done.append(rows.join(wide, ["host", "template"], "left_anti").select(*pages.columns, rest.alias("template")))
+        rows = staged(rows.join(wide, ["host", "template"], "left_semi").select(*pages.columns, "template"), "deeper")
+        deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
+    for part in done:
+        rows = rows.unionByName(part)
+    return rows
+
+
+def _levels(columns: list[str], rows: DataFrame, first: int) -> DataFrame:
+    """``rows`` with the branches of DEPTH levels added to their templates."""
     counts = [F.count("*").alias("n"), F.count("bad").alias("m"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")]
-    for level in range(DEPTH):
+    for level in range(first, first + DEPTH):
         segment = F.get("segments", F.lit(level))
         here = rows.withColumn("segment", segment)
         children = here.filter("segment is not null").groupBy("host", "template", "segment").agg(*counts)
@@ -74,7 +97,7 @@ def templates(pages: DataFrame) -> DataFrame:
         branch = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.coalesce("literal", F.lit("*"))))
         rows = (
             here.join(kept, ["host", "template", "segment"], "left")
-            .withColumn("template", F.concat("template", branch)).select(*pages.columns, "template")
+            .withColumn("template", F.concat("template", branch)).select(*columns, "template")
         )
     return rows
 
