@@ -11,6 +11,7 @@ from wellpanel.llm import (
     language_hypervectors,
     minhash_hamming,
     nn_descent,
+    pivotal_grams,
     quality_ftrl,
     source_mixing,
     topk_nra,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxic_crf": toxic_crf.op8_toxic_crf,
     "op9_language_hypervectors": language_hypervectors.op9_language_hypervectors,
     "op10_warc_zstd": warc_zstd.op10_warc_zstd,
+    "op11_pivotal_grams": pivotal_grams.op11_pivotal_grams,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -39,4 +41,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_nn_descent": nn_descent.SQL,
     "op6_minhash_near_dedup": minhash_hamming.SQL,
     "op10_warc_zstd": warc_zstd.SQL,
+    "op11_pivotal_grams": pivotal_grams.SQL,
 }
