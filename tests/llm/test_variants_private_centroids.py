@@ -196,11 +196,13 @@ def test_private_spans_of_a_table(spark):
 
 
 def test_private_digest_columns(spark, tmp_path):
-    rows = [(1, "a.b@c.de and x9 [at] mail [dot] com +1 (988) 555-2485 1.2.3.4"), (2, None), (3, "nothing")]
+    text = "a.b@c.de and x9 [at] mail [dot] com from 1.2.3.4 or +1 (988) 555-2485"
+    rows = [(1, text), (2, None), (3, "nothing")]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id: r for r in PS.op12_private_spans(spark, str(tmp_path)).collect()}
-    assert found[1].spans == "email:0:8,email:13:33,ip:52:59,phone:34:51" and (found[1].n_email, found[1].n_ip, found[1].n_card, found[1].n_phone) == (2, 1, 0, 1)
-    assert found[1].base_sha256 == hashlib.sha256(b"email:0:8,ip:52:59,phone:34:51").hexdigest()
+    shown = {k: f"{k.split('_')[0]}:{text.index(v)}:{text.index(v) + len(v)}" for k, v in {"email": "a.b@c.de", "email_2": "x9 [at] mail [dot] com", "ip": "1.2.3.4", "phone": "+1 (988) 555-2485"}.items()}
+    assert found[1].spans == ",".join(shown.values()) and (found[1].n_email, found[1].n_ip, found[1].n_card, found[1].n_phone) == (2, 1, 0, 1)
+    assert found[1].base_sha256 == hashlib.sha256(",".join([shown["email"], shown["ip"], shown["phone"]]).encode()).hexdigest()
     assert found[2].spans == found[3].spans == "" and found[2].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 

@@ -32,7 +32,7 @@ LARGEST = 1 << 25
 LONG = np.iinfo(np.int64)
 #: Share of the squared norms, and fixed part, by which rounding may raise a bound above the true distance.
 SLACK, SLACK_AT_LEAST = 1e-9, 1.0
-PARTIAL = "cluster int, members long, inertia string, sums array<string>"
+PARTIAL = "cluster int, place int, amount string"
 
 
 def kept_vectors(vectors: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -102,47 +102,44 @@ def _batches(batches: Iterator[pa.RecordBatch], large: bool) -> Iterator[tuple[p
 
 
 def _sums(model, large: bool):
-    """One row a cluster and task: members, inertia and component sums, as decimal text."""
+    """Per cluster and task: members, inertia and the component sums, one row each, as decimal text."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, rotation = model.value
-        k = len(centroids)
-        members, inertia, sums = [0] * k, [0] * k, np.zeros((k, centroids.shape[1]), object)
+        k, width = centroids.shape
+        total = np.zeros((k, 2 + width), object)
         for _, x, lead, rest in _batches(batches, large):
             cluster, distance, _ = nearest(x, lead, rest, centroids, rotation)
             for number in np.unique(cluster).tolist():
                 rows = np.flatnonzero(cluster == number)
-                members[number] += len(rows)
-                inertia[number] += sum(distance[rows].tolist())
-                sums[number] += x[rows].sum(axis=0).astype(object)
-        seen = [n for n in range(k) if members[n]]
+                total[number, 0] += len(rows)
+                total[number, 1] += sum(distance[rows].tolist())
+                total[number, 2:] += x[rows].sum(axis=0).astype(object)
+        seen = [n for n in range(k) if total[n, 0]]
         yield pa.RecordBatch.from_pydict({
-            "cluster": pa.array(seen, pa.int32()), "members": pa.array([members[n] for n in seen], pa.int64()),
-            "inertia": pa.array([str(inertia[n]) for n in seen], pa.string()),
-            "sums": pa.array([[str(v) for v in sums[n]] for n in seen], pa.list_(pa.string())),
+            "cluster": pa.array(np.repeat(seen, 2 + width), pa.int32()), "place": pa.array(np.tile(np.arange(2 + width), len(seen)), pa.int32()),
+            "amount": pa.array([str(v) for n in seen for v in total[n]], pa.string()),
         })
 
     return summed
 
 
 def _add(rows: pd.DataFrame) -> pd.DataFrame:
-    sums = [str(sum(map(int, column))) for column in zip(*rows["sums"])]
-    return pd.DataFrame({"cluster": rows["cluster"].iloc[:1], "members": rows["members"].sum(), "inertia": [str(sum(map(int, rows["inertia"])))], "sums": [sums]})
+    return pd.DataFrame({"cluster": rows["cluster"].iloc[:1], "place": rows["place"].iloc[:1], "amount": [str(sum(map(int, rows["amount"])))]})
 
 
 def totals(stored: DataFrame, centroids: np.ndarray, rotation: np.ndarray, large: bool) -> dict[int, tuple[int, int, list[int]]]:
     """Members, inertia and component sums of each cluster that is not empty."""
     model = stored.sparkSession.sparkContext.broadcast((centroids, rotation))
     parts = stored.mapInArrow(_sums(model, large), PARTIAL)
-    if large:  # beyond any decimal: a handful of text rows a task, added in Python
-        rows = parts.groupBy("cluster").applyInPandas(_add, PARTIAL).collect()
+    if large:  # beyond any decimal: one short row a task, added in Python
+        added = parts.groupBy("cluster", "place").applyInPandas(_add, PARTIAL)
     else:
-        wide = "decimal(38,0)"
-        rows = parts.groupBy("cluster").agg(
-            F.sum("members").alias("members"), F.sum(F.col("inertia").cast(wide)).alias("inertia"),
-            F.array(*[F.sum(F.col("sums")[k].cast(wide)) for k in range(centroids.shape[1])]).alias("sums"),
-        ).collect()
-    return {r.cluster: (r.members, int(r.inertia), [int(v) for v in r.sums]) for r in rows}
+        added = parts.groupBy("cluster", "place").agg(F.sum(F.col("amount").cast("decimal(38,0)")).cast("string").alias("amount"))
+    found: dict[int, list[int]] = {}
+    for r in sorted(added.collect()):  # a row a cluster and component
+        found.setdefault(r.cluster, []).append(int(r.amount))
+    return {n: (amounts[0], amounts[1], amounts[2:]) for n, amounts in found.items()}
 
 
 def _assign(model, large: bool):

@@ -11,7 +11,9 @@ from wellpanel.llm import (
     language_hypervectors,
     minhash_hamming,
     nn_descent,
+    pca_filtering,
     pivotal_grams,
+    private_spans,
     quality_ftrl,
     source_mixing,
     topk_nra,
@@ -32,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_hypervectors": language_hypervectors.op9_language_hypervectors,
     "op10_warc_zstd": warc_zstd.op10_warc_zstd,
     "op11_pivotal_grams": pivotal_grams.op11_pivotal_grams,
+    "op12_private_spans": private_spans.op12_private_spans,
+    "op13_pca_filtering": pca_filtering.op13_pca_filtering,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -42,4 +46,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_minhash_near_dedup": minhash_hamming.SQL,
     "op10_warc_zstd": warc_zstd.SQL,
     "op11_pivotal_grams": pivotal_grams.SQL,
+    "op13_pca_filtering": pca_filtering.SQL,
 }
