@@ -15,7 +15,6 @@ digit, @ or disguise is passed over by one regular expression a batch, run on Ar
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -76,10 +75,10 @@ DISGUISED = (
 
 
 @cache
-def homoglyphs() -> tuple[dict[int, str], re.Pattern]:
-    """The table of look-alikes and a pattern that finds any of them, or an invisible character."""
+def homoglyphs() -> tuple[dict[int, str], str]:
+    """The table of look-alikes, and a class of them and of the invisible characters for Arrow's matcher."""
     found = {}
-    for point in range(0x80, sys.maxunicode + 1 if sys.maxunicode < 0x20000 else 0x20000):
+    for point in range(0x80, 0x20000):  # no compatible character of one ASCII letter or digit lies beyond
         c = chr(point)
         category = unicodedata.category(c)
         plain = unicodedata.normalize("NFKC", c)
@@ -92,8 +91,13 @@ def homoglyphs() -> tuple[dict[int, str], re.Pattern]:
         elif len(plain) == 1 and " " < plain <= "~" and not unicodedata.decomposition(c).startswith(("<super>", "<sub>")):
             found[point] = plain
     found |= {ord(a): b for a, b in zip(LOOK, READ, strict=True)}
-    listed = "".join(re.escape(chr(p)) for p in sorted(found))
-    return found, re.compile(f"[{listed}{INVISIBLE}]")
+    ranges: list[list[int]] = []
+    for point in sorted(found):
+        if ranges and ranges[-1][1] == point - 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return found, "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + INVISIBLE + "]"
 
 
 GONE = re.compile(f"[{INVISIBLE}]+")
@@ -289,15 +293,10 @@ def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1)
         plain = pc.fill_null(pc.match_substring_regex(texts, PLAIN), False).to_pylist()
         hidden = pc.fill_null(pc.match_substring_regex(texts, DISGUISED), False).to_pylist()
-        ascii_only = pc.fill_null(pc.string_is_ascii(texts), True).to_pylist()
+        look = pc.fill_null(pc.match_substring_regex(texts, odd), False).to_pylist()
         rows = []
         for k in range(batch.num_rows):
-            found = []
-            if plain[k] or hidden[k] or not ascii_only[k]:
-                text = texts[k].as_py()
-                disguised = hidden[k] or (not ascii_only[k] and odd.search(text) is not None)
-                if plain[k] or disguised:
-                    found = find(text, disguised)
+            found = find(texts[k].as_py(), hidden[k] or look[k]) if plain[k] or hidden[k] or look[k] else []
             rows.append([dict(zip(("kind", "start", "end", "base"), f)) for f in found])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, item)], names=["doc_id", "spans"])
 
