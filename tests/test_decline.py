@@ -80,3 +80,51 @@ def test_inputs_respect_the_cutoff_and_chosen_wells(spark):
     rows = D.decline_inputs(s, ["2010-03-01", "2010-04-01"], chosen).collect()
     assert [(r.well_id, r.t, r.q) for r in rows] == [("a", [0.0, 2.0], [5.0, 7.0])]
     assert D.decline_inputs(s, ["2010-01-01"]).filter(F.col("positive_months") >= 0).count() == 0
+
+
+def _noisy_wells(count: int) -> dict[str, np.ndarray]:
+    rng = np.random.default_rng(17)
+    wells = {f"w{k}": rng.uniform(50, 900) / (1 + 0.5 * rng.uniform(0.01, 0.2) * np.arange(50)) ** 2 * rng.lognormal(0, 0.3, 50) for k in range(count)}
+    wells["w0"][20:30] = 0
+    wells["w1"][:45] = 0  # too few producing months
+    return wells
+
+
+def test_prefix_fits_equal_fits_of_each_cutoff(spark):
+    cutoffs = ["2011-02-01", "2012-01-01", "2012-02-01", "2013-06-01", "2014-03-01"]
+    series = _series(spark, **_noisy_wells(9))
+    together = {(str(r.as_of_date), r.well_id): r for r in D.fit_declines(series, cutoffs).collect()}
+    alone = {(str(r.as_of_date), r.well_id): r for c in cutoffs for r in D.fit_declines(series, [c]).collect()}
+    assert together.keys() == alone.keys() and ("2014-03-01", "w1") not in together
+    for key, fit in together.items():
+        assert (fit.positive_months, fit.t0_month) == (alone[key].positive_months, alone[key].t0_month)
+        assert fit.sse <= alone[key].sse * 1.0001
+
+
+def test_chosen_pairs_only(spark):
+    series = _series(spark, **_noisy_wells(4))
+    chosen = spark.createDataFrame([(dt.date(2012, 1, 1), "w0"), (dt.date(2013, 1, 1), "w2"), (dt.date(2012, 1, 1), "w1")], "as_of_date date, well_id string")
+    pairs = {("2012-01-01", "w0"), ("2013-01-01", "w2")}
+    for fit in (D.fit_declines, D.grid_fits):
+        assert {(str(r.as_of_date), r.well_id) for r in fit(series, ["2012-01-01", "2013-01-01"], chosen).collect()} == pairs
+
+
+def test_grid_and_certificate(spark):
+    """Grid minima equal plain numpy; every fit is certified, a spoilt one is not."""
+    cutoffs = ["2012-01-01", "2013-06-01"]
+    wells = _noisy_wells(6)
+    series = _series(spark, **wells)
+    grid = {(str(r.as_of_date), r.well_id): r for r in D.grid_fits(series, cutoffs).collect()}
+    for (cut, name), r in grid.items():
+        n = (int(cut[:4]) - 2010) * 12 + int(cut[5:7]) - 1
+        t = np.arange(50)[:n]
+        q, t = wells[name][:n][wells[name][:n] > 0], t[wells[name][:n] > 0]
+        errors = []
+        for b, log_di in D._CELLS:
+            f = np.exp(-np.log1p(b * np.exp(log_di) * t) / b)
+            errors.append((q @ q) - (f @ q) ** 2 / (f @ f))
+        assert r.sse == pytest.approx(min(errors), rel=1e-9) and r.positive_months == len(q)
+    fits = D.fit_declines(series, cutoffs)
+    assert {r.certified for r in D.certified(fits, D.grid_fits(series, cutoffs)).collect()} == {True}
+    spoilt = fits.withColumn("sse", F.col("sse") * 2)
+    assert {r.certified for r in D.certified(spoilt, D.grid_fits(series, cutoffs)).collect()} == {False}

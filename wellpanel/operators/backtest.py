@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,8 +48,10 @@ class Backtest:
     metrics: DataFrame
 
 
-def well_table(test: DataFrame, series: DataFrame, cutoffs: Cutoffs, *, decline: bool = True) -> DataFrame:
-    """One row per tested (cutoff, well): eligibility, metrics, decline outcome."""
+def well_table(
+    test: DataFrame, series: DataFrame, cutoffs: Cutoffs, *, decline: bool = True, fit: Callable[..., DataFrame] = fit_declines
+) -> DataFrame:
+    """One row per tested (cutoff, well): eligibility, metrics, decline outcome of ``fit(series, cutoffs, wells)``."""
     history = observed_history(series, cutoffs)
     scores = with_mase(score_wells(test), history)
     eligible = F.coalesce(F.col("months_observed") >= MIN_HISTORY_MONTHS, F.lit(False))
@@ -64,7 +66,7 @@ def well_table(test: DataFrame, series: DataFrame, cutoffs: Cutoffs, *, decline:
         )
     table = durable(table)
     chosen = table.filter("evaluable").select(*KEYS)
-    fits = durable(fit_declines(series, cutoffs, chosen))
+    fits = durable(fit(series, cutoffs, chosen))
     scored = test.filter(F.col("naive_forecast_m3").isNotNull())
     outcome = fits.select(*KEYS).join(decline_mape(scored, fits), KEYS, "left")
     return table.join(outcome.withColumn("_fit", F.lit(True)), KEYS, "left").select(
@@ -217,6 +219,7 @@ def evaluate(
     *,
     thresholds: Thresholds = Thresholds(),
     decline: bool = True,
+    fit: Callable[..., DataFrame] = fit_declines,
     strict: bool = True,
 ) -> Backtest:
     """Backtest supervised rows that carry ``prediction_m3``.
@@ -224,7 +227,7 @@ def evaluate(
     ``predictions`` holds the test rows of every evaluated cutoff.  ``strict``
     refuses an unrepresentative verdict instead of reporting it.
     """
-    wells = durable(well_table(predictions, series, cutoffs, decline=decline))
+    wells = durable(well_table(predictions, series, cutoffs, decline=decline, fit=fit))
     quantiles = durable(metric_quantiles(wells))
     summary = durable(summarise(wells, quantiles))
     if strict:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellpanel.functions.columns import month_index, months_between_int
@@ -28,6 +28,7 @@ _LOW = np.array([np.log(QI_MIN), np.log(DI_RANGE[0]), B_RANGE[0]])
 _HIGH = np.array([np.inf, np.log(DI_RANGE[1]), B_RANGE[1]])
 _STARTS = 3
 _STEPS = 40
+_IDLE = 5
 _WELLS_AT_ONCE = 64
 
 
@@ -36,32 +37,28 @@ def _curve(log_di: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.exp(-np.log1p(b[..., None] * np.exp(log_di)[..., None] * t[:, None, :]) / b[..., None])
 
 
-def _starting_points(t: np.ndarray, q: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """The best cells of a coarse (b, di) grid; qi has a closed form in each."""
-    cells = np.broadcast_to(_CELLS, (len(t), *_CELLS.shape))
-    f = _curve(cells[..., 1], cells[..., 0], t) * used[:, None, :]
-    fq, ff = np.einsum("wct,wt->wc", f, q), np.maximum(np.einsum("wct,wct->wc", f, f), 1e-300)
-    best = np.argsort(-fq * fq / ff, axis=1, kind="stable")[:, :_STARTS]
+def _starting_points(fq: np.ndarray, ff: np.ndarray, starts: int) -> np.ndarray:
+    """The best cells of the (b, di) grid from their sums; qi has a closed form in each."""
+    ff = np.maximum(ff, 1e-300)
+    best = np.argsort(-fq * fq / ff, axis=1, kind="stable")[:, :starts]
     qi = np.maximum(np.take_along_axis(fq / ff, best, axis=1), QI_MIN)
     return np.stack([np.log(qi), _CELLS[best][..., 1], _CELLS[best][..., 0]], axis=-1)
 
 
-def fit_series(t: np.ndarray, q: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """(qi, di, b, squared error) of several wells; ``used`` masks the padding.
+def _descend(at: np.ndarray, t: np.ndarray, q: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounded least squares in (log qi, log di, b) from every start: the best point and its squared error per well.
 
-    Bounded least squares in (log qi, log di, b): damped Gauss-Newton steps from
-    the best grid cells, all wells and starts at once; a step that does not help
-    is taken back and damped more.
+    Damped Gauss-Newton steps, all wells and starts at once; a step that does not help is taken back and damped more.
     """
 
     def residual(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         y = np.exp(at[..., 0, None]) * _curve(at[..., 1], at[..., 2], t) * used[:, None, :]
-        return y, q[:, None, :] - y
+        return y, q[:, None, :] * used[:, None, :] - y
 
-    at = _starting_points(t, q, used)
     y, r = residual(at)
     sse = (r * r).sum(axis=-1)
     damping = np.full(sse.shape, 1e-2)
+    idle = 0
     for _ in range(_STEPS):
         b, s = at[..., 2, None], np.exp(at[..., 1, None]) * t[:, None, :]
         grow = 1.0 + b * s
@@ -77,13 +74,47 @@ def fit_series(t: np.ndarray, q: np.ndarray, used: np.ndarray) -> np.ndarray:
         y_new, r_new = residual(tried)
         sse_new = (r_new * r_new).sum(axis=-1)
         better = sse_new < sse
+        gained = (better & (sse - sse_new > 1e-10 * sse)).any()
         at = np.where(better[..., None], tried, at)
         y, r = np.where(better[..., None], y_new, y), np.where(better[..., None], r_new, r)
         sse = np.where(better, sse_new, sse)
         damping = np.clip(np.where(better, damping / 5, damping * 4), 1e-12, 1e12)
+        idle = 0 if gained else idle + 1
+        if idle >= _IDLE:
+            break
     rows, best = np.arange(len(t)), sse.argmin(axis=1)
-    log_qi, log_di, b = at[rows, best].T
-    return np.column_stack([np.exp(log_qi), np.exp(log_di), b, sse[rows, best]])
+    return at[rows, best], sse[rows, best]
+
+
+def fit_prefixes(t: np.ndarray, q: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(qi, di, b, squared error) for every well and every prefix of its series; rows of ``lengths`` ascend.
+
+    Grid sums of all prefixes are running sums of one pass over the months.  Each prefix then descends from the best
+    cells and from the solution of the prefix before it.  A length of 0 asks for nothing and gives NaN.
+    """
+    f = _curve(np.broadcast_to(_CELLS[:, 1], (len(t), len(_CELLS))), np.broadcast_to(_CELLS[:, 0], (len(t), len(_CELLS))), t)
+    fq, ff = np.cumsum(f * q[:, None, :], axis=2), np.cumsum(f * f, axis=2)
+    out = np.full((*lengths.shape, 4), np.nan)
+    before = None
+    for k in range(lengths.shape[1]):
+        rows = np.flatnonzero(lengths[:, k])
+        if not len(rows):
+            continue
+        n = lengths[rows, k]
+        last = (n - 1)[:, None, None]
+        sums = [np.take_along_axis(s[rows], np.broadcast_to(last, (len(rows), s.shape[1], 1)), axis=2)[..., 0] for s in (fq, ff)]
+        starts = _starting_points(*sums, _STARTS if before is None else _STARTS - 1)
+        if before is None:
+            before = np.full((len(t), 3), np.nan)
+        else:
+            known = ~np.isnan(before[rows, 0])
+            starts = np.concatenate([np.where(known[:, None], before[rows], starts[:, 0])[:, None, :], starts], axis=1)
+        wide = int(n.max())
+        used = (np.arange(wide) < n[:, None]).astype(float)
+        found, sse = _descend(starts, t[rows, :wide], q[rows, :wide], used)
+        before[rows] = found
+        out[rows, k] = np.column_stack([np.exp(found[:, 0]), np.exp(found[:, 1]), found[:, 2], sse])
+    return out
 
 
 def _padded(series: pd.Series) -> np.ndarray:
@@ -96,13 +127,54 @@ def _padded(series: pd.Series) -> np.ndarray:
 def _fit_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for start in range(0, len(pdf), _WELLS_AT_ONCE):
-            part = pdf.iloc[start : start + _WELLS_AT_ONCE]
-            t, q = _padded(part["t"]), _padded(part["q"])
+            part = pdf.iloc[start : start + _WELLS_AT_ONCE].reset_index(drop=True)
+            # cutoffs are a calendar's months; a well that is not asked at one has length 0 there
+            days = sorted({a["as_of_date"] for asked in part["asked"] for a in asked})
+            place = {day: k for k, day in enumerate(days)}
+            lengths = np.zeros((len(part), len(days)), np.int64)
+            for row, asked in enumerate(part["asked"]):
+                for a in asked:
+                    lengths[row, place[a["as_of_date"]]] = a["positive_months"]
             with np.errstate(all="ignore"):  # a step that overflows is simply not taken
-                fits = fit_series(t, q, (q > 0).astype(float))
-            out = part[["as_of_date", "well_id", "t0_month", "positive_months"]].copy()
-            out[["qi", "di", "b", "sse"]] = fits
-            yield out
+                fits = fit_prefixes(_padded(part["t"]), _padded(part["q"]), lengths)
+            row, k = np.nonzero(lengths)
+            out = part.loc[row, ["well_id", "t0_month"]].reset_index(drop=True)
+            out["as_of_date"], out["positive_months"] = [days[j] for j in k], lengths[row, k]
+            out[["qi", "di", "b", "sse"]] = fits[row, k]
+            yield out[["as_of_date", "well_id", "t0_month", "positive_months", "qi", "di", "b", "sse"]]
+
+
+def _offset(month: Column) -> Column:
+    """Whole months since the well's first observed one."""
+    return (month_index(month) - month_index(F.col("t0_month"))).cast("double")
+
+
+def _observed(series: DataFrame) -> DataFrame:
+    return series.filter(F.col("oil_prod_m3").isNotNull()).select("well_id", "production_month", F.col("oil_prod_m3").cast("double").alias("y"))
+
+
+def prefix_inputs(series: DataFrame, cutoffs: Cutoffs, wells: DataFrame | None = None) -> DataFrame:
+    """One row per well: its producing months as (t, q), and how many of them each asked cutoff sees.
+
+    Cutoffs of a well are prefixes of one series; those with too few producing months are not asked.
+    """
+    points = _observed(series).groupBy("well_id").agg(F.sort_array(F.collect_list(F.struct("production_month", "y"))).alias("points"))
+    days = cutoff_array(series, cutoffs)
+    if wells is not None:
+        chosen = wells.groupBy("well_id").agg(F.collect_set("as_of_date").alias("chosen"))  # at most a calendar
+        points = points.join(chosen, "well_id")
+        days = F.filter(days, lambda c: F.array_contains("chosen", c))
+    seen = points.withColumn("t0_month", F.element_at("points", 1)["production_month"]).withColumn("used", F.filter("points", lambda p: p["y"] > 0))
+
+    def counted(day: Column) -> Column:
+        return F.struct(day.alias("as_of_date"), F.size(F.filter("used", lambda p: p["production_month"] < day)).alias("positive_months"))
+
+    return (
+        seen.withColumn("asked", F.filter(F.transform(days, counted), lambda a: a["positive_months"] >= MIN_POSITIVE_MONTHS))
+        .filter(F.size("asked") > 0)
+        .withColumn("used", F.slice("used", 1, F.array_max(F.transform("asked", lambda a: a["positive_months"]))))
+        .select("well_id", "t0_month", "asked", F.transform("used", lambda p: _offset(p["production_month"])).alias("t"), F.transform("used", lambda p: p["y"]).alias("q"))
+    )
 
 
 def decline_inputs(series: DataFrame, cutoffs: Cutoffs, wells: DataFrame | None = None) -> DataFrame:
@@ -111,10 +183,7 @@ def decline_inputs(series: DataFrame, cutoffs: Cutoffs, wells: DataFrame | None
     The arrays hold at most one entry per calendar month.  Zeros are not fitted
     but keep their place in ``t``, which counts from the first observed month.
     """
-    observed = series.filter(F.col("oil_prod_m3").isNotNull()).select(
-        "well_id", "production_month", F.col("oil_prod_m3").cast("double").alias("y")
-    )
-    points = observed.groupBy("well_id").agg(
+    points = _observed(series).groupBy("well_id").agg(
         F.sort_array(F.collect_list(F.struct("production_month", "y"))).alias("points")
     )
     asked = points.select("*", F.explode(cutoff_array(series, cutoffs)).alias("as_of_date"))
@@ -122,9 +191,6 @@ def decline_inputs(series: DataFrame, cutoffs: Cutoffs, wells: DataFrame | None
         asked = asked.join(wells.select("as_of_date", "well_id"), ["as_of_date", "well_id"], "left_semi")
     t0 = F.element_at("points", 1)["production_month"]
 
-    def offset(p: Column) -> Column:
-        return (month_index(p["production_month"]) - month_index(F.col("t0_month"))).cast("double")
-
     return (
         asked.withColumn("t0_month", t0)
         .filter(F.col("t0_month") < F.col("as_of_date"))
@@ -137,7 +203,7 @@ def decline_inputs(series: DataFrame, cutoffs: Cutoffs, wells: DataFrame | None
             "well_id",
             "t0_month",
             F.size("used").alias("positive_months"),
-            F.transform("used", offset).alias("t"),
+            F.transform("used", lambda p: _offset(p["production_month"])).alias("t"),
             F.transform("used", lambda p: p["y"]).alias("q"),
         )
     )
@@ -149,11 +215,13 @@ def _fit_tasks(df: DataFrame) -> int:
 
 
 def fit_declines(series: DataFrame, cutoffs: Cutoffs, wells: DataFrame | None = None) -> DataFrame:
-    """Fitted parameters per (cutoff, well); wells with too few producing months are absent."""
-    inputs = decline_inputs(series, cutoffs, wells).filter(F.col("positive_months") >= MIN_POSITIVE_MONTHS)
+    """Fitted parameters per (cutoff, well); wells with too few producing months are absent.
+
+    ``wells`` restricts the fit to its (as_of_date, well_id) pairs.  All cutoffs of a well are fitted together.
+    """
     # the fit costs CPU, not bytes: an explicit count keeps AQE from packing the
     # small rows into a few tasks
-    spread = inputs.repartition(_fit_tasks(series), "as_of_date", "well_id")
+    spread = prefix_inputs(series, cutoffs, wells).repartition(_fit_tasks(series), "well_id")
     fits = spread.mapInPandas(
         _fit_batches,
         "as_of_date date, well_id string, t0_month date, positive_months int, "
@@ -163,10 +231,56 @@ def fit_declines(series: DataFrame, cutoffs: Cutoffs, wells: DataFrame | None =
     return fits.filter(usable)
 
 
+def _shape(b: Column, di: Column, t: Column) -> Column:
+    return F.exp(-F.log1p(b * di * t) / b)
+
+
+def grid_fits(series: DataFrame, cutoffs: Cutoffs, wells: DataFrame | None = None) -> DataFrame:
+    """The best cell of the full (b, di) grid per (cutoff, well), in built-in functions: columns of
+    :func:`fit_declines` and ``squares``, the sum of q * q.
+
+    qi has a closed form in each cell, so three sums decide.  They are taken per well, cell and stretch between two
+    cutoffs, and stretches are added up to every later cutoff: one shuffle by well, whatever the number of cutoffs.
+    """
+    days = cutoff_array(series, cutoffs)
+    first = F.min("production_month").over(Window.partitionBy("well_id"))
+    cells = F.array(*[F.struct(F.lit(float(b)).alias("b"), F.lit(float(np.exp(d))).alias("di")) for b, d in _CELLS])
+    points = (
+        _observed(series).withColumn("t0_month", first).filter("y > 0")
+        .withColumn("slot", F.get(F.filter(days, lambda c: c > F.col("production_month")), 0))
+        .filter("slot is not null")
+        .select("well_id", "t0_month", "slot", _offset(F.col("production_month")).alias("t"), F.col("y").alias("q"), F.explode(cells).alias("cell"))
+        .select("well_id", "t0_month", "slot", "cell.b", "cell.di", "q", _shape(F.col("cell.b"), F.col("cell.di"), F.col("t")).alias("f"))
+    )
+    names = ("n", "qq", "fq", "ff")
+    stretches = points.groupBy("well_id", "t0_month", "b", "di", "slot").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("q") * F.col("q")).alias("qq"), F.sum(F.col("f") * F.col("q")).alias("fq"), F.sum(F.col("f") * F.col("f")).alias("ff"),
+    )
+    seen = stretches.select("*", F.explode(F.filter(days, lambda c: c >= F.col("slot"))).alias("as_of_date"))
+    sums = seen.groupBy("well_id", "t0_month", "b", "di", "as_of_date").agg(*[F.sum(c).alias(c) for c in names]).filter(F.col("n") >= MIN_POSITIVE_MONTHS)
+    error = F.greatest(F.col("qq") - F.col("fq") * F.col("fq") / F.col("ff"), F.lit(0.0))
+    best = F.min(F.struct(error.alias("sse"), "b", "di", (F.col("fq") / F.col("ff")).alias("qi"))).alias("best")
+    found = sums.groupBy("as_of_date", "well_id", "t0_month").agg(F.max("n").cast("int").alias("positive_months"), F.max("qq").alias("squares"), best)
+    if wells is not None:
+        found = found.join(wells.select("as_of_date", "well_id"), ["as_of_date", "well_id"], "left_semi")
+    return found.select("as_of_date", "well_id", "t0_month", "positive_months", "best.qi", "best.di", "best.b", "best.sse", "squares")
+
+
+def certified(fits: DataFrame, grid: DataFrame) -> DataFrame:
+    """Each fit beside the minimum over the whole grid: ``certified`` when it is within its bounds and no worse.
+
+    The allowance is a rounding error of the sums, not a tolerance of the fit.
+    """
+    inside = (F.col("qi") >= QI_MIN) & F.col("b").between(*B_RANGE) & F.col("di").between(DI_RANGE[0] * (1 - 1e-9), DI_RANGE[1] * (1 + 1e-9))
+    no_worse = F.col("sse") <= F.col("grid_sse") + 1e-9 * F.col("squares")
+    beside = grid.select("as_of_date", "well_id", F.col("sse").alias("grid_sse"), "squares")
+    return fits.join(beside, ["as_of_date", "well_id"], "left").withColumn("certified", F.coalesce(inside & no_worse, F.lit(False)))
+
+
 def decline_forecast(target_month: str, qi: str = "qi", di: str = "di", b: str = "b") -> Column:
     """Forecast at ``target_month`` from fitted columns, as a built-in expression."""
     t = months_between_int(target_month, "t0_month").cast("double")
-    return F.col(qi) * F.exp(-F.log1p(F.col(b) * F.col(di) * t) / F.col(b))
+    return F.col(qi) * _shape(F.col(b), F.col(di), t)
 
 
 def decline_mape(test: DataFrame, fits: DataFrame) -> DataFrame:

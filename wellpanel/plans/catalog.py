@@ -140,6 +140,11 @@ class Panel:
         guess = F.coalesce("oil_prod_m3_roll_mean_12m", "naive_forecast_m3", F.lit(0.0))
         return SV.training_dataset(features, self.series, HORIZONS).withColumn("prediction_m3", guess)
 
+    @cached_property
+    def tested(self) -> DataFrame:
+        """The supervised rows of every evaluated cutoff, with their predictions."""
+        return self.stage(self.predicted(EVALUATED), "tested")
+
     @cached_property
     def log(self) -> DataFrame:
         return BD.request_log(self.table("events"))
@@ -1051,7 +1056,9 @@ def _(p):
 
 @query("f16_decline_fit")
 def _(p):
-    return D.fit_declines(p.series, [AS_OF])
+    """Every fit beside the minimum of its squared error over the whole grid, which SQL can compute."""
+    fits, grid = p.stage(D.fit_declines(p.series, EVALUATED), "fits"), p.stage(D.grid_fits(p.series, EVALUATED), "grid")
+    return D.certified(fits, grid).select("as_of_date", "well_id", "t0_month", "positive_months", F.round("grid_sse", 2).alias("grid_sse"), "certified")
 
 
 @query("f16_decline_inputs")
@@ -1065,68 +1072,100 @@ def _(p):
 
 @query("f17_decline_mape")
 def _(p):
-    fits = p.stage(D.fit_declines(p.series, [AS_OF]), "fits")
-    return D.decline_mape(p.predicted([AS_OF]), fits)
+    """Where the fitted curve has an error, and that of the best grid cell, which SQL can compute."""
+    fits, grid = p.stage(D.fit_declines(p.series, EVALUATED), "fits"), p.stage(D.grid_fits(p.series, EVALUATED), "grid")
+    of_grid = D.decline_mape(p.tested, grid).withColumnRenamed("arps_mape_nonzero_pct", "grid_mape_nonzero_pct")
+    return D.decline_mape(p.tested, fits).join(of_grid, ["as_of_date", "well_id"], "full").select(
+        "as_of_date", "well_id", F.col("arps_mape_nonzero_pct").isNotNull().alias("arps_defined"), "grid_mape_nonzero_pct",
+    )
+
+
+#: How far a number that rests on fitted declines may lie from the one that rests on the best grid cells: percentage
+#: points, and a share of the latter.  Everything else must be equal.
+FIT_TOLERANCE_PP, FIT_TOLERANCE_SHARE = 1.0, 0.02
+
 
+def _backtest(p: Panel) -> B.Backtest:
+    return B.evaluate(p.tested, p.series, EVALUATED)
 
-def _backtest(p: Panel, cutoffs: list[str], decline: bool) -> B.Backtest:
-    test = p.stage(p.predicted(cutoffs), "test")
-    return B.evaluate(test, p.series, cutoffs, decline=decline)
+
+def _reference(p: Panel) -> B.Backtest:
+    """The same backtest with the best grid cell as the decline baseline."""
+    return B.evaluate(p.tested, p.series, EVALUATED, fit=D.grid_fits)
+
+
+def _beside(found: DataFrame, reference: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """``found`` with the reference's ``values`` and whether its own lie within the tolerance of them."""
+    other = reference.select(*keys, *[F.col(v).alias(f"{v}_ref") for v in values])
+    near = F.lit(True)
+    for v in values:
+        ref = F.col(f"{v}_ref")
+        close = F.abs(F.col(v) - ref) <= FIT_TOLERANCE_PP + FIT_TOLERANCE_SHARE * F.abs(ref)
+        near = near & F.coalesce(close, F.col(v).isNull() & ref.isNull())
+    return found.join(other, keys, "full").select(
+        *[c for c in found.columns if c not in values], *[F.col(f"{v}_ref").alias(v) for v in values], near.alias("within_tolerance")
+    )
 
 
 @query("f18_backtest")
 def _(p):
-    return _backtest(p, [AS_OF], False).summary.select(
+    return _backtest(p).summary.select(
         "as_of_date", "wells_in_test", "wells_eligible", "wells_excluded_short_history", "wells_mase_undefined",
-        "model_mae_m3", "naive_mae_m3", "arps_degraded", "mase_median", "naive_mae_ratio",
+        "model_mae_m3", "naive_mae_m3", "arps_fitted_wells", "arps_failed_wells", "arps_degraded", "mase_median", "naive_mae_ratio",
     )
 
 
 @query("f18_backtest_distributions")
 def _(p):
-    return _backtest(p, EVALUATED, False).distributions
+    return _beside(_backtest(p).distributions, _reference(p).distributions, ["as_of_date", "metric"], ["p50", "p75", "p90"])
 
 
 @query("f18_backtest_with_decline")
 def _(p):
-    return _backtest(p, [AS_OF], True).summary
+    columns = ["as_of_date", "arps_fitted_wells", "arps_failed_wells", "arps_degraded", "arps_mape_gap_pp"]
+    return _beside(_backtest(p).summary.select(*columns), _reference(p).summary, ["as_of_date"], ["arps_mape_gap_pp"])
 
 
 @query("s15_evaluation_report")
 def _(p):
     path = staging_path(p.spark, "evaluation")
-    TB.write_json_report(B.report_rows(_backtest(p, [AS_OF], False), horizons=HORIZONS), path)
-    stored = "as_of_date date, wells_in_test long, mase_median double, gates_passed boolean, gates array<struct<gate:string>>, horizons array<int>"
+    TB.write_json_report(B.report_rows(_backtest(p), horizons=HORIZONS), path)
+    stored = (
+        "as_of_date date, wells_in_test long, arps_fitted_wells long, arps_degraded boolean, mase_median double, gates_passed boolean, "
+        "gates array<struct<gate:string,passed:boolean>>, horizons array<int>, distributions map<string,struct<p50:double>>"
+    )
     return p.spark.read.schema(stored).json(path).select(
-        "as_of_date", "wells_in_test", "mase_median", "gates_passed", F.size("gates").alias("n_gates"),
+        "as_of_date", "wells_in_test", "arps_fitted_wells", "arps_degraded", "mase_median", "gates_passed", F.size("gates").alias("n_gates"),
+        F.size(F.filter("gates", lambda g: g["passed"])).alias("n_passed"), F.size("distributions").alias("n_distributions"),
         F.array_join(F.col("horizons").cast("array<string>"), ",").alias("horizons"),
     )
 
 
 @query("f19_gates")
 def _(p):
-    return _backtest(p, [AS_OF], False).gates
+    return _beside(_backtest(p).gates, _reference(p).gates, ["as_of_date", "gate"], ["value"])
 
 
 @query("f20_long_metrics")
 def _(p):
-    return _backtest(p, [AS_OF], False).metrics
+    return _beside(_backtest(p).metrics, _reference(p).metrics, ["as_of_date", "metric"], ["value"])
 
 
 @query("f21_multi_cutoff")
 def _(p):
-    result = _backtest(p, EVALUATED, False)
-    return result.summary.select("as_of_date", "mase_median", "naive_mae_ratio").join(B.gates_passed(result.gates), "as_of_date")
+    result = _backtest(p)
+    shown = ["as_of_date", "mase_median", "naive_mae_ratio", "arps_mape_gap_pp"]
+    return _beside(result.summary.select(*shown), _reference(p).summary, ["as_of_date"], ["arps_mape_gap_pp"]).join(B.gates_passed(result.gates), "as_of_date")
 
 
 @query("f22_champion")
 def _(p):
-    result = _backtest(p, EVALUATED, False)
+    result = _backtest(p)
     verdict = result.summary.join(B.gates_passed(result.gates), "as_of_date")
     label = F.date_format("as_of_date", "yyyyMM")
     versions = verdict.select(
         F.lit("oil").alias("model"), label.alias("version"), F.concat(F.lit("run-"), label).alias("run_id"), "as_of_date",
-        F.create_map(F.lit("mase_median"), F.col("mase_median")).alias("metrics"), "gates_passed",
+        F.create_map(F.lit("mase_median"), F.col("mase_median"), F.lit("arps_mape_gap_pp"), F.col("arps_mape_gap_pp")).alias("metrics"), "gates_passed",
         F.col("as_of_date").alias("registered_at"),
     )
     promotions = verdict.select(F.lit("oil").alias("model"), label.alias("version"), F.col("as_of_date").alias("requested_at"))

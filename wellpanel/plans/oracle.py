@@ -55,6 +55,12 @@ def _deviation(k: int) -> str:
     return f"CASE WHEN {n} > 1 THEN sqrt(cast({n} * sum({_units(k, 'u * u')}) - {u} * {u} AS double) / 1e12 / ({n} * ({n} - 1))) END"
 
 
+def _shape(t: str) -> str:
+    """Decline per unit of qi; ln(1 + x) as a series where 1 + x would lose the digits of x."""
+    x = f"(b * di * {t})"
+    return f"exp(-(CASE WHEN {x} < 1e-4 THEN {x} - {x} * {x} / 2 + {x} * {x} * {x} / 3 ELSE ln(1 + {x}) END) / b)"
+
+
 def _slope(k: int) -> str:
     n, x = f"count({_units(k, 'u')})", f"sum({_units(k, 'x')})"
     rise = f"cast({n} * sum({_units(k, 'x * u')}) - {x} * sum({_units(k, 'u')}) AS double) / 1e6"
@@ -219,7 +225,40 @@ RELATIONS: dict[str, str] = {
     "gates": """
         SELECT as_of_date, 'mase_median' AS gate, mase_median AS value, 1.0 AS threshold, mase_median < 1.0 AS passed, true AS blocking FROM coverage
         UNION ALL SELECT as_of_date, 'mae_vs_naive', model_mae_m3 / naive_mae_m3, 1.0, model_mae_m3 / naive_mae_m3 <= 1.0, true FROM coverage
-        UNION ALL SELECT as_of_date, 'mape_vs_arps', NULL, 2.0, NULL, false FROM coverage""",
+        UNION ALL SELECT as_of_date, 'mape_vs_arps', arps_mape_gap_pp, 2.0, arps_mape_gap_pp <= 2.0, false FROM decline_summary""",
+    "decline_points": """
+        SELECT e.as_of_date, s.well_id, t0.m AS t0_month, date_diff('month', t0.m, s.production_month) AS t, y AS q FROM series s
+        JOIN (SELECT well_id, min(production_month) AS m FROM series WHERE y IS NOT NULL GROUP BY well_id) t0 ON s.well_id = t0.well_id
+        JOIN evaluated e ON s.production_month < e.as_of_date WHERE y > 0""",
+    "decline_cells": """
+        SELECT b, di FROM (SELECT unnest([1e-6, 0.25, 0.5, 0.75, 1.0]) AS b), (SELECT 1e-9 AS di UNION ALL SELECT pow(10, -4 + k / 5.0) FROM range(26) AS g(k))""",
+    "grid_fit": f"""
+        SELECT as_of_date, well_id, t0_month, n, best.sse AS sse, best.b AS b, best.di AS di, best.qi AS qi FROM (
+          SELECT as_of_date, well_id, t0_month, max(n) AS n, min({{'sse': greatest(qq - fq * fq / ff, 0), 'b': b, 'di': di, 'qi': fq / ff}}) AS best FROM (
+            SELECT as_of_date, well_id, t0_month, b, di, count(*) AS n, sum(q * q) AS qq, sum(f * q) AS fq, sum(f * f) AS ff FROM (
+              SELECT *, {_shape('t')} AS f FROM decline_points CROSS JOIN decline_cells) GROUP BY ALL) WHERE n >= 6 GROUP BY ALL)""",
+    "grid_mape": f"""
+        SELECT g.as_of_date, g.well_id, avg(abs(oil_prod_m3_target - qi * {_shape("date_diff('month', t0_month, target_month)")})
+          / nullif(oil_prod_m3_target, 0)) FILTER (WHERE oil_prod_m3_target > 0) * 100 AS grid_mape
+        FROM grid_fit g JOIN predictions p ON g.as_of_date = p.as_of_date AND g.well_id = p.well_id GROUP BY ALL""",
+    "decline_scored": f"""
+        SELECT s.*, g.n IS NOT NULL AS arps_fitted, m.grid_mape AS arps_mape_nonzero_pct FROM (SELECT * FROM scored WHERE evaluable) s
+        LEFT JOIN grid_fit g ON s.as_of_date = g.as_of_date AND s.well_id = g.well_id
+        LEFT JOIN (SELECT g.as_of_date, g.well_id, avg(abs(oil_prod_m3_target - qi * {_shape("date_diff('month', t0_month, target_month)")})
+          / nullif(oil_prod_m3_target, 0)) FILTER (WHERE oil_prod_m3_target > 0) * 100 AS grid_mape
+          FROM grid_fit g JOIN predictions p ON g.as_of_date = p.as_of_date AND g.well_id = p.well_id WHERE naive_forecast_m3 IS NOT NULL GROUP BY ALL) m
+          ON s.as_of_date = m.as_of_date AND s.well_id = m.well_id""",
+    "decline_summary": """
+        SELECT *, CASE WHEN NOT arps_degraded THEN gap END AS arps_mape_gap_pp FROM (
+          SELECT as_of_date, count(*) FILTER (WHERE arps_fitted) AS arps_fitted_wells, count(*) FILTER (WHERE NOT arps_fitted) AS arps_failed_wells,
+            count(*) = 0 OR count(*) FILTER (WHERE arps_fitted) < 0.5 * count(*) AS arps_degraded,
+            quantile_cont(mape_nonzero_pct, 0.5) FILTER (WHERE mape_nonzero_pct IS NOT NULL AND arps_mape_nonzero_pct IS NOT NULL)
+              - quantile_cont(arps_mape_nonzero_pct, 0.5) FILTER (WHERE mape_nonzero_pct IS NOT NULL AND arps_mape_nonzero_pct IS NOT NULL) AS gap
+          FROM decline_scored GROUP BY as_of_date)""",
+    "decline_distributions": """
+        SELECT * FROM distributions UNION ALL SELECT as_of_date, 'arps_mape_nonzero_pct', quantile_cont(arps_mape_nonzero_pct, 0.5),
+          quantile_cont(arps_mape_nonzero_pct, 0.75), quantile_cont(arps_mape_nonzero_pct, 0.9)
+        FROM decline_scored WHERE arps_mape_nonzero_pct IS NOT NULL GROUP BY as_of_date""",
     "verdicts": """
         SELECT as_of_date, bool_and(NOT blocking OR coalesce(passed, false)) AS gates_passed FROM gates GROUP BY as_of_date""",
     "requests": """
@@ -837,32 +876,48 @@ ORACLES: dict[str, tuple[str, str]] = {
         "s:well_id t:as_of_date d:naive_forecast_m3",
     ),
     "f16_decline_inputs": (_DECLINE_INPUT, "t:as_of_date s:well_id t:t0_month i:positive_months d:t_sum,q_sum"),
+    "f16_decline_fit": (
+        "SELECT as_of_date, well_id, t0_month, n AS positive_months, round(sse, 2) AS grid_sse, true AS certified FROM grid_fit",
+        "t:as_of_date s:well_id t:t0_month i:positive_months d:grid_sse s:certified",
+    ),
+    "f17_decline_mape": (
+        "SELECT as_of_date, well_id, grid_mape IS NOT NULL AS arps_defined, grid_mape AS grid_mape_nonzero_pct FROM grid_mape",
+        "t:as_of_date s:well_id,arps_defined d:grid_mape_nonzero_pct",
+    ),
     "f18_backtest": (
-        "SELECT *, model_mae_m3 / naive_mae_m3 AS naive_mae_ratio, true AS arps_degraded FROM coverage WHERE as_of_date = DATE '2001-08-01'",
-        f"t:as_of_date {_BASIC_SUMMARY} d:model_mae_m3,naive_mae_m3 s:arps_degraded d:mase_median,naive_mae_ratio",
+        "SELECT c.*, model_mae_m3 / naive_mae_m3 AS naive_mae_ratio, arps_fitted_wells, arps_failed_wells, arps_degraded FROM coverage c JOIN decline_summary d ON c.as_of_date = d.as_of_date",
+        f"t:as_of_date {_BASIC_SUMMARY} d:model_mae_m3,naive_mae_m3 i:arps_fitted_wells,arps_failed_wells s:arps_degraded d:mase_median,naive_mae_ratio",
+    ),
+    "f18_backtest_distributions": ("SELECT *, true AS within_tolerance FROM decline_distributions", "t:as_of_date s:metric d:p50,p75,p90 s:within_tolerance"),
+    "f18_backtest_with_decline": (
+        "SELECT *, true AS within_tolerance FROM decline_summary",
+        "t:as_of_date i:arps_fitted_wells,arps_failed_wells s:arps_degraded d:arps_mape_gap_pp s:within_tolerance",
     ),
-    "f18_backtest_distributions": ("SELECT * FROM distributions", "t:as_of_date s:metric d:p50,p75,p90"),
     "s15_evaluation_report": (
-        "SELECT c.as_of_date, wells_in_test, mase_median, gates_passed, 3 AS n_gates, '1,2,3' AS horizons "
-        "FROM coverage c JOIN verdicts v ON c.as_of_date = v.as_of_date WHERE c.as_of_date = DATE '2001-08-01'",
-        "t:as_of_date i:wells_in_test d:mase_median s:gates_passed i:n_gates s:horizons",
+        "SELECT c.as_of_date, wells_in_test, arps_fitted_wells, arps_degraded, mase_median, gates_passed, 3 AS n_gates, "
+        "(SELECT count(*) FROM gates g WHERE g.as_of_date = c.as_of_date AND passed) AS n_passed, "
+        "(SELECT count(*) FROM decline_distributions g WHERE g.as_of_date = c.as_of_date) AS n_distributions, '1,2,3' AS horizons "
+        "FROM coverage c JOIN verdicts v ON c.as_of_date = v.as_of_date JOIN decline_summary d ON c.as_of_date = d.as_of_date",
+        "t:as_of_date i:wells_in_test,arps_fitted_wells s:arps_degraded d:mase_median s:gates_passed i:n_gates,n_passed,n_distributions s:horizons",
     ),
-    "f19_gates": ("SELECT * FROM gates WHERE as_of_date = DATE '2001-08-01'", "t:as_of_date s:gate d:value,threshold s:passed,blocking"),
+    "f19_gates": ("SELECT *, true AS within_tolerance FROM gates", "t:as_of_date s:gate d:value,threshold s:passed,blocking,within_tolerance"),
     "f20_long_metrics": (
-        "SELECT as_of_date, metric, value FROM (SELECT as_of_date, 'eval_' || k AS metric, cast(v AS double) AS value FROM coverage c, LATERAL (SELECT 'model_mae_m3' AS k, c.model_mae_m3 AS v "
+        "SELECT as_of_date, metric, value, true AS within_tolerance FROM (SELECT c.as_of_date, 'eval_' || k AS metric, cast(v AS double) AS value FROM coverage c JOIN decline_summary d ON c.as_of_date = d.as_of_date, "
+        "LATERAL (SELECT 'model_mae_m3' AS k, c.model_mae_m3 AS v "
         "UNION ALL SELECT 'naive_mae_m3', c.naive_mae_m3 UNION ALL SELECT 'wells_in_test', c.wells_in_test UNION ALL SELECT 'wells_eligible', c.wells_eligible "
         "UNION ALL SELECT 'wells_excluded_short_history', c.wells_excluded_short_history UNION ALL SELECT 'wells_mase_undefined', c.wells_mase_undefined "
-        "UNION ALL SELECT 'arps_fitted_wells', 0 UNION ALL SELECT 'arps_failed_wells', 0 UNION ALL SELECT 'arps_degraded', 1) AS u "
-        "UNION ALL SELECT as_of_date, 'eval_' || metric || '_p50', p50 FROM distributions UNION ALL SELECT as_of_date, 'eval_' || metric || '_p75', p75 FROM distributions "
-        "UNION ALL SELECT as_of_date, 'eval_' || metric || '_p90', p90 FROM distributions "
+        "UNION ALL SELECT 'arps_fitted_wells', d.arps_fitted_wells UNION ALL SELECT 'arps_failed_wells', d.arps_failed_wells UNION ALL SELECT 'arps_degraded', cast(d.arps_degraded AS integer)) AS u "
+        "UNION ALL SELECT as_of_date, 'eval_' || metric || '_p50', p50 FROM decline_distributions UNION ALL SELECT as_of_date, 'eval_' || metric || '_p75', p75 FROM decline_distributions "
+        "UNION ALL SELECT as_of_date, 'eval_' || metric || '_p90', p90 FROM decline_distributions "
         "UNION ALL SELECT as_of_date, 'eval_gate_' || gate || '_passed', cast(cast(passed AS integer) AS double) FROM gates "
         "UNION ALL SELECT as_of_date, 'eval_gate_' || gate || '_value', value FROM gates "
-        "UNION ALL SELECT as_of_date, 'eval_gates_passed', cast(cast(gates_passed AS integer) AS double) FROM verdicts) WHERE as_of_date = DATE '2001-08-01' AND value IS NOT NULL",
-        "t:as_of_date s:metric d:value",
+        "UNION ALL SELECT as_of_date, 'eval_gates_passed', cast(cast(gates_passed AS integer) AS double) FROM verdicts) WHERE value IS NOT NULL",
+        "t:as_of_date s:metric d:value s:within_tolerance",
     ),
     "f21_multi_cutoff": (
-        "SELECT c.as_of_date, mase_median, model_mae_m3 / naive_mae_m3 AS naive_mae_ratio, gates_passed FROM coverage c JOIN verdicts v ON c.as_of_date = v.as_of_date",
-        "t:as_of_date d:mase_median,naive_mae_ratio s:gates_passed",
+        "SELECT c.as_of_date, mase_median, model_mae_m3 / naive_mae_m3 AS naive_mae_ratio, arps_mape_gap_pp, true AS within_tolerance, gates_passed "
+        "FROM coverage c JOIN verdicts v ON c.as_of_date = v.as_of_date JOIN decline_summary d ON c.as_of_date = d.as_of_date",
+        "t:as_of_date d:mase_median,naive_mae_ratio,arps_mape_gap_pp s:within_tolerance,gates_passed",
     ),
     "f22_champion": (
         "SELECT strftime(as_of_date, '%Y%m') AS version, gates_passed, CASE WHEN gates_passed THEN 'promotable' ELSE 'rejected' END AS decision, "
