@@ -81,7 +81,7 @@ def nodes(vectors: DataFrame, seed: int) -> DataFrame:
                 if len(v) not in planes:
                     planes[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((ORDERS * PLANES, len(v)))
                 codes.append(((planes[len(v)] @ v > 0).reshape(ORDERS, PLANES) @ weights).tolist())
-            yield batch[["id", "label", "copies"]].assign(vec=[v.tobytes() for v in vecs], codes=codes)
+            yield batch[["id", "label", "copies"]].assign(vec=[(v + 0.0).tobytes() for v in vecs], codes=codes)
 
     return classes.select("id", "label", "copies", "embedding").mapInPandas(place, NODE)
 
@@ -318,9 +318,9 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Vectors as the bytes that name their class; invalid ones have no bytes of a class."""
+    """Vectors as the bytes that name their class, with -0.0 as 0.0 as in grouping; invalid ones have no bytes of a class."""
     for batch in batches:
-        packed = [None if v is None else np.asarray(v, np.float64).tobytes() for v in batch["embedding"]]
+        packed = [None if v is None else (np.asarray(v, np.float64) + 0.0).tobytes() for v in batch["embedding"]]  # one zero
         yield batch[["vec_id", "label"]].assign(vec=packed, label=batch["label"].astype("Int32"), vec_id=batch["vec_id"].astype("Int64"))
 
 
