@@ -8,6 +8,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from tests.llm.test_text_operators import DOCS, shingle_set
@@ -97,3 +98,50 @@ def test_bad_sections_below_the_third_segment(spark):
     assert {(r.template, r.verdict) for r in found if r.page_id < 400} == {("/*/*/*/spam/*", "block"), ("/*/*/*/blog/*", "allow")}
     assert {r.template for r in found if 1000 <= r.page_id < 2000} == {"/*/*/*/*/*/*/*/*"}
     assert {r.template for r in found if r.page_id == 2000} == {"/*/*/*"}
+
+
+ODD_NAMES = [
+    "a.b", "q`r", "row", "key", "name", "times", "whole", "cut", "n_shingles", "component_id", "kept", "own_id", "place", "of", "fresh", "unkept",
+    "__text__", "__score__", "__lang__", "__sure__", "__times__", "__source__", "__whole__", "__cut__", "__copy__", "label", "turn", "s1", "of_source",
+]
+
+
+def odd_docs(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"der{rng.randint(0, 400)}en" for _ in range(60)) for _ in range(12)]
+    rows = [(i, texts[i % 10], "de", f"s{i % 3}", 0) for i in range(30)] + [(3, texts[11], "de", None, 0), (None, texts[10], None, "s1", 0), (40, None, "de", "s1", 0)]
+    return spark.createDataFrame(rows, DOCS).select("*", *[F.lit(k).alias(c) for k, c in enumerate(ODD_NAMES)]).repartition(3)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_keep_columns_of_any_name(spark, tmp_path, stage):
+    docs = odd_docs(spark)
+    spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    found, want = (C.STAGES[stage][1](spark, d, str(tmp_path)) for d in (docs, plain))
+    assert sorted(map(str, found.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    if stage < 4:
+        assert found.columns == docs.columns
+        assert {tuple(r)[5:] for r in found.collect()} == {tuple(range(len(ODD_NAMES)))}
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    near = a.replace("a7 ", "changed ")
+    rows = [(1, a), (1, b), (2, c), (3, b), (4, near), (4, c), (None, a), (5, None), (5, ""), (6, a), (6, a)]
+    for width in (1, 3, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(width)
+        kept = MH.keep_one(docs, percent=70)
+        assert sorted(r.text or "" for r in kept.filter("doc_id is not null").collect() if r.text) in ([a, b, c], sorted([near, b, c]))
+        assert kept.filter("doc_id is null").count() == 1 and kept.filter("doc_id = 5").count() == 1
+        found = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in MH.near_duplicates(docs, 70).collect()}
+        assert found == {(1, 36, 1, True), (2, 36, 2, True), (3, 36, 1, False), (4, 36, 1, False), (4, 36, 2, False), (None, 36, None, True), (5, 0, 5, True), (6, 36, 1, False)}
+    plain = spark.createDataFrame([(1, a), (1, b), (2, c)], "doc_id long, text string")
+    assert sorted(r.text for r in MH.keep_one(plain).collect()) == [a, b, c]
+
+
+def test_negative_zero_is_zero(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, -0.0], 0), (3, [1.0, 0.001], 0), (4, [-0.0, -0.0], 0)]
+    for width in (1, 2, 4):
+        found = ND.near_duplicates(spark.createDataFrame(rows, VECTORS).repartition(width)).collect()
+        assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in found} == {(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)}

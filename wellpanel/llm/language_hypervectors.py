@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellpanel.llm.storage import fold, table
+from wellpanel.llm.storage import fold, table, whole_row
 from wellpanel.llm.words import row_groups, text_bytes
 
 DIMENSIONS = 2048
@@ -194,8 +194,9 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are in a learned language; texts without letters go."""
-    return identify(docs, train(docs), docs.columns).filter(F.col("__lang__") != UNKNOWN).select(*docs.columns)
+    """The rows of ``docs`` that are in a learned language, with all their columns, whatever their names; texts
+    without letters go."""
+    return identify(docs.select(whole_row(docs), "text"), train(docs), ["row"]).filter(F.col("__lang__") != UNKNOWN).select("row.*")
 
 
 def op9_language_hypervectors(spark: SparkSession, sf_dir: str) -> DataFrame:

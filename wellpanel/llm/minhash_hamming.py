@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from wellpanel.llm.components import components
 from wellpanel.llm.groups import pairs_within, whole_groups
-from wellpanel.llm.storage import staged, table
+from wellpanel.llm.storage import staged, table, whole_row
 from wellpanel.llm.words import distinct_shingles, mix64, word_groups
 
 WIDTH = 5
@@ -226,13 +226,52 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     component is named by its smallest id.  The signature's guarantee is meant for ``percent`` of 80 or more.
 
     Defined cases: null, empty and wordless texts have 0 shingles and are linked with nothing; fewer than five
-    words are one shingle; repeated rows (same id) get the same answer each; a null id keeps its row, with a null
+    words are one shingle; repeated rows (same id) get the same answer each, and rows of one id with different sets
+    are linked by their own sets; a null id keeps its row, with a null
     component and ``kept`` true, and takes part in no link; an empty table gives an empty result.  Columns other
     than the two named are not read.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = staged(narrow.mapInArrow(_sketch, SKETCH), "sketch")
-    key = ["n_shingles", "s1", "s2"]
+    several = staged(_several_sets(sketch), "several")
+    if not several.isEmpty():  # ids that stand for more than one set: name each set apart, then name back
+        apart = _named_apart(narrow, several)
+        found = _linked(apart.select(F.col("name").alias("doc_id"), "text"), percent)
+        own = apart.select("name", F.col("doc_id").alias("own_id")).filter("name is not null").distinct()
+        rows = staged(found.join(own, found["doc_id"] == own["name"], "left").drop("name"), "rows")
+        least = rows.groupBy("component_id").agg(F.min("own_id").alias("least"))
+        return rows.join(least, "component_id", "left").select(
+            F.col("own_id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), F.col("least").eqNullSafe(F.col("own_id")).alias("kept")
+        )
+    return _linked(narrow, percent, sketch)
+
+
+KEY = ["n_shingles", "s1", "s2"]
+
+
+def _several_sets(sketch: DataFrame) -> DataFrame:
+    """Ids whose rows do not all have one shingle set."""
+    sets = F.struct(*KEY)
+    return sketch.filter("doc_id is not null").groupBy("doc_id").agg(F.min(sets).alias("first"), F.max(sets).alias("last")).filter("first <> last").select("doc_id")
+
+
+def _named_apart(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """``rows(doc_id, text, ...)`` with ``name``: the id, or a fresh one for each text of an id in ``several``."""
+    narrow = rows.select("doc_id", "text")
+    texts = narrow.join(several, "doc_id", "left_semi").select("doc_id", "text").distinct()
+    ends = narrow.agg(F.max("doc_id").alias("top"), F.min("doc_id").alias("bottom")).first()
+    step, base = (1, ends.top) if ends.top < (1 << 62) else (-1, ends.bottom)
+    # a place per distinct text of the few repeated ids, kept so that a retried task sees the same one
+    placed = staged(texts.select("*", F.monotonically_increasing_id().alias("place")), "places")
+    fresh = placed.select(F.col("doc_id").alias("of"), F.col("text").alias("of_text"), (base + step * (F.col("place") + 1)).alias("fresh"))
+    same = (F.col("doc_id") == F.col("of")) & F.col("text").eqNullSafe(F.col("of_text"))
+    return rows.join(fresh, same, "left").select(*rows.columns, F.coalesce("fresh", "doc_id").alias("name"))
+
+
+def _linked(narrow: DataFrame, percent: int, sketch: DataFrame | None = None) -> DataFrame:
+    """:func:`near_duplicates` of ``narrow(doc_id, text)``, where rows of one id have one shingle set."""
+    sketch = staged(narrow.mapInArrow(_sketch, SKETCH), "sketch") if sketch is None else sketch
+    key = KEY
     known = sketch.filter("doc_id is not null and n_shingles > 0")
     classes = staged(
         known.groupBy(*key).agg(F.min_by(F.struct("signature", "slots"), "doc_id").alias("of"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -276,21 +315,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row of ``docs`` for each component of near duplicates at ``percent``; rows without an id stay.
 
-    The ids that go are stored first, so that their size decides how they are joined.  Ids on several kept rows are
-    handled apart, and only if there are any.
+    Columns may have any names.  Rows that share an id but differ in their shingle sets are documents of their own:
+    each stays unless it is a duplicate of another.  The ids that go are stored first, so that their size decides how
+    they are joined.  Names that stand on several rows are handled apart, and only if there are any.
     """
-    ids = (
-        near_duplicates(docs, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
-        .filter("not kept or times > 1")
-    )
+    rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = rows.select("doc_id", "text")
+    sketch = staged(narrow.mapInArrow(_sketch, SKETCH), "sketch")
+    several = staged(_several_sets(sketch), "several")
+    if several.isEmpty():
+        found = _linked(narrow, percent, sketch)
+        named = rows.select("row", F.col("doc_id").alias("name"))
+    else:
+        named = _named_apart(rows, several)
+        found = _linked(named.select(F.col("name").alias("doc_id"), "text"), percent)
+    ids = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("name")).agg(F.max("kept").alias("kept"), F.count("*").alias("times")).filter("not kept or times > 1")
     ids = staged(ids, "unkept")
-    gone = staged(ids.filter("not kept").select("doc_id"), "gone")
-    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = staged(ids.filter("kept").select("doc_id"), "repeated")
+    gone = staged(ids.filter("not kept").select("name"), "gone")
+    stay = named.join(gone, "name", "left_anti")
+    repeated = staged(ids.filter("kept").select("name"), "repeated")
     if repeated.isEmpty():
-        return stay
-    once = stay.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return stay.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        return stay.select("row.*")
+    once = stay.join(repeated, "name", "left_semi").groupBy("name").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row"))
+    return stay.join(repeated, "name", "left_anti").select("row").unionAll(once.select("row")).select("row.*")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

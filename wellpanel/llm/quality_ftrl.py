@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellpanel.llm.storage import fold, hash_sample, table
+from wellpanel.llm.storage import fold, hash_sample, table, whole_row
 from wellpanel.llm.words import mix64, row_groups, span_hashes, text_bytes, word_spans
 
 BUCKETS = 1 << 18
@@ -177,9 +177,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with all their columns."""
-    scored = score(docs, train(docs, labels), docs.columns)
-    return scored.filter(F.col("__score__") >= threshold).select(*docs.columns)
+    """The rows of ``docs`` that the classifier does not reject, with all their columns, whatever their names."""
+    scored = score(docs.select(whole_row(docs), "text"), train(docs, labels), ["row"])
+    return scored.filter(F.col("__score__") >= threshold).select("row.*")
 
 
 def op4_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wellpanel.llm.storage import staged, table
+from wellpanel.llm.storage import staged, table, whole_row
 from wellpanel.operators.ordering import global_rank
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -127,14 +127,15 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def repeat_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with all their columns."""
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns, whatever their names."""
     text = F.col("text").cast("string")
     key = order_key(F.col("doc_id"), text, seed)
     sized = staged(docs.select(F.col("source").cast("string").alias("source"), word_count(text).alias("size"), key.alias("key")), "sized")
-    by_source = plan(sized).select(F.col("of_source").alias("__source__"), F.col("whole").alias("__whole__"), F.col("cut").alias("__cut__"))
-    times = F.col("__whole__") + (key <= F.col("__cut__")).cast("int")
-    taken = docs.join(by_source, docs["source"].cast("string").eqNullSafe(by_source["__source__"])).withColumn("__times__", times).filter("__times__ > 0")
-    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times__"))).alias("__copy__")).drop("__copy__")
+    by_source = plan(sized).select("of_source", "whole", "cut")
+    rows = docs.select(whole_row(docs), F.col("source").cast("string").alias("source"), key.alias("key"))
+    times = F.col("whole") + (F.col("key") <= F.col("cut")).cast("int")
+    taken = rows.join(by_source, rows["source"].eqNullSafe(by_source["of_source"])).select("row", times.alias("times")).filter("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellpanel.session import staging_path
@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, so that helper columns clash with no name and odd names need no quoting.
+
+    ``select("row.*")`` brings them back under their names and in their order.
+    """
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
 def fold(doc_id, folds: int):
     """crc32 of the id's decimal text, modulo ``folds``; a null id falls into fold 0 of "null"."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % folds
