@@ -17,49 +17,71 @@ from wellpanel.schema import (
 )
 
 
+#: Volumes are counted in millionths and split into two limbs, u = h * LIMB + l, so that squares and products of a
+#: year's months are exact sums of longs.
+UNIT, LIMB_BITS = 1_000_000, 27
+LIMB = 1 << LIMB_BITS
+
+
+def _limbs(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("h", F.shiftright("u", LIMB_BITS)).withColumn("l", F.col("u").bitwiseAND(LIMB - 1))
+
+
 def _window_aggregates() -> list[Column]:
-    """Lags, means, deviations, slopes and zero counts as one conditional aggregation.
+    """Lags, means, deviations, slopes and zero counts as one conditional aggregation over ``u, h, l``.
 
-    Sums of decimals and integers are exact, so the order in which a shuffle delivers rows never shows; each
-    statistic divides once, at the end.
+    A window has at most 12 months and a limb 27 bits, so every sum and every product of two sums fits a long; limbs
+    are combined once per group.  Exact sums also do not show the order in which a shuffle delivers rows.
     """
-    month, as_of, y = F.col("production_month"), F.col("as_of_date"), F.col("y")
+    month, as_of, u = F.col("production_month"), F.col("as_of_date"), F.col("u")
 
-    def within(k: int, value: Column = y) -> Column:
-        return F.when((month >= F.add_months(as_of, -k)) & y.isNotNull(), value)
+    def within(k: int, value: Column = u) -> Column:
+        return F.when((month >= F.add_months(as_of, -k)) & u.isNotNull(), value)
 
     # the slope is the same on any origin; months before the cutoff keep the numbers small
-    x = month_index(month) - month_index(as_of)
+    x = (month_index(month) - month_index(as_of)).cast("long")
+    h, l = F.col("h"), F.col("l")  # noqa: E741
+
+    def combined(*limbs: Column) -> Column:
+        """Limbs from the highest down, as one exact integer."""
+        total = limbs[0].cast("decimal(38,0)")
+        for limb in limbs[1:]:
+            total = (total * F.lit(LIMB).cast("decimal(9,0)")).cast("decimal(38,0)") + limb.cast("decimal(38,0)")
+        return total.cast("double")
 
     def mean(k: int) -> Column:
-        return F.sum(within(k)).cast("double") / F.count(within(k))
+        return F.sum(within(k)).cast("double") / UNIT / F.count(within(k))
 
     def deviation(k: int) -> Column:
-        n, total = F.count(within(k)), F.sum(within(k))
-        spread = (n * F.sum(within(k, y * y)) - total * total).cast("double")
-        return F.when(n > 1, F.sqrt(spread / (n * (n - 1))))
+        n, high, low = F.count(within(k)), F.sum(within(k, h)), F.sum(within(k, l))
+        spread = combined(
+            n * F.sum(within(k, h * h)) - high * high, 2 * (n * F.sum(within(k, h * l)) - high * low), n * F.sum(within(k, l * l)) - low * low
+        )
+        return F.when(n > 1, F.sqrt(spread / (float(UNIT) ** 2) / (n * (n - 1))))
 
     def slope(k: int) -> Column:
         n, total = F.count(within(k)), F.sum(within(k, x))
-        rise = (n * F.sum(within(k, x * y)) - total * F.sum(within(k))).cast("double")
-        return F.when(n > 1, rise / (n * F.sum(within(k, x * x)) - total * total))
+        rise = combined(
+            n * F.sum(within(k, x * h)) - total * F.sum(within(k, h)), n * F.sum(within(k, x * l)) - total * F.sum(within(k, l))
+        )
+        return F.when(n > 1, rise / UNIT / (n * F.sum(within(k, x * x)) - total * total))
 
     return [
         *[
-            F.max(F.when(month == F.add_months(as_of, -k), y)).cast("double").alias(f"oil_prod_m3_lag_{k}m")
+            (F.max(F.when(month == F.add_months(as_of, -k), u)).cast("double") / UNIT).alias(f"oil_prod_m3_lag_{k}m")
             for k in LAG_MONTHS
         ],
         *[mean(k).alias(f"oil_prod_m3_roll_mean_{k}m") for k in MEAN_MONTHS],
         *[deviation(k).alias(f"oil_prod_m3_roll_std_{k}m") for k in STD_MONTHS],
         *[slope(k).alias(f"oil_prod_m3_trend_{k}m") for k in TREND_MONTHS],
-        F.count_if((y == 0) & (month >= F.add_months(as_of, -12))).alias("zero_months_12m"),
+        F.count_if((u == 0) & (month >= F.add_months(as_of, -12))).alias("zero_months_12m"),
     ]
 
 
 def _one_cutoff(panel: DataFrame, cutoff: Column) -> DataFrame:
     """Single cutoff: filter and aggregate, with map-side partial aggregation."""
     known = panel.filter(F.col("production_month") < cutoff).withColumn("as_of_date", cutoff)
-    return known.groupBy("well_id", "as_of_date").agg(
+    return _limbs(known).groupBy("well_id", "as_of_date").agg(
         *_window_aggregates(),
         F.count(F.lit(1)).alias("months_with_history"),
         F.min("production_month").alias("first_month"),
@@ -77,12 +99,12 @@ def _many_cutoffs(panel: DataFrame, cutoffs: Column) -> DataFrame:
     rows = panel.filter(F.col("production_month") < F.array_max(cutoffs)).select(
         "well_id",
         "production_month",
-        "y",
+        "u",
         F.row_number().over(w).alias("seen"),
         F.first("production_month").over(w).alias("first_month"),
         F.lead("production_month").over(w).alias("next_month"),
     )
-    return visible_at(rows, cutoffs, 12, ["y", "seen", "first_month"]).groupBy("well_id", "as_of_date").agg(
+    return _limbs(visible_at(rows, cutoffs, 12, ["u", "seen", "first_month"])).groupBy("well_id", "as_of_date").agg(
         *_window_aggregates(),
         F.max("seen").cast("long").alias("months_with_history"),
         F.min("first_month").alias("first_month"),
@@ -92,7 +114,8 @@ def _many_cutoffs(panel: DataFrame, cutoffs: Column) -> DataFrame:
 
 def history_features(fact: DataFrame, as_of_dates: Cutoffs = None) -> DataFrame:
     """Feature rows without static attributes, one per (well, cutoff) with any history."""
-    panel = fact.select("well_id", "production_month", F.col("oil_prod_m3").cast("decimal(16,6)").alias("y"))
+    units = (F.col("oil_prod_m3").cast("decimal(16,6)") * UNIT).cast("long")
+    panel = fact.select("well_id", "production_month", units.alias("u"))
     if is_single(as_of_dates):
         stats = _one_cutoff(panel, single_cutoff(fact, as_of_dates))
     else:
@@ -149,13 +172,70 @@ def rolling_peak(fact: DataFrame, rows: int = 12) -> DataFrame:
     )
 
 
+def _two_pass_statistics() -> list[Column]:
+    """The audit's own formulas over ``points(x, y)`` of the last year: deviations from the mean, in doubles."""
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+    def window(k: int) -> Column:
+        return F.filter("points", lambda p: (p["x"] >= -k) & p["y"].isNotNull())
+
+    def moments(k: int, finish) -> Column:
+        # a one-element array binds the window's means, so that each is computed once
+        points = window(k)
+        n = F.size(points)
+        at = F.struct(total(F.transform(points, lambda p: p["x"].cast("double"))).alias("x"), total(F.transform(points, lambda p: p["y"])).alias("y"))
+        bound = F.transform(F.array(at), lambda s: finish(points, n, s["x"] / n, s["y"] / n))
+        return F.when(n > 1, F.get(bound, 0))
+
+    def deviation(points: Column, n: Column, _: Column, y: Column) -> Column:
+        return F.sqrt(total(F.transform(points, lambda p: (p["y"] - y) * (p["y"] - y))) / (n - 1))
+
+    def slope(points: Column, n: Column, x: Column, y: Column) -> Column:
+        return total(F.transform(points, lambda p: (p["x"] - x) * (p["y"] - y))) / total(F.transform(points, lambda p: (p["x"] - x) * (p["x"] - x)))
+
+    def mean(k: int) -> Column:
+        values = F.transform(window(k), lambda p: p["y"])
+        return F.when(F.size(values) > 0, total(values) / F.size(values))
+
+    def lag(k: int) -> Column:
+        return F.get(F.filter("points", lambda p: p["x"] == -k), 0)["y"]
+
+    return [
+        *[lag(k).alias(f"oil_prod_m3_lag_{k}m") for k in LAG_MONTHS],
+        *[mean(k).alias(f"oil_prod_m3_roll_mean_{k}m") for k in MEAN_MONTHS],
+        *[moments(k, deviation).alias(f"oil_prod_m3_roll_std_{k}m") for k in STD_MONTHS],
+        *[moments(k, slope).alias(f"oil_prod_m3_trend_{k}m") for k in TREND_MONTHS],
+        F.size(F.filter("points", lambda p: p["y"] == 0)).cast("long").alias("zero_months_12m"),
+    ]
+
+
+def recomputed_features(fact: DataFrame, cutoffs: Cutoffs) -> DataFrame:
+    """:func:`history_features` by other formulas, for the audit: a year's points as an array, at most 12 a row."""
+    w = well_months()
+    rows = fact.select("well_id", "production_month", F.col("oil_prod_m3").cast("double").alias("y")).select(
+        "*", F.row_number().over(w).alias("seen"), F.first("production_month").over(w).alias("first_month"), F.lead("production_month").over(w).alias("next_month")
+    )
+    seen = visible_at(rows, cutoff_array(fact, cutoffs), 12, ["y", "seen", "first_month"])
+    x = month_index(F.col("production_month")) - month_index(F.col("as_of_date"))
+    grouped = seen.groupBy("well_id", "as_of_date").agg(
+        F.sort_array(F.collect_list(F.when(x >= -12, F.struct(x.alias("x"), "y")))).alias("points"),
+        F.max("seen").cast("long").alias("months_with_history"), F.min("first_month").alias("first_month"), F.max("production_month").alias("last_observed_month"),
+    )
+    return grouped.select(
+        "well_id", "as_of_date", *_two_pass_statistics(), "months_with_history", months_between_int("as_of_date", "first_month").alias("well_age_months"),
+        months_between_int("as_of_date", "last_observed_month").alias("months_since_last_observed"), "last_observed_month",
+    )
+
+
 def audit_features(stored: DataFrame, fact: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Rows where the stored table and a recomputation from the fact disagree.
 
-    Every stored cutoff is recomputed from the months strictly before it; wells
+    Every stored cutoff is recomputed from the months strictly before it, by formulas of its own; wells
     missing on either side are failures too.
     """
-    fresh = history_features(fact, stored.select("as_of_date").distinct())
+    fresh = recomputed_features(fact, stored.select("as_of_date").distinct())
     exact = [*COUNT_FEATURES, "last_observed_month"]
     keys = ["well_id", "as_of_date"]
     s = stored.select(*keys, *VOLUME_FEATURES, *exact).withColumn("_stored", F.lit(True)).alias("s")
