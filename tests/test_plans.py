@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import statistics
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from wellpanel.operators import quality as Q
 from wellpanel.operators.features import audit_features
 from wellpanel.plans import monthly as P
 from wellpanel.plans.retraining import retrain, run_record
+from wellpanel.sources import published as PB
 
 
 def _checks():
@@ -27,25 +29,29 @@ def test_monthly_build_upserts_and_blocks(spark, tmp_path):
     full = {"prod_agua": "1"}
     first = frame(spark, [raw_row(well=w, mon=str(m), oil=str(m), **full) for w in ("1", "2") for m in (1, 2, 3)])
     P.run_month(spark, first, registry, lake, version=0, run="2014-04", checks=_checks(), cutoffs=["2014-03-01", "2014-04-01"])
-    fact = spark.read.parquet(lake.path("gold", "fact_production"))
+    fact = PB.read_current(spark, lake.path("gold", "fact_production"))
     assert fact.count() == 6
 
     # well 2 vanishes from month 3: gone from the typed table, kept in the fact
     second = frame(spark, [raw_row(well="1", mon="3", oil="30", load="2", **full), raw_row(well="1", mon="4", oil="4", load="2", **full)])
     P.run_month(spark, second, registry, lake, version=1, run="2014-05", checks=_checks(), cutoffs=["2014-04-01", "2014-05-01"],
                 start="2014-03-01", end="2014-05-01")
-    silver = spark.read.parquet(lake.path("silver", "production"))
-    fact = spark.read.parquet(lake.path("gold", "fact_production"))
+    silver = PB.read_current(spark, lake.path("silver", "production"))
+    fact = PB.read_current(spark, lake.path("gold", "fact_production"))
     assert silver.filter("production_month = '2014-03-01'").count() == 1
     assert {(r.well_id, float(r.oil_prod_m3)) for r in fact.filter("production_month = '2014-03-01'").collect()} == {("1", 30.0), ("2", 3.0)}
-    features = spark.read.parquet(lake.path("features", "well_features"))
+    features = PB.read_current(spark, lake.path("features", "well_features"), "as_of_date")
     assert {str(r[0]): r[1] for r in features.groupBy("as_of_date").count().collect()} == {"2014-03-01": 2, "2014-04-01": 2, "2014-05-01": 2}
     assert audit_features(features, fact).count() == 0
 
     bad = frame(spark, [raw_row(well="1", mon="5", company=None, **full)])
     with pytest.raises(Q.QualityError, match="not_null_company_id"):
         P.run_month(spark, bad, registry, lake, version=2, run="2014-06", checks=_checks(), cutoffs=["2014-06-01"], start="2014-05-01", end="2014-06-01")
-    assert spark.read.parquet(lake.path("gold", "fact_production")).count() == 7
+    assert PB.read_current(spark, lake.path("gold", "fact_production")).count() == 7
+    silver = PB.read_current(spark, lake.path("silver", "production"))
+    assert silver.filter("production_month = '2014-05-01'").isEmpty() and silver.count() == 6  # the failing month was never published
+    scratch = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    assert not list(scratch.glob("month-2014-0*"))
     kept = spark.read.parquet(lake.path("silver", "quality_failures"))
     assert kept.filter("run = '2014-06' and check_name = 'not_null_company_id'").count() == 1
 

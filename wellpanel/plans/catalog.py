@@ -28,6 +28,7 @@ from wellpanel.plans import monthly as MO
 from wellpanel.plans import retraining as RT
 from wellpanel.schema import FEATURE_CONTRACT, FLUID_LABELS, MEASURES, NUMERIC, PRODUCTION_SCHEMA, TEXT
 from wellpanel.session import staging_path
+from wellpanel.sources import published as PB
 from wellpanel.sources import raw as RAW
 from wellpanel.sources import tables as TB
 from wellpanel.streaming import arrivals as AR
@@ -227,21 +228,22 @@ def _(p):
 @query("s07_replace_periods")
 def _(p):
     path = TB.layer_path(staging_path(p.spark, "lake"), "silver", "production")
-    TB.replace_table(p.silver, path, "production_month")
+    PB.replace_periods(p.spark, p.silver, path)
     batch = p.silver.filter((F.col("production_month") >= "2001-01-01") & F.col("oil_prod_m3").isNotNull())
-    TB.replace_periods(batch, path)
-    return TB.read_table(p.spark, path).select("well_id", "production_month", "oil_prod_m3")
+    PB.replace_periods(p.spark, batch, path)
+    PB.expire(p.spark, path, keep=1)
+    return PB.read_current(p.spark, path).select("well_id", "production_month", "oil_prod_m3")
 
 
 @query("s08_upsert_by_key")
 def _(p):
     path = TB.layer_path(staging_path(p.spark, "lake"), "gold", "fact_production")
     fact = p.fact.select("production_key", "well_id", "production_month", "oil_prod_m3")
-    TB.replace_table(fact, path, "production_month")
+    PB.replace_periods(p.spark, fact, path)
     recent = fact.filter((F.col("production_month") >= "2001-01-01") & F.col("oil_prod_m3").isNotNull())
     batch = recent.withColumn("oil_prod_m3", (F.col("oil_prod_m3") * 2).cast("decimal(18,6)"))
-    TB.upsert_periods(p.spark, batch, path, ["production_key"])
-    return TB.read_table(p.spark, path).select("production_key", "well_id", "production_month", "oil_prod_m3")
+    PB.upsert_periods(p.spark, batch, path, ["production_key"])
+    return PB.read_current(p.spark, path).select("production_key", "well_id", "production_month", "oil_prod_m3")
 
 
 @query("s09_schema_drift")
@@ -1194,7 +1196,7 @@ def _(p):
     common = {"raw": p.raw, "raw_registry": p.raw_registry, "lake": lake, "checks": _silver_checks()}
     MO.run_month(p.spark, version=0, run="first", cutoffs=EVALUATED[:3], **common)
     MO.run_month(p.spark, version=1, run="second", cutoffs=EVALUATED[2:], start="2001-07-01", end="2001-12-01", **common)
-    stored = p.spark.read.parquet(lake.path("features", "well_features"))
+    stored = PB.read_current(p.spark, lake.path("features", "well_features"), "as_of_date")
     return stored.select("feature_key", *FEATURE_CONTRACT)
 
 
@@ -1205,7 +1207,8 @@ def _(p):
     found = MO.run_month(
         p.spark, p.raw, p.raw_registry, lake, checks=_silver_checks(), version=0, run="first", cutoffs=EVALUATED[:2],
     )
-    fact, features = (p.spark.read.parquet(lake.path(*at)) for at in (("gold", "fact_production"), ("features", "well_features")))
+    fact = PB.read_current(p.spark, lake.path("gold", "fact_production"))
+    features = PB.read_current(p.spark, lake.path("features", "well_features"), "as_of_date")
     wells = TB.read_version(p.spark, lake.path("gold", "dim_well"), 0).filter("depth_m is not null")
     orphaned = Q.run_checks(fact, [Q.references("well_key", wells)], "fact_production damaged")
     moved = features.withColumn("months_with_history", F.col("months_with_history") + (F.col("months_with_history") == 12).cast("int"))

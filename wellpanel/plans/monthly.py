@@ -14,12 +14,17 @@ from wellpanel.operators import star as ST
 from wellpanel.operators import typed as TY
 from wellpanel.operators.cutoffs import Cutoffs
 from wellpanel.schema import PRODUCTION_SCHEMA
-from wellpanel.session import durable
+from wellpanel.session import durable, job_scratch
+from wellpanel.sources import published as PB
 from wellpanel.sources import tables as TB
 
 Day = dt.date | str
 
 
+#: Tables that change by period, each at one moment.
+PUBLISHED = (("silver", "production"), ("gold", "fact_production"), ("features", "well_features"))
+
+
 @dataclass(frozen=True)
 class Lake:
     """Where the tables of one deployment live."""
@@ -30,29 +35,32 @@ class Lake:
         return TB.layer_path(self.root, layer, table)
 
 
-def build_typed(spark: SparkSession, raw: DataFrame, raw_registry: DataFrame, lake: Lake, *,
-                start: Day | None = None, end: Day | None = None) -> None:
-    """Rewrite the months of the range (or all of them) and the whole registry."""
-    typed = Q.require_schema(TY.typed_production(raw, start, end), PRODUCTION_SCHEMA)
-    TB.replace_periods(typed, lake.path("silver", "production"))
-    TB.replace_table(TY.typed_registry(raw_registry), lake.path("silver", "wells"))
-
-
 def _gate(lake: Lake, run: str, table: str, rows: DataFrame, checks: list[Q.Check], keys: list[str]) -> DataFrame:
     """Check one table, keep results and evidence under the run's name, and stop the chain if a blocking check failed."""
-    results = durable(Q.run_checks(rows, checks, table))
-    TB.replace_table(results, f"{lake.path('silver', 'quality_results')}/run={run}/checked={table}")
+    path = f"{lake.path('silver', 'quality_results')}/run={run}/checked={table}"
+    TB.replace_table(Q.run_checks(rows, checks, table), path)
     TB.replace_table(Q.failing_rows(rows, checks, table, keys), f"{lake.path('silver', 'quality_failures')}/run={run}/checked={table}")
+    results = rows.sparkSession.read.parquet(path)
     Q.require_passed(results)
     return results
 
 
-def check_typed(spark: SparkSession, lake: Lake, checks: list[Q.Check], run: str) -> DataFrame:
-    """The gates behind the typed layer: production and registry."""
-    production = spark.read.parquet(lake.path("silver", "production"))
-    registry = spark.read.parquet(lake.path("silver", "wells"))
-    found = _gate(lake, run, "typed_production", production, checks, ["well_id", "production_month"])
-    return found.unionByName(_gate(lake, run, "typed_registry", registry, Q.registry_checks(), ["well_id"]))
+def build_typed(spark: SparkSession, raw: DataFrame, raw_registry: DataFrame, lake: Lake, checks: list[Q.Check], run: str, *,
+                start: Day | None = None, end: Day | None = None) -> DataFrame:
+    """Stage the months of the range (or all of them) and the whole registry, check the tables they would make, publish.
+
+    A failed blocking check leaves both typed tables as they were.
+    """
+    typed = Q.require_schema(TY.typed_production(raw, start, end), PRODUCTION_SCHEMA)
+    production = PB.stage(spark, typed, lake.path("silver", "production"))
+    registry = durable(TY.typed_registry(raw_registry))
+    rows = PB.read(spark, production)
+    rows = typed.limit(0) if rows is None else rows.select(*PRODUCTION_SCHEMA.fieldNames())
+    found = _gate(lake, run, "typed_production", rows, checks, ["well_id", "production_month"])
+    found = found.unionByName(_gate(lake, run, "typed_registry", registry, Q.registry_checks(), ["well_id"]))
+    PB.publish(spark, production)
+    TB.replace_table(registry, lake.path("silver", "wells"))
+    return found
 
 
 #: Surrogate and business key of each dimension.
@@ -61,7 +69,7 @@ DIMENSIONS = {"dim_well": ("well_key", "well_id"), "dim_company": ("company_key"
 
 def build_star(spark: SparkSession, lake: Lake, version: int, run: str, *, start: Day | None = None, end: Day | None = None) -> DataFrame:
     """Write the dimensions as a new version, check them and the fact against them, then upsert the fact."""
-    production = spark.read.parquet(lake.path("silver", "production")).select(*PRODUCTION_SCHEMA.fieldNames())
+    production = PB.read_current(spark, lake.path("silver", "production")).select(*PRODUCTION_SCHEMA.fieldNames())
     registry = spark.read.parquet(lake.path("silver", "wells"))
     rows = {"dim_well": ST.dim_well(registry, production), "dim_company": ST.dim_company(production), "dim_date": ST.dim_date(production)}
     written, found = {}, []
@@ -70,26 +78,33 @@ def build_star(spark: SparkSession, lake: Lake, version: int, run: str, *, start
         found.append(_gate(lake, run, name, written[name], Q.dimension_checks(key, business_key), [business_key]))
     fact = durable(ST.fact_production(production, start, end))
     found.append(_gate(lake, run, "fact_production", fact, Q.fact_checks(*written.values()), ["production_key"]))
-    TB.upsert_periods(spark, fact, lake.path("gold", "fact_production"), ["production_key"])
+    PB.upsert_periods(spark, fact, lake.path("gold", "fact_production"), ["production_key"])
     return reduce(DataFrame.unionByName, found)
 
 
 def build_features(spark: SparkSession, lake: Lake, version: int, run: str, cutoffs: Cutoffs) -> DataFrame:
     """Compute the cutoffs, check and audit them, then materialise them; other cutoffs keep their rows."""
-    fact = spark.read.parquet(lake.path("gold", "fact_production"))
+    fact = PB.read_current(spark, lake.path("gold", "fact_production"))
     wells = TB.read_version(spark, lake.path("gold", "dim_well"), version)
     rows = durable(FT.well_features(fact, wells, cutoffs))
     leaked = FT.audit_features(rows, fact).select("well_id", "as_of_date")
     audited = [*Q.feature_checks(), Q.absent_from("point_in_time", ["well_id", "as_of_date"], leaked)]
     found = _gate(lake, run, "well_features", rows, audited, ["well_id", "as_of_date"])
-    TB.upsert_periods(spark, rows, lake.path("features", "well_features"), ["feature_key"], "as_of_date")
+    PB.upsert_periods(spark, rows, lake.path("features", "well_features"), ["feature_key"], "as_of_date")
     return found
 
 
 def run_month(spark: SparkSession, raw: DataFrame, raw_registry: DataFrame, lake: Lake, *, version: int, run: str,
               checks: list[Q.Check], cutoffs: Cutoffs, start: Day | None = None, end: Day | None = None) -> DataFrame:
-    """The whole chain; a failed blocking check leaves the layers behind it as they were.  Returns all results."""
-    build_typed(spark, raw, raw_registry, lake, start=start, end=end)
-    found = check_typed(spark, lake, checks, run)
-    found = found.unionByName(build_star(spark, lake, version, run, start=start, end=end))
-    return found.unionByName(build_features(spark, lake, version, run, cutoffs))
+    """The whole chain; a failed blocking check leaves its own layer and those behind it as they were.
+
+    Returns all results, read from the lake.  Tables staged on the way are gone afterwards, and of the published ones
+    what neither the new nor the previous state names.
+    """
+    with job_scratch(spark, f"month-{run}"):
+        found = build_typed(spark, raw, raw_registry, lake, checks, run, start=start, end=end)
+        found = found.unionByName(build_star(spark, lake, version, run, start=start, end=end))
+        found = found.unionByName(build_features(spark, lake, version, run, cutoffs))
+    for at in PUBLISHED:
+        PB.expire(spark, lake.path(*at))
+    return found

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,10 +65,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
 
 
+#: Folders that staged tables go to while a job of :func:`job_scratch` runs; the innermost job is the last.
+_JOBS: list[str] = []
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    root = _JOBS[-1] if _JOBS else spark.sparkContext.getCheckpointDir()
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def job_scratch(spark: SparkSession, name: str = "job") -> Iterator[str]:
+    """A folder for the staged tables of one job, removed when the job ends, well or not.
+
+    What the job returns must not read from it any more.
+    """
+    folder = staging_path(spark, name)
+    _JOBS.append(folder)
+    try:
+        yield folder
+    finally:
+        _JOBS.pop()
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
