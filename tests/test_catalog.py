@@ -27,3 +27,32 @@ def test_every_sql_form_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_features_are_planned_once(spark):
+    """The dataset reads stored features: their windows and aggregations stand in no plan of it."""
+    from wellpanel.plans.catalog import Panel
+
+    panel = Panel(spark, SF_DIR)
+    for df in (panel.dataset, panel.tested):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("oil_prod_m3_roll_std_12m") and "sqrt" not in plan.lower()
+
+
+def test_entry_survives_a_package_that_only_the_training_operators_need(monkeypatch):
+    import builtins
+    import importlib
+    import sys
+
+    real = builtins.__import__
+
+    def without(name, *args, **kwargs):
+        if name.split(".")[0] in ("corpus_pipeline", "zstandard"):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+        return real(name, *args, **kwargs)
+
+    monkeypatch.setattr(builtins, "__import__", without)
+    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+    entry = importlib.import_module("__spark_entry__")
+    assert len(entry.queries()) > 150 and not any(q.startswith("op") for q in entry.queries())
+    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)

@@ -129,7 +129,8 @@ class Panel:
 
     @cached_property
     def dataset(self) -> DataFrame:
-        return SV.training_dataset(self.features, self.series, HORIZONS)
+        # stored once: every request row is read again for its as-of answer
+        return SV.training_dataset(self.feature_table, self.series, HORIZONS)
 
     @cached_property
     def dataset_table(self) -> DataFrame:
@@ -137,7 +138,7 @@ class Panel:
 
     def predicted(self, cutoffs: list[str]) -> DataFrame:
         """Supervised rows of some cutoffs, with a moving average as the judged model."""
-        features = FT.well_features(self.fact, self.wells, cutoffs)
+        features = self.stage(FT.well_features(self.fact, self.wells, cutoffs), "features")
         guess = F.coalesce("oil_prod_m3_roll_mean_12m", "naive_forecast_m3", F.lit(0.0))
         return SV.training_dataset(features, self.series, HORIZONS).withColumn("prediction_m3", guess)
 
