@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellpanel.llm.storage import fold, table, whole_row
+from wellpanel.llm.storage import fold, table
 from wellpanel.llm.words import row_groups, text_bytes
 
 DIMENSIONS = 2048
@@ -151,6 +151,20 @@ def trigram_scores(prototypes: np.ndarray, base: np.ndarray) -> np.ndarray:
     return scores
 
 
+def best_language(column: pa.Array, names: list[str], scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a column of texts: place of the best language, whether it counts, and best over best plus second."""
+    size = len(column)
+    dots, letters = np.zeros((max(1, len(names)), size)), np.zeros(size, np.int64)
+    for first, last, code, row, found in trigrams(column):
+        letters[first:last] = found
+        for k in range(len(names)):
+            dots[k, first:last] = np.bincount(row, scores[k][code], last - first)
+    ranked = np.maximum(np.sort(dots, axis=0), 0)
+    top, second = ranked[-1], ranked[-2] if len(ranked) > 1 else np.zeros(size)
+    sure = np.divide(top, top + second, out=np.zeros(size), where=top > 0)
+    return dots.argmax(axis=0), (letters > 0) & bool(names), sure
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[str]) -> DataFrame:
     """``docs.select(columns)``, ``__lang__`` and ``__sure__`` (best over best plus second, by cosine)."""
     names, scores = model
@@ -159,17 +173,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, scores = shared.value
         for batch in batches:
-            dots = np.zeros((max(1, len(names)), batch.num_rows))
-            letters = np.zeros(batch.num_rows, np.int64)
-            for first, last, code, row, found in trigrams(batch.column(batch.num_columns - 1)):
-                letters[first:last] = found
-                for k in range(len(names)):
-                    dots[k, first:last] = np.bincount(row, scores[k][code], last - first)
-            best = dots.argmax(axis=0)
-            ranked = np.maximum(np.sort(dots, axis=0), 0)
-            top, second = ranked[-1], ranked[-2] if len(ranked) > 1 else np.zeros(batch.num_rows)
-            sure = np.divide(top, top + second, out=np.zeros(batch.num_rows), where=top > 0)
-            known = (letters > 0) & bool(names)
+            best, known, sure = best_language(batch.column(batch.num_columns - 1), names, scores)
             label = pa.array([names[b] if k else UNKNOWN for b, k in zip(best, known)], pa.string())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], label, pa.array(np.where(known, sure, 0.0))],
@@ -195,8 +199,14 @@ def languages(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are in a learned language, with all their columns, whatever their names; texts
-    without letters go."""
-    return identify(docs.select(whole_row(docs), "text"), train(docs), ["row"]).filter(F.col("__lang__") != UNKNOWN).select("row.*")
+    without letters go.  Only the text goes to Python; the other columns stay in the JVM."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        return pa.array(best_language(texts, *shared.value)[1])
+
+    return docs.filter(known(F.col("text").cast("string")))
 
 
 def op9_language_hypervectors(spark: SparkSession, sf_dir: str) -> DataFrame:

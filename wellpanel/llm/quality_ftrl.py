@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellpanel.llm.storage import fold, hash_sample, table, whole_row
+from wellpanel.llm.storage import fold, hash_sample, table
 from wellpanel.llm.words import mix64, row_groups, span_hashes, text_bytes, word_spans
 
 BUCKETS = 1 << 18
@@ -143,6 +143,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
     return np.frombuffer(found["weights"], np.float32) if found else np.zeros(BUCKETS + 1, np.float32)
 
 
+def probabilities(column: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """Of label 1, for a column of texts."""
+    dots = np.zeros(len(column))
+    for first, last, index, rows, counts in features(column):
+        dots[first:last] = np.bincount(rows, weights[index], last - first) / np.sqrt(np.maximum(counts, 1))
+    return 1 / (1 + np.exp(-np.clip(dots + weights[-1], -35, 35)))
+
+
 def score(docs: DataFrame, weights: np.ndarray, columns: list[str], text: str = "text") -> DataFrame:
     """``docs.select(columns)`` and ``score``; ``text`` is the column to read and need not be among them."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
@@ -152,11 +160,7 @@ def score(docs: DataFrame, weights: np.ndarray, columns: list[str], text: str =
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             kept = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
-            dots = np.zeros(batch.num_rows)
-            for first, last, index, rows, counts in features(column):
-                dots[first:last] = np.bincount(rows, w[index], last - first) / np.sqrt(np.maximum(counts, 1))
-            p = 1 / (1 + np.exp(-np.clip(dots + w[-1], -35, 35)))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(p)], names=[*kept.schema.names, "__score__"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(probabilities(column, w))], names=[*kept.schema.names, "__score__"])
 
     narrow = docs.select(*columns, F.col(text).cast("string").alias("__text__"))
     schema = narrow.drop("__text__").schema.add("__score__", "double")
@@ -177,9 +181,17 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with all their columns, whatever their names."""
-    scored = score(docs.select(whole_row(docs), "text"), train(docs, labels), ["row"])
-    return scored.filter(F.col("__score__") >= threshold).select("row.*")
+    """The rows of ``docs`` that the classifier does not reject, with all their columns, whatever their names.
+
+    Only the text goes to Python and only its score comes back; the other columns stay in the JVM.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels).astype(np.float64))
+
+    @F.arrow_udf("double")
+    def probability(texts: pa.Array) -> pa.Array:
+        return pa.array(probabilities(texts, shared.value))
+
+    return docs.filter(probability(F.col("text").cast("string")) >= threshold)
 
 
 def op4_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
