@@ -188,6 +188,64 @@ def test_damaged_archives_are_refused():
     lead = WZ.struct.pack("<II", WZ.DICTIONARY_MAGIC, 0)
     frame = zstandard.ZstdCompressor(write_content_size=True).compress
     assert len(list(WZ.read_archive(lead + frame(good)))) == 1
-    for archive in (frame(good), lead + frame(good)[:-3], lead + frame(good.replace(b"payload", b"pay_oad")), b"junk" + lead):
+    for archive in (lead + frame(good)[:-3], lead + frame(good.replace(b"payload", b"pay_oad")), b"junk" + lead):
         with pytest.raises((ValueError, zstandard.ZstdError)):
             list(WZ.read_archive(archive))
+
+
+def other_writer(headers: dict[str, str], block: bytes) -> bytes:
+    lines = ["WARC/1.0", *[f"{k}: {v}" for k, v in headers.items()], f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def other_records() -> list[tuple[bytes, tuple, bytes | None]]:
+    """Records as other programs write them, with the row and payload they stand for."""
+    def sha(payload):
+        return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+    body = b"<p>caf\xc3\xa9</p>" * 40
+    common = {"WARC-Date": "2024-01-01T00:00:00Z"}
+    http = b"HTTP/1.1 200 OK\r\nserver:x\r\ncontent-length:%d\r\n\r\n" % len(body) + body
+    return [
+        (other_writer({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:uuid:1>", "Content-Type": "application/warc-fields", **common}, b"software: x\r\n"),
+         (None, None, 13, sha(b"software: x\r\n"), "warcinfo", None, "<urn:uuid:1>"), b"software: x\r\n"),
+        (other_writer({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:2>", "WARC-Target-URI": "http://a/", "Content-Type": "application/http;msgtype=response", **common}, http),
+         (None, "http://a/", len(body), sha(body), "response", None, "<urn:uuid:2>"), body),
+        (other_writer({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:3>", "WARC-Payload-Digest": "sha256:abc", "Content-Type": "application/http", **common}, b"HTTP/1.1 200 OK\r\n\r\n" + body),
+         (None, None, len(body), sha(body), "response", None, "<urn:uuid:3>"), body),
+        (other_writer({"WARC-Type": "request", "WARC-Record-ID": "<urn:uuid:4>", "Content-Type": "application/http; msgtype=request", **common}, b"GET / HTTP/1.1\r\nhost: a\r\n\r\n"),
+         (None, None, 0, sha(b""), "request", None, "<urn:uuid:4>"), b""),
+        (other_writer({"WARC-Type": "revisit", "WARC-Record-ID": "<urn:uuid:5>", "WARC-Refers-To": "<urn:uuid:2>", "WARC-Payload-Digest": f"sha1:{sha(body)}", "Content-Type": "application/http", **common}, http[: -len(body)]),
+         (None, None, len(body), sha(body), "revisit", None, "<urn:uuid:5>"), None),
+        (other_writer({"WARC-Type": "resource", "WARC-Record-ID": "<urn:page:77>", "Content-Type": "text/plain", **common}, b""), (77, None, 0, sha(b""), "resource", None, "<urn:page:77>"), b""),
+    ]
+
+
+def streamed(compressor, data: bytes) -> bytes:
+    """A frame written piece by piece, whose header does not tell its size."""
+    writer = compressor.compressobj()
+    return b"".join(writer.compress(data[k : k + 100]) for k in range(0, len(data), 100)) + writer.flush()
+
+
+@pytest.mark.parametrize("kind", ["no dictionary", "no size", "streamed", "raw dictionary", "compressed dictionary", "empty dictionary", "padded"])
+def test_archives_of_other_writers(spark, tmp_path, kind):
+    records = other_records()
+    sample = [r[0] + bytes([k]) * (k % 7) for k in range(200) for r in records]
+    stored = zstandard.train_dictionary(2048, sample).as_bytes() if "dictionary" in kind and kind not in ("no dictionary", "empty dictionary") else b""
+    trained = zstandard.ZstdCompressionDict(stored) if stored else None
+    one = zstandard.ZstdCompressor(dict_data=trained, write_content_size=kind != "no size", write_checksum=kind == "padded")
+    lead = {"compressed dictionary": zstandard.ZstdCompressor().compress(stored), "raw dictionary": stored, "empty dictionary": b""}.get(kind)
+    out = WZ.struct.pack("<II", WZ.DICTIONARY_MAGIC, len(lead)) + lead if lead is not None else b""
+    pad = WZ.struct.pack("<II", WZ.SKIPPABLE_MAGIC + 3, 5) + b"later" if kind == "padded" else b""
+    out += b"".join((streamed(one, r) if kind == "streamed" else one.compress(r)) + pad for r, _, _ in records)
+    assert list(WZ.read_archive(out)) == [(row, payload) for _, row, payload in records]
+    (tmp_path / "a.warc.zst").write_bytes(out)
+    found = WZ.read_archives(spark, str(tmp_path / "a.warc.zst"), payload=True).collect()
+    assert sorted(str((*r[:-1], None if r[-1] is None else bytes(r[-1]))) for r in found) == sorted(str((*row, payload)) for _, row, payload in records)
+
+
+def test_frames_that_need_an_absent_dictionary_are_refused():
+    record = other_records()[1][0]
+    trained = zstandard.train_dictionary(1024, [record + bytes([k]) * k for k in range(100)])
+    with pytest.raises(ValueError):
+        list(WZ.read_archive(zstandard.ZstdCompressor(dict_data=trained).compress(record)))

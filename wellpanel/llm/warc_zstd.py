@@ -33,7 +33,7 @@ DATE = "1970-01-01T00:00:00Z"
 SAMPLE_PAGES, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 8192, 1 << 15
 LEVEL = 3
 
-READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string"
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
@@ -98,7 +98,7 @@ def frames(archive: memoryview) -> Iterator[tuple[int, memoryview]]:
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and block of a record; malformed records and wrong lengths are errors."""
     head, gap, rest = raw.partition(b"\r\n\r\n")
-    version, *lines = head.decode().split("\r\n")
+    version, *lines = head.decode("utf-8", "replace").split("\r\n")
     if not gap or version not in ("WARC/1.0", "WARC/1.1"):
         raise ValueError("no WARC record")
     headers = {}
@@ -117,28 +117,61 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _id(urn: str) -> int | None:
+    """The page id of a record of this writer; other writers' names have none."""
     digits = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(digits) if digits else None
+    return int(digits) if digits.removeprefix("-").isdigit() else None
+
+
+def _unpacked(frame: bytes, reader: zstandard.ZstdDecompressor) -> bytes:
+    """A frame's content, also where its header does not tell the size."""
+    try:
+        return reader.decompressobj().decompress(frame)
+    except zstandard.ZstdError as error:
+        raise ValueError(f"frame cannot be decompressed: {error}") from error
+
+
+def _dictionary(stored: bytes) -> zstandard.ZstdDecompressor:
+    """The decompressor of a dictionary frame; the dictionary in it may be compressed itself, or empty."""
+    if stored[:4] == struct.pack("<I", FRAME_MAGIC):
+        stored = _unpacked(stored, zstandard.ZstdDecompressor())
+    return zstandard.ZstdDecompressor(zstandard.ZstdCompressionDict(stored)) if stored else zstandard.ZstdDecompressor()
+
+
+def _content(headers: dict[str, str], block: bytes) -> tuple[int, str | None, bytes | None]:
+    """(payload bytes, sha1 digest, payload) of a record: of the HTTP body if it holds one, else of the whole block."""
+    kind, given = headers["warc-type"], headers.get("warc-payload-digest", "")
+    digest = given.removeprefix("sha1:").upper() if given.startswith("sha1:") else None
+    payload, size = block, len(block)
+    if headers.get("content-type", "").startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        fields = {n.strip().lower(): v.strip() for n, _, v in (line.partition(":") for line in http.decode("utf-8", "replace").split("\r\n")[1:])}
+        told = fields.get("content-length", "")
+        size = int(told) if told.isdigit() else len(payload)
+    if kind == "revisit":
+        return size, digest, None
+    found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    if len(payload) != size or (digest is not None and digest != found):
+        raise ValueError(f"record {headers['warc-record-id']} does not match its length or digest")
+    return size, found, payload
 
 
 def read_archive(archive: bytes) -> Iterator[tuple]:
-    """The records of one archive, checked, as rows of ``READ`` and their payload (None for a revisit)."""
+    """The records of one archive, checked, as rows of ``READ`` and their payload (None for a revisit).
+
+    Archives of other writers are read as well: without a dictionary, with a compressed one, with frames that do not
+    tell their size, with records that hold no HTTP message (their payload is the block) and without payload digests.
+    """
     reader = None
     for magic, frame in frames(memoryview(archive)):
         if magic == DICTIONARY_MAGIC and reader is None:
-            stored = bytes(frame[8:])
-            reader = zstandard.ZstdDecompressor(zstandard.ZstdCompressionDict(stored)) if stored else zstandard.ZstdDecompressor()
+            reader = _dictionary(bytes(frame[8:]))
         elif magic == FRAME_MAGIC:
-            if reader is None:
-                raise ValueError("the dictionary frame does not come first")
-            headers, block = parse(reader.decompress(bytes(frame)))
-            http, gap, payload = block.partition(b"\r\n\r\n")
-            fields = dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])
-            size, digest, kind = int(fields["Content-Length"]), headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
-            if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-                raise ValueError(f"record {headers['warc-record-id']} does not match its digest")
-            refers = _id(headers["warc-refers-to"]) if kind == "revisit" else None
-            yield (_id(headers["warc-record-id"]), headers.get("warc-target-uri"), size, digest, kind, refers), payload if kind == "response" else None
+            reader = reader or zstandard.ZstdDecompressor()
+            headers, block = parse(_unpacked(bytes(frame), reader))
+            size, digest, payload = _content(headers, block)
+            kind, name = headers["warc-type"], headers["warc-record-id"]
+            refers = _id(headers.get("warc-refers-to", "")) if kind == "revisit" else None
+            yield (_id(name), headers.get("warc-target-uri"), size, digest, kind, refers, name), payload
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -178,7 +211,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
     """Rows of ``READ`` for every record of the archives below ``path``, and its bytes with ``payload``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string())])
         for batch in batches:
             for archive in batch.column("content"):
                 rows, bodies = [], []
