@@ -161,3 +161,44 @@ def test_stream_equals_batch_over_several_deliveries(spark, tmp_path):
         SM.run_to_table(live, ["handler"], out, progress)
     want = SM.request_rate(log)
     assert sorted(map(tuple, spark.read.parquet(out).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def _points(spark, values, handler="/a", at=dt.datetime(2024, 1, 1, 22, 0)):
+    """Windows of an hour, some of them past midnight; values keyed by hour."""
+    rows = [(at + dt.timedelta(hours=h), handler, float(v)) for h, v in values.items()]
+    return spark.createDataFrame(rows, "window_start timestamp, handler string, latency double")
+
+
+ALERT = {"threshold": 50.0, "held": 3, "step_seconds": 3600}
+
+
+def test_alert_decides_only_what_a_batch_can_change(spark, tmp_path):
+    """After every micro-batch the alerts equal the batch alert over all that has arrived; changes become events."""
+    path, known = str(tmp_path / "a"), {}
+    batches = [{0: 90, 1: 90}, {2: 90, 3: 90}, {5: 90, 6: 90}, {4: 90}, {1: 10}, {1: 90, 30: 90}, {40: 10}]
+    firing = set()
+    for k, batch in enumerate(batches):
+        known |= batch
+        for _ in range(2 if k in (3, 4) else 1):  # a batch that runs twice
+            decided = SM.decide_alerts(_points(spark, batch), k, path, "latency", ["handler"], **ALERT)
+            assert decided.count() == len({h + i for h in batch for i in range(3)})
+        want = {tuple(r) for r in SM.sustained_alert(_points(spark, known), "latency", ["handler"], **ALERT).collect()}
+        assert {tuple(r) for r in SM.current_alerts(spark, path, ["handler"]).collect()} == want
+        events = {(r["handler"], r.firing_at, r.event) for r in spark.read.schema("firing_at timestamp, handler string, event string").parquet(f"{path}/events/batch_id={k:09d}").collect()}
+        assert events == {(*w, "firing") for w in want - firing} | {(*w, "resolved") for w in firing - want}
+        firing = want
+
+
+def test_alert_stream_equals_the_batch_alert_after_each_delivery(spark, tmp_path):
+    inbox, path, progress = (str(tmp_path / n) for n in ("in", "alerts", "progress"))
+    start = dt.datetime(2024, 1, 1, 20)
+    rows = [(start + dt.timedelta(minutes=10 * i), "/a" if i % 2 else "/b", 90.0 if i % 40 < 26 else 5.0) for i in range(160)]
+    log = spark.createDataFrame(rows, "ts timestamp, handler string, latency double")
+    assert SM.current_alerts(spark, path, ["handler"]).count() == 0
+    for part in (rows[:50], rows[50:95], rows[95:]):
+        spark.createDataFrame(part, log.schema).coalesce(1).write.mode("append").parquet(inbox)
+        live = SM.handler_latency(SM.watermarked(spark.readStream.schema(log.schema).parquet(inbox)), 3600)
+        SM.run_alert(live, "mean_latency", ["handler"], path, progress, **ALERT)
+        arrived = log.filter(F.col("ts") <= F.lit(part[-1][0]))
+        want = SM.sustained_alert(SM.handler_latency(arrived, 3600), "mean_latency", ["handler"], **ALERT)
+        assert {tuple(r) for r in SM.current_alerts(spark, path, ["handler"]).collect()} == {tuple(r) for r in want.select("handler", "firing_at").collect()}

@@ -6,10 +6,12 @@ Each function takes a log (``ts``, ``handler``, ``status``, ``latency``,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellpanel.operators.ordering import exact_quantiles
+from wellpanel.session import durable
+from wellpanel.sources import published as PB
 from wellpanel.sources.tables import upsert_periods
 
 # --- fixed values -------------------------------------------------------------
@@ -130,6 +132,76 @@ def sustained_alert(points: DataFrame, value: str, keys: list[str], *, threshold
     return votes.groupBy(*keys, "firing_at").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == held).drop("_n")
 
 
+def decide_alerts(batch: DataFrame, batch_id: int, path: str, value: str, keys: list[str], *, threshold: float, held: int, step_seconds: int) -> DataFrame:
+    """Put the changed windows of a micro-batch into ``<path>/metrics`` and decide again what they can have changed.
+
+    A window takes part in its own verdict and in those of the next ``held - 1`` windows, nothing else; so only these
+    are decided, from the days they look back on.  ``<path>/alerts`` keeps the verdict of every window that was ever
+    asked, and the verdict before the batch; ``<path>/events`` gets one row for each that changed.  Returns the verdicts
+    of the batch.  A batch that runs twice leaves the same tables: its rows remember the verdict before it.
+    """
+    spark = batch.sparkSession
+    steps = F.transform(F.sequence(F.lit(0), F.lit(held - 1)), lambda i: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), i * step_seconds))
+    batch = durable(batch.withColumn("window_day", F.to_date("window_start")))
+    PB.upsert_periods(spark, batch, f"{path}/metrics", ["window_start", *keys], "window_day")
+    asked = durable(
+        batch.select(*keys, F.explode(F.transform(steps, lambda s: F.col("window_start") + s)).alias("firing_at")).distinct()
+        .withColumn("firing_day", F.to_date("firing_at"))
+    )
+
+    def days(column: Column) -> set[str]:
+        """Calendar days of the batch's windows."""
+        return {str(r[0]) for r in asked.select(F.explode(column).alias("day")).distinct().collect()}
+
+    behind = days(F.transform(steps, lambda s: F.to_date(F.col("firing_at") - s)))
+    points = PB.read(spark, PB.current(spark, f"{path}/metrics", "window_day"), behind)
+    fired = sustained_alert(points, value, keys, threshold=threshold, held=held, step_seconds=step_seconds).withColumn("firing", F.lit(True))
+    stored = PB.read(spark, PB.current(spark, f"{path}/alerts", "firing_day"), days(F.array("firing_day")))
+    at = ["firing_at", *keys]
+    if stored is None:
+        before = asked.limit(0).select(*at, F.lit(False).alias("before"))
+    else:
+        before = stored.select(*at, F.when(F.col("batch_id") == batch_id, F.col("was_firing")).otherwise(F.col("firing")).alias("before"))
+    decided = durable(
+        asked.join(fired, at, "left").join(before, at, "left").select(
+            *at, "firing_day", F.coalesce("firing", F.lit(False)).alias("firing"), F.coalesce("before", F.lit(False)).alias("was_firing"),
+            F.lit(batch_id).cast("long").alias("batch_id"),
+        )
+    )
+    PB.upsert_periods(spark, decided, f"{path}/alerts", at, "firing_day")
+    changed = decided.filter("firing <> was_firing").select(*at, F.when(F.col("firing"), "firing").otherwise("resolved").alias("event"))
+    changed.write.mode("overwrite").parquet(f"{path}/events/batch_id={batch_id:09d}")
+    for table in ("metrics", "alerts"):
+        PB.expire(spark, f"{path}/{table}")
+    return decided
+
+
+def run_alert(metrics: DataFrame, value: str, keys: list[str], path: str, checkpoint: str, *, threshold: float = ALERT_THRESHOLD,
+              held: int = ALERT_POINTS, step_seconds: int = 60) -> None:
+    """Process what has arrived of the windowed ``metrics``; alerts fire and resolve micro-batch by micro-batch."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            decide_alerts(batch, batch_id, path, value, keys, threshold=threshold, held=held, step_seconds=step_seconds)
+
+    (
+        metrics.writeStream.outputMode("update")
+        .foreachBatch(each)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+
+
+def current_alerts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The windows that fire by all that has arrived."""
+    rows = PB.read_current(spark, f"{path}/alerts", "firing_day")
+    if rows is None:
+        return spark.createDataFrame([], f"{', '.join(k + ' string' for k in keys)}, firing_at timestamp")
+    return rows.filter("firing").select(*keys, "firing_at")
+
+
 def watermarked(log: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return log.withWatermark("ts", delay)
 
