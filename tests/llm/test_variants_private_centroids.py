@@ -242,13 +242,13 @@ def vector_rows(count=260, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("rows", [
-    vector_rows(), vector_rows()[:5], [(7, [0.25] * 64, 0)], [(k, [0.5] * 64, 0) for k in range(30)],
-    vector_rows(40) + [(2000, [1e30] * 64, 0), (2001, [-3e12] + [0.25] * 63, 0)],
+@pytest.mark.parametrize("rows, rounds", [
+    (vector_rows(), 10), (vector_rows()[:5], 2), ([(7, [0.25] * 64, 0)], 1), ([(k, [0.5] * 64, 0) for k in range(30)], 2),
+    (vector_rows(40) + [(2000, [1e30] * 64, 0), (2001, [-3e12] + [0.25] * 63, 0)], 3),
 ], ids=["many", "few", "one", "equal", "huge"])
-def test_clusters_equal_brute_force(spark, rows):
-    found = PF.cluster(extra(spark.createDataFrame(rows, VECTORS).repartition(3))).collect()
-    assert sorted(str((r.vec_id, r.cluster, r.distance, r.cluster_inertia, r.inertia, r.centroid_sha256)) for r in found) == brute_clusters(rows)
+def test_clusters_equal_brute_force(spark, rows, rounds):
+    found = PF.cluster(extra(spark.createDataFrame(rows, VECTORS).repartition(3)), rounds=rounds).collect()
+    assert sorted(str((r.vec_id, r.cluster, r.distance, r.cluster_inertia, r.inertia, r.centroid_sha256)) for r in found) == brute_clusters(rows, rounds)
 
 
 def test_clusters_of_nothing(spark):
