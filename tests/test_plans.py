@@ -75,6 +75,41 @@ def test_a_broken_layer_stops_what_follows(spark, tmp_path, monkeypatch):
     assert not (tmp_path / "lake" / "features").exists()
 
 
+def test_stored_cutoffs_follow_changes_of_the_fact(spark, tmp_path, monkeypatch):
+    """Months revised or delivered late move the cutoffs nobody asked for, also after a run that broke off in between."""
+    lake = P.Lake(str(tmp_path / "lake"))
+    registry = frame(spark, [(w, "C", "", "", "", f"R-{w}", "", "F", "B", "", "", "", "", w) for w in ("1", "2", "3")], REG_NAMES)
+
+    def rows(*declared):
+        return frame(spark, [raw_row(well=w, mon=str(m), oil=str(v), load=str(k), prod_agua="1") for w, m, v, k in declared])
+
+    def audited():
+        fact = PB.read_current(spark, lake.path("gold", "fact_production"))
+        features = PB.read_current(spark, lake.path("features", "well_features"), "as_of_date")
+        assert audit_features(features, fact).count() == 0
+        return {(r.well_id, str(r.as_of_date)): r.oil_prod_m3_lag_1m for r in features.collect()}
+
+    common = {"spark": spark, "raw_registry": registry, "lake": lake, "checks": _checks()}
+    first = rows(*[(w, m, 10 * m, 1) for w in ("1", "2") for m in (1, 2)])
+    P.run_month(raw=first, version=0, run="a", cutoffs=["2014-02-01", "2014-03-01"], **common)
+    assert audited()["1", "2014-03-01"] == 20.0
+
+    built = P.build_features
+    monkeypatch.setattr(P, "build_features", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        P.run_month(raw=rows(("1", 2, 77, 2), ("2", 2, 20, 2)), version=1, run="b", cutoffs=["2014-04-01"], start="2014-02-01", end="2014-03-01", **common)
+    monkeypatch.setattr(P, "build_features", built)
+    late = rows(("1", 3, 30, 3), ("2", 3, 30, 3), ("3", 3, 5, 3))
+    P.run_month(raw=late, version=2, run="c", cutoffs=["2014-04-01"], start="2014-03-01", end="2014-04-01", **common)
+    found = audited()
+    assert found["1", "2014-03-01"] == 77.0 and found["1", "2014-02-01"] == 10.0
+    assert {c for w, c in found if w == "3"} == {"2014-04-01"} and len(found) == 7
+    state = PB.current(spark, lake.path("features", "well_features"), "as_of_date")
+    # the cutoff that nothing reached keeps the file of the first run
+    assert dict(state.batches) == {"2014-02-01": 1, "2014-03-01": 2, "2014-04-01": 2}
+    assert state.made_from == f"{PB.current(spark, lake.path('gold', 'fact_production')).version}/2"
+
+
 def test_retraining_chain(spark, features, series):
     stored = features.drop("feature_key")
     out = retrain(stored, series, "2023-04-01", spec=MD.ModelSpec(kind="linear"))

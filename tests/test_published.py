@@ -92,6 +92,18 @@ def test_untouched_periods_stay_closed_and_columns_may_appear(spark, tmp_path):
     assert PB.read_current(spark, path).count() == 2
 
 
+def test_removed_keys_go_and_emptied_periods_with_them(spark, tmp_path):
+    path = str(tmp_path / "t")
+    PB.replace_periods(spark, frame(spark, [("a", "2020-01-01", 1), ("b", "2020-01-01", 2), ("c", "2020-02-01", 3)]), path)
+    before = PB.current(spark, path)
+    gone = frame(spark, [("b", "2020-01-01", 0), ("c", "2020-02-01", 0)])
+    PB.publish(spark, PB.stage(spark, frame(spark, [("d", "2020-03-01", 4)]), path, keys=["key"], removed=gone))
+    after = PB.current(spark, path)
+    assert rows_of(PB.read(spark, after)) == {("a", "2020-01-01", 1), ("d", "2020-03-01", 4)}
+    assert PB.rewritten(before, after) == {"2020-01-01", "2020-02-01", "2020-03-01"}
+    assert PB.at_version(spark, path, before.version) == before and PB.at_version(spark, path, 9) is None
+
+
 def test_staged_tables_of_a_job_are_gone_after_it(spark):
     with job_scratch(spark, "one") as folder:
         assert durable(spark.range(5)).count() == 5

@@ -14,6 +14,7 @@ from wellpanel.operators import backtest as B
 from wellpanel.operators import champion as CH
 from wellpanel.operators import decline as D
 from wellpanel.operators import features as FT
+from wellpanel.operators import incremental as IN
 from wellpanel.operators import metrics as M
 from wellpanel.operators import model as MD
 from wellpanel.operators import quality as Q
@@ -991,6 +992,28 @@ def _(p):
     return FT.well_features(p.fact, p.wells)
 
 
+@query("f10_incremental_features")
+def _(p):
+    """Features of an older state of the fact, brought up to date from the months and wells that changed since.
+
+    In the older state one month had not arrived, every seventh well declared other volumes in a later one, every
+    eleventh a month that it withdrew, one well was a stray, and some wells lay elsewhere.
+    """
+    fact, wells = p.stage(p.fact.select("well_id", "production_month", "oil_prod_m3"), "fact"), p.stage(p.wells, "wells")
+    number = F.col("well_id").cast("long")
+    late, revised = F.to_date(F.lit("2000-03-01")), F.to_date(F.lit("2000-09-01"))
+    other = F.when((number % 7 == 0) & (F.col("production_month") == revised), F.col("oil_prod_m3") + 1).otherwise(F.col("oil_prod_m3"))
+    kept = fact.filter(F.col("production_month") != late).withColumn("oil_prod_m3", other.cast(fact.schema["oil_prod_m3"].dataType))
+    first = fact.groupBy("well_id").agg(F.min("production_month").alias("m"))
+    withdrawn = first.filter(number % 11 == 0).select("well_id", F.add_months("m", -2).alias("production_month"))
+    stray = first.agg(F.concat(F.lit("stray-"), F.min("well_id")).alias("well_id"), F.min("m").alias("production_month"))
+    old = p.stage(kept.unionByName(withdrawn.unionByName(stray), allowMissingColumns=True), "older")
+    elsewhere = wells.withColumn("field", F.when(number % 5 == 0, F.lit("elsewhere")).otherwise(F.col("field")))
+    stored = p.stage(FT.well_features(old, elsewhere, CUTOFFS), "features")
+    change = IN.refreshed_features(stored, fact, wells, IN.changed_months(old, fact), IN.changed_wells(elsewhere, wells), CUTOFFS)
+    return IN.with_change(stored, change)
+
+
 @query("f11_training_dataset")
 def _(p):
     return p.dataset.select("well_id", "as_of_date", "horizon", "target_month", "oil_prod_m3_target", "naive_forecast_m3", "oil_prod_m3_lag_1m", "basin")

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wellpanel.operators import features as FT
+from wellpanel.operators import incremental as IN
 from wellpanel.operators import quality as Q
 from wellpanel.operators import star as ST
 from wellpanel.operators import typed as TY
-from wellpanel.operators.cutoffs import Cutoffs
+from wellpanel.operators.cutoffs import Cutoffs, cutoff_array
 from wellpanel.schema import PRODUCTION_SCHEMA
 from wellpanel.session import durable, job_scratch
 from wellpanel.sources import published as PB
@@ -82,15 +84,49 @@ def build_star(spark: SparkSession, lake: Lake, version: int, run: str, *, start
     return reduce(DataFrame.unionByName, found)
 
 
+def _stale_features(spark: SparkSession, lake: Lake, fact: PB.Snapshot, version: int, stored: PB.Snapshot, cutoffs: Cutoffs) -> IN.FeatureChange | None:
+    """What the stored cutoffs that are not asked for owe to changes of the fact and the wells since they were made.
+
+    Only the months that were rewritten since are compared.  Where that state is not kept any more, those cutoffs are
+    computed anew.
+    """
+    rows = PB.read(spark, stored)
+    if rows is None:
+        return None
+    facts, wells = PB.read(spark, fact), TB.read_version(spark, lake.path("gold", "dim_well"), version)
+    others = rows.filter(~F.array_contains(cutoff_array(facts, cutoffs), F.col("as_of_date")))
+    then, _, wells_then = (stored.made_from or "").partition("/")
+    before = PB.at_version(spark, fact.path, int(then)) if then else None
+    if before is None:
+        fresh = durable(FT.well_features(facts, wells, others.select("as_of_date")))
+        return IN.FeatureChange(fresh, others.select(*IN.KEYS).join(fresh, IN.KEYS, "left_anti"))
+    months = PB.rewritten(before, fact)
+    old, new = (PB.read(spark, snapshot, months) for snapshot in (before, fact))
+    changes = IN.changed_months(facts.limit(0) if old is None else old, facts.limit(0) if new is None else new)
+    moved = IN.changed_wells(TB.read_version(spark, lake.path("gold", "dim_well"), int(wells_then)), wells)
+    return IN.refreshed_features(others, facts, wells, changes, moved)
+
+
 def build_features(spark: SparkSession, lake: Lake, version: int, run: str, cutoffs: Cutoffs) -> DataFrame:
-    """Compute the cutoffs, check and audit them, then materialise them; other cutoffs keep their rows."""
-    fact = PB.read_current(spark, lake.path("gold", "fact_production"))
-    wells = TB.read_version(spark, lake.path("gold", "dim_well"), version)
+    """Compute the cutoffs, bring the other stored ones up to date, check and audit both, then publish them as one state.
+
+    The state names the fact and the wells it was made from, so a run that failed in between is made up for by the next.
+    """
+    state = PB.current(spark, lake.path("gold", "fact_production"))
+    stored = PB.current(spark, lake.path("features", "well_features"), "as_of_date")
+    fact, wells = PB.read(spark, state), TB.read_version(spark, lake.path("gold", "dim_well"), version)
     rows = durable(FT.well_features(fact, wells, cutoffs))
-    leaked = FT.audit_features(rows, fact).select("well_id", "as_of_date")
-    audited = [*Q.feature_checks(), Q.absent_from("point_in_time", ["well_id", "as_of_date"], leaked)]
-    found = _gate(lake, run, "well_features", rows, audited, ["well_id", "as_of_date"])
-    PB.upsert_periods(spark, rows, lake.path("features", "well_features"), ["feature_key"], "as_of_date")
+    leaked = FT.audit_features(rows, fact).select(*IN.KEYS)
+    change = _stale_features(spark, lake, state, version, stored, cutoffs)
+    if change is not None:
+        touched = fact.join(change.rows.select("well_id").distinct(), "well_id", "left_semi")
+        # a cutoff's other wells are not missing, they did not change
+        leaked = leaked.unionByName(FT.audit_features(change.rows, touched).filter("not missing_in_store").select(*IN.KEYS))
+        rows = rows.unionByName(change.rows)
+    audited = [*Q.feature_checks(), Q.absent_from("point_in_time", IN.KEYS, leaked)]
+    found = _gate(lake, run, "well_features", rows, audited, IN.KEYS)
+    staged = PB.stage(spark, rows, stored.path, "as_of_date", ["well_id"], change and change.removed)
+    PB.publish(spark, replace(staged, made_from=f"{state.version}/{version}"))
     return found
 
 

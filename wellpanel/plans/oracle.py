@@ -965,6 +965,7 @@ _LISTED = (
 )
 ORACLES["a20_dataset_footprint"] = (_LISTED.format(extra=""), "i:rows,wells s:cutoffs,horizons")
 ORACLES["s15_json_report"] = (_LISTED.format(extra="count(DISTINCT as_of_date) AS n_cutoffs, "), "i:rows,wells,n_cutoffs s:cutoffs,horizons")
+ORACLES["f10_incremental_features"] = ORACLES["f10_well_features"]
 ORACLES["f10_single_cutoff"] = ("SELECT * FROM features", _FEATURES)
 
 

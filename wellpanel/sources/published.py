@@ -5,7 +5,7 @@ A table is a set of partition folders, and a manifest that says which of them co
 ``<path>/batches/batch=<version>/<period>=<value>/part-*.parquet``
     rows of one period as one batch wrote them; never changed afterwards
 ``<path>/manifests/version=<version>/part-*.parquet``
-    one row a period: its value and the batch that holds it
+    one row a period: its value and the batch that holds it; and what the table was made from
 
 A batch first writes the periods it touches into a folder of its own, which no reader sees.  The candidate can be read
 and checked as the table it would become.  Publishing writes one small manifest file, which a rename makes visible as a
@@ -37,6 +37,7 @@ class Snapshot:
     period: str
     version: int
     batches: tuple[tuple[str, int], ...]  # (period value, batch), in order
+    made_from: str | None = None  # the state of its inputs, in words of the job that publishes
 
     def folders(self, wanted: set[str] | None = None) -> list[str]:
         return [f"{self.path}/batches/batch={b:06d}/{self.period}={v}" for v, b in self.batches if wanted is None or v in wanted]
@@ -46,15 +47,28 @@ def _manifests(spark: SparkSession, path: str) -> DataFrame | None:
     return read_table(spark, f"{path}/manifests")
 
 
-def current(spark: SparkSession, path: str, period: str = "production_month") -> Snapshot:
-    """The newest published state."""
+def at_version(spark: SparkSession, path: str, version: int, period: str = "production_month") -> Snapshot | None:
+    """A published state, unless it is not kept any more."""
     manifests = _manifests(spark, path)
     if manifests is None:
-        return Snapshot(path, period, 0, ())
-    newest = manifests.agg(F.max("version")).first()[0]
+        return None
     # one row a period of the calendar
-    rows = manifests.filter(F.col("version") == newest).filter("value is not null").select("value", "batch").collect()
-    return Snapshot(path, period, int(newest), tuple(sorted((r.value, r.batch) for r in rows)))
+    rows = manifests.filter(F.col("version") == version).collect()
+    if not rows:
+        return None
+    return Snapshot(path, period, version, tuple(sorted((r.value, r.batch) for r in rows if r.value is not None)), getattr(rows[0], "made_from", None))
+
+
+def current(spark: SparkSession, path: str, period: str = "production_month") -> Snapshot:
+    """The newest published state."""
+    manifests = _manifests(spark, path)
+    newest = None if manifests is None else manifests.agg(F.max("version")).first()[0]
+    return Snapshot(path, period, 0, ()) if newest is None else at_version(spark, path, int(newest), period)
+
+
+def rewritten(before: Snapshot, after: Snapshot) -> set[str]:
+    """Periods that any batch between two states wrote or dropped; the files of all others are the same."""
+    return {value for value, _ in set(before.batches) ^ set(after.batches)}
 
 
 def read(spark: SparkSession, snapshot: Snapshot, wanted: set[str] | None = None) -> DataFrame | None:
@@ -70,33 +84,38 @@ def read_current(spark: SparkSession, path: str, period: str = "production_month
     return read(spark, current(spark, path, period))
 
 
-def stage(spark: SparkSession, batch: DataFrame, path: str, period: str = "production_month", keys: list[str] | None = None) -> Snapshot:
+def stage(spark: SparkSession, batch: DataFrame, path: str, period: str = "production_month", keys: list[str] | None = None,
+          removed: DataFrame | None = None) -> Snapshot:
     """Write what ``batch`` changes beside the table and return the table it would make; nothing is published.
 
     Without ``keys`` every period in the batch is replaced whole; with them, rows of the same key are replaced within
-    the periods the batch touches (the period must be a function of the key) and the other rows stay.  Periods that
-    are not in the batch keep their files and are not opened.
+    the periods the batch touches (the period must be a function of the key) and the other rows stay, but for
+    those whose key and period ``removed`` lists.  Periods that neither names keep their files and are not opened.
     """
     before = current(spark, path, period)
     version = before.version + 1
     folder = f"{path}/batches/batch={version:06d}"
-    rows = batch
+    rows, touched = batch, set()
     if keys is not None:
         batch = durable(batch)
-        touched = {r[0] or NO_PERIOD for r in batch.select(F.col(period).cast("string")).distinct().collect()}  # calendar periods
+        periods = batch.select(period) if removed is None else batch.select(period).union(removed.select(period))
+        touched = {r[0] or NO_PERIOD for r in periods.select(F.col(period).cast("string")).distinct().collect()}  # calendar periods
         stored = read(spark, before, touched)
+        if stored is not None and removed is not None:
+            stored = stored.join(removed.select(*keys, period), [*keys, period], "left_anti")
         rows = batch if stored is None else merge_by_key(stored, batch, [*keys, period])
     # a leftover of an attempt that was never published is overwritten; the rebalance splits a period that is most of it
     rows.hint("rebalance", period).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(period).parquet(folder)
     written = read_table(spark, folder)
     values = set() if written is None else {r[0] or NO_PERIOD for r in written.select(F.col(period).cast("string")).distinct().collect()}
-    kept = [(v, b) for v, b in before.batches if v not in values]
+    kept = [(v, b) for v, b in before.batches if v not in values | touched]
     return Snapshot(path, period, version, tuple(sorted([*kept, *[(v, version) for v in values]])))
 
 
 def publish(spark: SparkSession, snapshot: Snapshot) -> None:
     """Make a staged snapshot the table, by one file."""
-    rows = spark.createDataFrame(list(snapshot.batches) or [(None, None)], "value string, batch long")
+    named = [(value, batch, snapshot.made_from) for value, batch in snapshot.batches or ((None, None),)]
+    rows = spark.createDataFrame(named, "value string, batch long, made_from string")
     rows.coalesce(1).write.mode("errorifexists").parquet(f"{snapshot.path}/manifests/version={snapshot.version:06d}")
 
 
