@@ -4,7 +4,9 @@ import base64
 import hashlib
 import random
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -156,6 +158,81 @@ def test_impure_templates_are_rejected(spark):
     assert {r.template for r in found if r.page_id >= 1000} == {"/*/*"}
 
 
+def plain_templates(pages):
+    """Template of every (segments, bad) of one host, by a recursive tree."""
+    out = [None] * len(pages)
+
+    def alike(x, y):
+        (m, b), (n, c) = x, y
+        return (b * n - c * m) ** 2 * (m + n) <= UT.DIFFERS * m * n * (b + c) * (m + n - b - c)
+
+    def grow(rows, level, template):
+        here = [i for i in rows if len(pages[i][0]) > level]
+        for i in set(rows) - set(here):
+            out[i] = template
+        children, pooled = {}, [0, 0]
+        for i in here:
+            marked, bad = children.setdefault(pages[i][0][level], [[], [0, 0]])[1], pages[i][1]
+            children[pages[i][0][level]][0].append(i)
+            for t in (marked, pooled):
+                t[0] += bad is not None
+                t[1] += bad or 0
+        (pm, pb), steps = pooled, {}
+        for literal, (found, (m, b)) in children.items():
+            if len(found) >= UT.SUPPORT and (b * pm - m * pb) ** 2 > UT.DIFFERS * m * pb * (pm - pb):
+                steps.setdefault(b * UT.STEPS // m, []).append(literal)
+        branches = []
+        for _, literals in sorted(steps.items()):
+            m, b = (sum(children[x][1][k] for x in literals) for k in (0, 1))
+            if branches and alike(branches[-1][1], (m, b)):
+                branches[-1][0].extend(literals)
+                branches[-1][1] = (branches[-1][1][0] + m, branches[-1][1][1] + b)
+            else:
+                branches.append([list(literals), (m, b)])
+        left = set(children) - {x for literals, _ in branches for x in literals}
+        for literals in [*[x for x, _ in branches], left]:
+            name = "*" if literals is left else literals[0] if len(literals) == 1 else "{" + min(literals) + "|*}"
+            if literals:
+                grow([i for x in literals for i in children[x][0]], level + 1, f"{template}/{name}")
+
+    grow(range(len(pages)), 0, "")
+    return out
+
+
+def test_alike_siblings_are_one_branch(spark):
+    """A random tree of hosts against a plain one; sections of like purity share a branch and what lies below it."""
+    rng = random.Random(11)
+    rows, marks = [], {}
+    for host in ("a.net", "b.net", "c.net"):
+        bad_share = {s: rng.choice([0.02, 0.05, 0.5, 0.9, 0.97]) for s in "spam junk casino blog news wiki".split()}
+        below = {s: rng.choice([-0.5, 0.0, 0.5]) for s in ("old", "new", "top", "low")}
+        for _ in range(1500):
+            i, s, t = len(rows), rng.choice(list(bad_share)), rng.choice(list(below))
+            s = s if rng.random() < 0.97 else f"rare{'xyz'[rng.randint(0, 2)] * rng.randint(1, 60)}"
+            if rng.random() < 0.8:
+                marks[i] = int(rng.random() >= min(1, max(0, bad_share.get(s, 0.3) + below[t])))
+            rows.append((i, host, [s, t, "{n}"][: rng.choice([1, 3, 3, 3, 3])]))
+    urls = [(i, f"http://{h}/" + "/".join(str(i) if s == "{n}" else s for s in segs) + ("" if len(segs) > 2 else f"?{i}")) for i, h, segs in rows]
+    # only paths that end with the number carry a label
+    marked = {i: 1 - q for i, q in marks.items() if len(rows[i][2]) > 2}
+    want = {}
+    for host in ("a.net", "b.net", "c.net"):
+        own = [(i, segs) for i, h, segs in rows if h == host]
+        want |= dict(zip([i for i, _ in own], plain_templates([(segs, marked.get(i)) for i, segs in own])))
+    labels = spark.createDataFrame(sorted(marks.items()), "doc_id long, quality int")
+    judged = UT.judge(spark.createDataFrame(urls, "page_id long, url string").repartition(5), labels).collect()
+    assert {r.page_id: r.template for r in judged} == want
+    db = duckdb.connect()
+    db.register("pages", pd.DataFrame(urls, columns=["page_id", "url"]))
+    db.register("labels", pd.DataFrame(sorted(marks.items()), columns=["doc_id", "quality"]))
+    by_sql = db.sql(f"SELECT page_id, template, verdict FROM ({UT.SQL})").fetchall()
+    assert sorted(by_sql) == sorted((r.page_id, r.template, r.verdict) for r in judged)
+    assert {v for _, _, v in by_sql} == {"allow", "block"}
+    first, second = ({t.split("/")[k] for t in want.values() if t.count("/") >= k} for k in (1, 2))
+    assert any("|*}" in x for x in first) and any("|*}" in x for x in second)
+    assert any(x.isalpha() for x in first | second)
+
+
 def test_archives_round_trip(web, spark, tmp_path):
     by_payload = {}
     for i, _, html in pages():

@@ -3,11 +3,14 @@
 Only DataFrame functions.  A path's segments are read level by level.  Long hexadecimal runs and digit runs become
 ``{x}`` and ``{n}``.  At each node a child keeps its literal only if it has ``SUPPORT`` pages and its labelled
 share of bad pages differs from its parent's by a chi-square test; rare children and those that do not differ are
-merged into ``*``.  Levels are read until no page has a segment left that could keep its literal.  A template is rejected when its
+merged into ``*``.  The literals that are left are pooled in steps of 1/``STEPS`` of that share and read in its order: a
+step joins the branch before it unless the two shares differ by the same test, so siblings that are alike become one
+branch ``{least literal|*}`` and are read on as one.  Levels are read until no page has a segment left that could keep its literal.  A template is rejected when its
 share of bad pages, smoothed towards its host's and that towards the overall one, reaches ``REJECT``.
 
 Each level sums pages by (host, template, segment) before the shuffle and joins the few literals it keeps, so a
-host with a third of all pages costs partial sums, not a group.
+host with a third of all pages costs partial sums, not a group; siblings are compared in arrays of at most
+``STEPS`` + 1 entries however many literals a node has.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ SUPPORT = 20
 DEPTH = 3
 #: Chi-square quantile (one degree of freedom, 5 %) beyond which a branch differs from its parent.
 DIFFERS = 3.84
+#: Siblings whose shares of bad pages fall into one of these steps are one branch; between steps the test decides.
+STEPS = 256
 SMOOTHING, REJECT = 10, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,6 +84,38 @@ def templates(pages: DataFrame) -> DataFrame:
     return rows
 
 
+def _alike(m: Column, b: Column, other_m: Column, other_b: Column) -> Column:
+    """Whether two shares of bad pages, b of m each, agree by a chi-square test."""
+    pages, bad, gap = (m + other_m).cast("double"), (b + other_b).cast("double"), (b * other_m - other_b * m).cast("double")
+    return gap * gap * pages <= F.lit(DIFFERS) * m.cast("double") * other_m.cast("double") * (bad * (pages - bad))
+
+
+def merge_siblings(kept: DataFrame) -> DataFrame:
+    """``(host, template, segment, literal)`` of stored ``(host, template, segment, m, b)``, siblings that are alike under one name."""
+    node = ["host", "template"]
+    steps = kept.groupBy(*node, "step").agg(F.sum("m").alias("m"), F.sum("b").alias("b"), F.min("segment").alias("least"), F.count("*").alias("n"))
+    ordered = steps.groupBy(*node).agg(F.sort_array(F.collect_list(F.struct("step", "m", "b", "least", "n"))).alias("steps"))
+    none = F.expr("cast(array() as array<struct<steps: array<bigint>, m: bigint, b: bigint, least: string, n: bigint>>)")
+
+    def branch(steps: Column, m: Column, b: Column, least: Column, n: Column) -> Column:
+        return F.array(F.struct(steps.alias("steps"), m.alias("m"), b.alias("b"), least.alias("least"), n.alias("n")))
+
+    def grown(found: Column, s: Column) -> Column:
+        last = F.get(found, F.size(found) - 1)
+        joined = branch(
+            F.concat(last["steps"], F.array(s["step"])), last["m"] + s["m"], last["b"] + s["b"], F.least(last["least"], s["least"]), last["n"] + s["n"]
+        )
+        own = branch(F.array(s["step"]), s["m"], s["b"], s["least"], s["n"])
+        return F.when((F.size(found) > 0) & _alike(last["m"], last["b"], s["m"], s["b"]), F.concat(F.slice(found, 1, F.size(found) - 1), joined)).otherwise(F.concat(found, own))
+
+    named = F.when(F.col("branch.n") > 1, F.concat(F.lit("{"), F.col("branch.least"), F.lit("|*}"))).otherwise(F.col("branch.least"))
+    branches = (
+        ordered.select(*node, F.explode(F.aggregate("steps", none, grown)).alias("branch"))
+        .select(*node, named.alias("literal"), F.explode("branch.steps").alias("step"))
+    )
+    return kept.join(branches, [*node, "step"]).select(*node, "segment", "literal")
+
+
 def _levels(columns: list[str], rows: DataFrame, first: int) -> DataFrame:
     """``rows`` with the branches of DEPTH levels added to their templates."""
     counts = [F.count("*").alias("n"), F.count("bad").alias("m"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")]
@@ -89,11 +126,12 @@ def _levels(columns: list[str], rows: DataFrame, first: int) -> DataFrame:
         parents = here.filter("segment is not null").groupBy("host", "template").agg(*counts).toDF("host", "template", "pn", "pm", "pb")
         gap = (F.col("b") * F.col("pm") - F.col("m") * F.col("pb")).cast("double")
         noise = (F.col("m") * F.col("pb")).cast("double") * (F.col("pm") - F.col("pb"))
-        kept = staged(
+        apart = staged(
             children.filter(F.col("n") >= SUPPORT).join(parents, ["host", "template"]).filter(gap * gap > F.lit(DIFFERS) * noise)
-            .select("host", "template", "segment", F.col("segment").alias("literal")),
-            "literals",
+            .select("host", "template", "segment", "m", "b", F.expr(f"b * {STEPS} div m").alias("step")),
+            "apart",
         )
+        kept = staged(merge_siblings(apart), "literals")
         branch = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.coalesce("literal", F.lit("*"))))
         rows = (
             here.join(kept, ["host", "template", "segment"], "left")
@@ -154,12 +192,25 @@ def _sql() -> str:
 h{k} AS (SELECT *, segs[{k + 1}] AS seg FROM t{k}),
 c{k} AS (SELECT host, template, seg, count(*) n, count(bad) m, coalesce(sum(bad), 0) b FROM h{k} WHERE seg IS NOT NULL GROUP BY ALL),
 p{k} AS (SELECT host, template, sum(m) pm, sum(b) pb FROM c{k} GROUP BY ALL),
-k{k} AS (SELECT host, template, seg FROM c{k} JOIN p{k} USING (host, template)
+q{k} AS (SELECT host, template, seg, m::BIGINT AS m, b::BIGINT AS b, (b::BIGINT * {STEPS}) // m::BIGINT AS step FROM c{k} JOIN p{k} USING (host, template)
   WHERE n >= {SUPPORT} AND (b * pm - m * pb)::DOUBLE * (b * pm - m * pb)::DOUBLE > {DIFFERS}::DOUBLE * ((m * pb)::DOUBLE * (pm - pb)::DOUBLE)),
-t{k + 1} AS (SELECT page_id, host, path, segs, bad, template || CASE WHEN seg IS NULL THEN '' WHEN EXISTS (
-    SELECT 1 FROM k{k} WHERE k{k}.host = h{k}.host AND k{k}.template = h{k}.template AND k{k}.seg = h{k}.seg) THEN '/' || seg ELSE '/*' END AS template FROM h{k}),"""
+b{k} AS (SELECT host, template, step, sum(m)::BIGINT AS m, sum(b)::BIGINT AS b, min(seg) AS least_seg, count(*) AS n,
+    row_number() OVER (PARTITION BY host, template ORDER BY step) AS place FROM q{k} GROUP BY host, template, step),
+w{k} AS (SELECT host, template, step, place, place AS branch, m, b FROM b{k} WHERE place = 1
+  UNION ALL SELECT host, template, step, place, CASE WHEN alike THEN branch ELSE place END,
+    CASE WHEN alike THEN wm + m ELSE m END, CASE WHEN alike THEN wb + b ELSE b END
+  FROM (SELECT x.*, w.branch, w.m AS wm, w.b AS wb,
+      (w.b * x.m - x.b * w.m)::DOUBLE * (w.b * x.m - x.b * w.m)::DOUBLE * (w.m + x.m)::DOUBLE
+      <= {DIFFERS}::DOUBLE * w.m::DOUBLE * x.m::DOUBLE * ((w.b + x.b)::DOUBLE * ((w.m + x.m)::DOUBLE - (w.b + x.b)::DOUBLE)) AS alike
+    FROM w{k} w JOIN b{k} x ON x.host = w.host AND x.template = w.template AND x.place = w.place + 1)),
+g{k} AS (SELECT host, template, branch, min(least_seg) AS least_seg, sum(n) AS members
+  FROM w{k} JOIN b{k} USING (host, template, step) GROUP BY ALL),
+k{k} AS (SELECT host, template, seg, CASE WHEN members > 1 THEN '{{' || least_seg || '|*}}' ELSE seg END AS literal
+  FROM q{k} JOIN w{k} USING (host, template, step) JOIN g{k} USING (host, template, branch)),
+t{k + 1} AS (SELECT page_id, host, path, segs, bad, template || CASE WHEN seg IS NULL THEN '' ELSE '/' || coalesce(literal, '*') END AS template
+  FROM h{k} LEFT JOIN k{k} USING (host, template, seg)),"""
     return rf"""
-WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
   regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
 marks AS (SELECT doc_id, max((quality = 0)::INT) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
