@@ -13,6 +13,7 @@ from wellpanel.functions import columns as C
 from wellpanel.operators import backtest as B
 from wellpanel.operators import champion as CH
 from wellpanel.operators import decline as D
+from wellpanel.operators import ensemble as EN
 from wellpanel.operators import features as FT
 from wellpanel.operators import incremental as IN
 from wellpanel.operators import metrics as M
@@ -1058,6 +1059,33 @@ def _(p):
     return scored.groupBy("as_of_date", "horizon").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(finite).alias("n_scored"))
 
 
+def _agreement(scored: DataFrame, fitted: MD.Fitted, inputs: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows a horizon, and those whose prediction joins with the stored trees repeat."""
+    again = EN.score_by_nodes(EN.model_vectors(fitted, inputs, keys), EN.node_table(fitted), keys, MD.TREES, MD.TREE_DEPTH)
+    near = F.abs(F.col("prediction_m3") - F.col("repeated")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs("repeated"))
+    beside = scored.join(again.withColumnRenamed("prediction_m3", "repeated"), keys, "left")
+    return beside.groupBy("horizon").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(near).alias("n_agreeing"))
+
+
+@query("f13_scored_by_nodes")
+def _(p):
+    """Predictions of the tested rows against a walk through the stored trees."""
+    fitted, rows = _fitted(p)
+    tested = rows.filter("split = 'test'")
+    keys = ["well_id", "as_of_date", "horizon"]
+    return _agreement(MD.predict(fitted, tested).select(*keys, "prediction_m3"), fitted, tested, keys)
+
+
+@query("f14_forecast_by_nodes")
+def _(p):
+    """Every batch forecast against a walk through the stored trees."""
+    fitted, keys = _fitted(p)[0], ["well_id", "as_of_date", "horizon"]
+    # a forecast is dated by its last observed month, its features a month later
+    made = p.stage(_forecast(p).filter("status = 'ok'").select("well_id", F.add_months("as_of_date", 1).alias("as_of_date"), "horizon", F.col("oil_prod_m3").alias("prediction_m3")), "forecast")
+    inputs = SV.expand_horizons(p.feature_table.join(made.select("well_id", "as_of_date").distinct(), ["well_id", "as_of_date"], "left_semi"), range(1, 7))
+    return _agreement(made, fitted, inputs, keys)
+
+
 def _forecast(p: Panel) -> DataFrame:
     asked = p.requests.select("well_id", F.add_months("date_end", 0).alias("as_of_date"))
     return MD.forecast(_fitted(p)[0], p.feature_table, asked, 6)

@@ -871,6 +871,14 @@ ORACLES: dict[str, tuple[str, str]] = {
         "UNION ALL SELECT well_id, as_of_date, NULL, NULL, NULL, 'missing' FROM known WHERE NOT found",
         "s:well_id t:as_of_date i:horizon t:month s:extrapolated,status",
     ),
+    "f13_scored_by_nodes": (
+        "SELECT horizon, count(*) AS n_rows, count(*) AS n_agreeing FROM dataset WHERE as_of_date = DATE '2001-08-01' GROUP BY 1", "i:horizon,n_rows,n_agreeing",
+    ),
+    "f14_forecast_by_nodes": (
+        "WITH asked AS (SELECT DISTINCT well_id, date_end + INTERVAL 1 MONTH AS as_of_date FROM requests) "
+        "SELECT h AS horizon, count(*) AS n_rows, count(*) AS n_agreeing FROM asked JOIN features USING (well_id, as_of_date), (SELECT unnest(range(1, 7)) AS h) GROUP BY 1",
+        "i:horizon,n_rows,n_agreeing",
+    ),
     "f15_persistence": (
         "SELECT h.well_id, h.as_of_date, s.y AS naive_forecast_m3 FROM history h LEFT JOIN series s ON s.well_id = h.well_id AND s.production_month = h.last_observed_month",
         "s:well_id t:as_of_date d:naive_forecast_m3",
