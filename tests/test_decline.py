@@ -128,3 +128,38 @@ def test_grid_and_certificate(spark):
     assert {r.certified for r in D.certified(fits, D.grid_fits(series, cutoffs)).collect()} == {True}
     spoilt = fits.withColumn("sse", F.col("sse") * 2)
     assert {r.certified for r in D.certified(spoilt, D.grid_fits(series, cutoffs)).collect()} == {False}
+
+
+def test_grid_copies_nothing_per_cell_and_leaves_out_shapes_that_vanish(spark):
+    """The rows that are shuffled are wells; a cell that is 0 over all producing months divides by nothing."""
+    late = spark.createDataFrame(
+        [("late", m, 0.0 if k < 90 else 100.0 - k / 2) for k, m in enumerate(months("2010-01", "2018-12"))], SCHEMA
+    )
+    grid = D.grid_fits(late, ["2018-01-01", "2019-01-01"])
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "cell" not in plan
+    found = {str(r.as_of_date): r for r in grid.collect()}
+    q = np.array([100.0 - k / 2 for k in range(90, 108)])
+    for cut, n in (("2018-01-01", 6), ("2019-01-01", 18)):
+        t, used = np.arange(90, 90 + n), q[:n]
+        errors = []
+        for b, log_di in D._CELLS:
+            f = np.exp(-np.log1p(b * np.exp(log_di) * t) / b)
+            if f @ f > 0:
+                errors.append((used @ used) - (f @ used) ** 2 / (f @ f))
+        assert found[cut].positive_months == n and found[cut].sse == pytest.approx(max(min(errors), 0), rel=1e-6, abs=1e-6)
+        assert found[cut].squares == pytest.approx(used @ used)
+
+
+def test_a_finished_start_leaves_the_others_running(spark):
+    """Solutions of wells fitted together are those of wells fitted alone, however long their neighbours take."""
+    rng = np.random.default_rng(3)
+    t = np.tile(np.arange(30.0), (40, 1))
+    q = rng.uniform(50, 900, (40, 1)) / (1 + rng.uniform(0.01, 0.3, (40, 1)) * t) * rng.lognormal(0, 0.5, (40, 30))
+    lengths = np.tile([12, 20, 30], (40, 1))
+    with np.errstate(all="ignore"):
+        together = D.fit_prefixes(t, q, lengths)
+        alone = np.concatenate([D.fit_prefixes(t[k : k + 1], q[k : k + 1], lengths[k : k + 1]) for k in range(40)])
+        grid = D.grid_prefixes(t, q, lengths)
+    assert together[..., 3] == pytest.approx(alone[..., 3], rel=1e-9)
+    assert (together[..., 3] <= grid[..., 3] + 1e-9 * grid[..., 4]).all()

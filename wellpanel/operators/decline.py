@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellpanel.functions.columns import month_index, months_between_int
@@ -28,13 +28,32 @@ _LOW = np.array([np.log(QI_MIN), np.log(DI_RANGE[0]), B_RANGE[0]])
 _HIGH = np.array([np.inf, np.log(DI_RANGE[1]), B_RANGE[1]])
 _STARTS = 3
 _STEPS = 40
-_IDLE = 5
-_WELLS_AT_ONCE = 64
+_IDLE = 8
+_WELLS_AT_ONCE = 256
 
 
-def _curve(log_di: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Decline shape per unit of qi, for (wells, candidates) parameters and (wells, months) t."""
-    return np.exp(-np.log1p(b[..., None] * np.exp(log_di)[..., None] * t[:, None, :]) / b[..., None])
+def _grid_shapes(months: int) -> np.ndarray:
+    """Decline shape per unit of qi of every grid cell at whole months 0, 1, ...: one row a month of the calendar."""
+    t = np.arange(months, dtype=float)[:, None]
+    return np.exp(-np.log1p(_CELLS[:, 0] * np.exp(_CELLS[:, 1]) * t) / _CELLS[:, 0])
+
+
+def _grid_sums(t: np.ndarray, q: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of f * q and f * f per well, prefix and grid cell.
+
+    ``t`` counts whole months, so a cell's shape is looked up by month and the sums are products with one small table.
+    """
+    month, rows = t.astype(np.int64), np.arange(len(t))[:, None]
+    shapes = _grid_shapes(int(month.max(initial=0)) + 1)
+    squares = shapes * shapes
+    fq, ff = (np.zeros((*lengths.shape, len(_CELLS))) for _ in range(2))
+    for k in range(lengths.shape[1]):
+        used = np.arange(t.shape[1]) < lengths[:, k, None]
+        volume, seen = np.zeros((len(t), len(shapes))), np.zeros((len(t), len(shapes)))
+        np.add.at(volume, (rows, month), q * used)
+        np.add.at(seen, (rows, month), used)
+        fq[:, k], ff[:, k] = volume @ shapes, seen @ squares
+    return fq, ff
 
 
 def _starting_points(fq: np.ndarray, ff: np.ndarray, starts: int) -> np.ndarray:
@@ -45,55 +64,78 @@ def _starting_points(fq: np.ndarray, ff: np.ndarray, starts: int) -> np.ndarray:
     return np.stack([np.log(qi), _CELLS[best][..., 1], _CELLS[best][..., 0]], axis=-1)
 
 
+def _solved(normal: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """Solutions of symmetric 3 x 3 systems given as (a, b, c, d, e, f) of [[a, b, c], [b, d, e], [c, e, f]], by cofactors."""
+    a, b, c, d, e, f = normal
+    x, y, z = pull
+    aa, bb, cc = d * f - e * e, c * e - b * f, b * e - c * d
+    dd, ee, ff = a * f - c * c, b * c - a * e, a * d - b * b
+    whole = a * aa + b * bb + c * cc
+    return np.stack([aa * x + bb * y + cc * z, bb * x + dd * y + ee * z, cc * x + ee * y + ff * z], axis=-1) / whole[:, None]
+
+
 def _descend(at: np.ndarray, t: np.ndarray, q: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounded least squares in (log qi, log di, b) from every start: the best point and its squared error per well.
 
     Damped Gauss-Newton steps, all wells and starts at once; a step that does not help is taken back and damped more.
+    A start that has gained nothing for some steps is done and leaves the rest.
     """
-
-    def residual(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        y = np.exp(at[..., 0, None]) * _curve(at[..., 1], at[..., 2], t) * used[:, None, :]
-        return y, q[:, None, :] * used[:, None, :] - y
-
-    y, r = residual(at)
-    sse = (r * r).sum(axis=-1)
-    damping = np.full(sse.shape, 1e-2)
-    idle = 0
+    wells, starts = at.shape[:2]
+    owner = np.repeat(np.arange(wells), starts)
+    t, q, used = t[owner], q[owner], used[owner]
+    at = at.reshape(-1, 3)
+
+    def model(at: np.ndarray) -> tuple[np.ndarray, ...]:
+        b, s = at[:, 2, None], np.exp(at[:, 1, None]) * t
+        steep = np.log1p(b * s) / b
+        y = np.exp(at[:, 0, None] - steep) * used
+        r = q * used - y
+        return s, steep, y, r, np.einsum("nt,nt->n", r, r)
+
+    found, error, active = at.copy(), np.empty(len(at)), np.arange(len(at))
+    s, steep, y, r, sse = model(at)
+    damping, idle = np.full(sse.shape, 1e-2), np.zeros(sse.shape, np.int64)
     for _ in range(_STEPS):
-        b, s = at[..., 2, None], np.exp(at[..., 1, None]) * t[:, None, :]
-        grow = 1.0 + b * s
-        slopes = np.stack([y, -y * s / grow, y * (np.log1p(b * s) / b - s / grow) / b], axis=-1)
-        normal = np.einsum("wcti,wctj->wcij", slopes, slopes)
-        pull = np.einsum("wcti,wct->wci", slopes, r)
+        b = at[:, 2, None]
+        fall = s / (1.0 + b * s)
+        slopes = (y, -y * fall, y * (steep - fall) / b)
+        pull = np.stack([np.einsum("nt,nt->n", g, r) for g in slopes], axis=-1)
         # a parameter pushed against its bound is held there while the others move
         free = ~(((at <= _LOW) & (pull < 0)) | ((at >= _HIGH) & (pull > 0)))
-        normal, pull = normal * (free[..., None] & free[..., None, :]), pull * free
-        scale = np.maximum(np.einsum("wcii->wci", normal), 1e-12)
-        damped = normal + np.eye(3) * (damping[..., None] * scale)[..., None, :]
-        tried = np.clip(at + np.linalg.solve(damped, pull[..., None])[..., 0], _LOW, _HIGH)
-        y_new, r_new = residual(tried)
-        sse_new = (r_new * r_new).sum(axis=-1)
+        pull = pull * free
+        entries = {(i, j): np.einsum("nt,nt->n", slopes[i], slopes[j]) * (free[:, i] & free[:, j]) for i in range(3) for j in range(i, 3)}
+        # scaled to a unit diagonal, so that the cofactors neither overflow nor vanish
+        scale = np.sqrt(np.maximum(np.stack([entries[i, i] for i in range(3)], axis=-1), 1e-12))
+        unit = [entries[i, j] / (scale[:, i] * scale[:, j]) + (damping if i == j else 0.0) for i, j in entries]
+        tried = np.clip(at + _solved(np.array(unit), (pull / scale).T) / scale, _LOW, _HIGH)
+        s_new, steep_new, y_new, r_new, sse_new = model(tried)
         better = sse_new < sse
-        gained = (better & (sse - sse_new > 1e-10 * sse)).any()
-        at = np.where(better[..., None], tried, at)
-        y, r = np.where(better[..., None], y_new, y), np.where(better[..., None], r_new, r)
-        sse = np.where(better, sse_new, sse)
+        idle = np.where(better & (sse - sse_new > 1e-10 * sse), 0, idle + 1)
+        pick = better[:, None]
+        at, s, steep = np.where(pick, tried, at), np.where(pick, s_new, s), np.where(pick, steep_new, steep)
+        y, r, sse = np.where(pick, y_new, y), np.where(pick, r_new, r), np.where(better, sse_new, sse)
         damping = np.clip(np.where(better, damping / 5, damping * 4), 1e-12, 1e12)
-        idle = 0 if gained else idle + 1
-        if idle >= _IDLE:
-            break
-    rows, best = np.arange(len(t)), sse.argmin(axis=1)
-    return at[rows, best], sse[rows, best]
+        going = idle < _IDLE
+        if not going.all():
+            found[active], error[active] = at, sse
+            if not going.any():
+                break
+            active, at, sse, damping, idle = active[going], at[going], sse[going], damping[going], idle[going]
+            t, q, used, s, steep, y, r = (v[going] for v in (t, q, used, s, steep, y, r))
+    else:
+        found[active], error[active] = at, sse
+    found, error = found.reshape(wells, starts, 3), error.reshape(wells, starts)
+    rows, best = np.arange(wells), error.argmin(axis=1)
+    return found[rows, best], error[rows, best]
 
 
 def fit_prefixes(t: np.ndarray, q: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """(qi, di, b, squared error) for every well and every prefix of its series; rows of ``lengths`` ascend.
 
-    Grid sums of all prefixes are running sums of one pass over the months.  Each prefix then descends from the best
-    cells and from the solution of the prefix before it.  A length of 0 asks for nothing and gives NaN.
+    Each prefix descends from the best grid cells and from the solution of the prefix before it.  A length of 0 asks
+    for nothing and gives NaN.
     """
-    f = _curve(np.broadcast_to(_CELLS[:, 1], (len(t), len(_CELLS))), np.broadcast_to(_CELLS[:, 0], (len(t), len(_CELLS))), t)
-    fq, ff = np.cumsum(f * q[:, None, :], axis=2), np.cumsum(f * f, axis=2)
+    fq, ff = _grid_sums(t, q, lengths)
     out = np.full((*lengths.shape, 4), np.nan)
     before = None
     for k in range(lengths.shape[1]):
@@ -101,9 +143,7 @@ def fit_prefixes(t: np.ndarray, q: np.ndarray, lengths: np.ndarray) -> np.ndarra
         if not len(rows):
             continue
         n = lengths[rows, k]
-        last = (n - 1)[:, None, None]
-        sums = [np.take_along_axis(s[rows], np.broadcast_to(last, (len(rows), s.shape[1], 1)), axis=2)[..., 0] for s in (fq, ff)]
-        starts = _starting_points(*sums, _STARTS if before is None else _STARTS - 1)
+        starts = _starting_points(fq[rows, k], ff[rows, k], _STARTS if before is None else _STARTS - 1)
         if before is None:
             before = np.full((len(t), 3), np.nan)
         else:
@@ -117,6 +157,21 @@ def fit_prefixes(t: np.ndarray, q: np.ndarray, lengths: np.ndarray) -> np.ndarra
     return out
 
 
+def grid_prefixes(t: np.ndarray, q: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(qi, di, b, squared error, sum of q * q) of the best grid cell, for every well and every prefix of its series.
+
+    Of equal cells the one with the smallest b, then di.  A cell whose shape vanishes over all months is no candidate.
+    """
+    fq, ff = _grid_sums(t, q, lengths)
+    squares = np.concatenate([np.zeros((len(q), 1)), np.cumsum(q * q, axis=1)], axis=1)
+    qq = np.take_along_axis(squares, lengths, axis=1)
+    errors = np.where(ff > 0, np.maximum(qq[..., None] - fq * fq / ff, 0.0), np.inf)
+    best = errors.argmin(axis=2)[..., None]
+    cells = _CELLS[best[..., 0]]
+    qi, sse = (np.take_along_axis(v, best, axis=2)[..., 0] for v in (fq / ff, errors))
+    return np.stack([qi, np.exp(cells[..., 1]), cells[..., 0], sse, qq], axis=-1)
+
+
 def _padded(series: pd.Series) -> np.ndarray:
     out = np.zeros((len(series), max(len(s) for s in series)))
     for row, values in zip(out, series, strict=True):
@@ -124,24 +179,29 @@ def _padded(series: pd.Series) -> np.ndarray:
     return out
 
 
-def _fit_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for start in range(0, len(pdf), _WELLS_AT_ONCE):
-            part = pdf.iloc[start : start + _WELLS_AT_ONCE].reset_index(drop=True)
-            # cutoffs are a calendar's months; a well that is not asked at one has length 0 there
-            days = sorted({a["as_of_date"] for asked in part["asked"] for a in asked})
-            place = {day: k for k, day in enumerate(days)}
-            lengths = np.zeros((len(part), len(days)), np.int64)
-            for row, asked in enumerate(part["asked"]):
-                for a in asked:
-                    lengths[row, place[a["as_of_date"]]] = a["positive_months"]
-            with np.errstate(all="ignore"):  # a step that overflows is simply not taken
-                fits = fit_prefixes(_padded(part["t"]), _padded(part["q"]), lengths)
-            row, k = np.nonzero(lengths)
-            out = part.loc[row, ["well_id", "t0_month"]].reset_index(drop=True)
-            out["as_of_date"], out["positive_months"] = [days[j] for j in k], lengths[row, k]
-            out[["qi", "di", "b", "sse"]] = fits[row, k]
-            yield out[["as_of_date", "well_id", "t0_month", "positive_months", "qi", "di", "b", "sse"]]
+def _batch_function(solve: Callable[..., np.ndarray], values: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows of :func:`prefix_inputs` to one row per well and asked cutoff, with the ``values`` that ``solve`` finds."""
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for start in range(0, len(pdf), _WELLS_AT_ONCE):
+                part = pdf.iloc[start : start + _WELLS_AT_ONCE].reset_index(drop=True)
+                # cutoffs are a calendar's months; a well that is not asked at one has length 0 there
+                days = sorted({a["as_of_date"] for asked in part["asked"] for a in asked})
+                place = {day: k for k, day in enumerate(days)}
+                lengths = np.zeros((len(part), len(days)), np.int64)
+                for row, asked in enumerate(part["asked"]):
+                    for a in asked:
+                        lengths[row, place[a["as_of_date"]]] = a["positive_months"]
+                with np.errstate(all="ignore"):  # a step that overflows is simply not taken
+                    found = solve(_padded(part["t"]), _padded(part["q"]), lengths)
+                row, k = np.nonzero(lengths)
+                out = part.loc[row, ["well_id", "t0_month"]].reset_index(drop=True)
+                out["as_of_date"], out["positive_months"] = [days[j] for j in k], lengths[row, k]
+                out[values] = found[row, k]
+                yield out[["as_of_date", "well_id", "t0_month", "positive_months", *values]]
+
+    return batches
 
 
 def _offset(month: Column) -> Column:
@@ -214,19 +274,22 @@ def _fit_tasks(df: DataFrame) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _solved_prefixes(series: DataFrame, cutoffs: Cutoffs, wells: DataFrame | None, solve: Callable[..., np.ndarray], values: list[str]) -> DataFrame:
+    # this costs CPU, not bytes: an explicit count keeps AQE from packing the
+    # small rows into a few tasks
+    spread = prefix_inputs(series, cutoffs, wells).repartition(_fit_tasks(series), "well_id")
+    return spread.mapInPandas(
+        _batch_function(solve, values),
+        "as_of_date date, well_id string, t0_month date, positive_months int, " + ", ".join(f"{v} double" for v in values),
+    )
+
+
 def fit_declines(series: DataFrame, cutoffs: Cutoffs, wells: DataFrame | None = None) -> DataFrame:
     """Fitted parameters per (cutoff, well); wells with too few producing months are absent.
 
     ``wells`` restricts the fit to its (as_of_date, well_id) pairs.  All cutoffs of a well are fitted together.
     """
-    # the fit costs CPU, not bytes: an explicit count keeps AQE from packing the
-    # small rows into a few tasks
-    spread = prefix_inputs(series, cutoffs, wells).repartition(_fit_tasks(series), "well_id")
-    fits = spread.mapInPandas(
-        _fit_batches,
-        "as_of_date date, well_id string, t0_month date, positive_months int, "
-        "qi double, di double, b double, sse double",
-    )
+    fits = _solved_prefixes(series, cutoffs, wells, fit_prefixes, ["qi", "di", "b", "sse"])
     usable = ~(F.isnan("qi") | F.isnan("di") | F.isnan("b") | F.col("qi").isin(float("inf")))
     return fits.filter(usable)
 
@@ -236,34 +299,13 @@ def _shape(b: Column, di: Column, t: Column) -> Column:
 
 
 def grid_fits(series: DataFrame, cutoffs: Cutoffs, wells: DataFrame | None = None) -> DataFrame:
-    """The best cell of the full (b, di) grid per (cutoff, well), in built-in functions: columns of
-    :func:`fit_declines` and ``squares``, the sum of q * q.
+    """The best cell of the full (b, di) grid per (cutoff, well): columns of :func:`fit_declines` and ``squares``, the
+    sum of q * q.
 
-    qi has a closed form in each cell, so three sums decide.  They are taken per well, cell and stretch between two
-    cutoffs, and stretches are added up to every later cutoff: one shuffle by well, whatever the number of cutoffs.
+    qi has a closed form in each cell, so sums over a well's months decide.  They are taken well by well over the rows
+    that the fit reads, so nothing is copied per cell and what is shuffled is one row per well.
     """
-    days = cutoff_array(series, cutoffs)
-    first = F.min("production_month").over(Window.partitionBy("well_id"))
-    cells = F.array(*[F.struct(F.lit(float(b)).alias("b"), F.lit(float(np.exp(d))).alias("di")) for b, d in _CELLS])
-    points = (
-        _observed(series).withColumn("t0_month", first).filter("y > 0")
-        .withColumn("slot", F.get(F.filter(days, lambda c: c > F.col("production_month")), 0))
-        .filter("slot is not null")
-        .select("well_id", "t0_month", "slot", _offset(F.col("production_month")).alias("t"), F.col("y").alias("q"), F.explode(cells).alias("cell"))
-        .select("well_id", "t0_month", "slot", "cell.b", "cell.di", "q", _shape(F.col("cell.b"), F.col("cell.di"), F.col("t")).alias("f"))
-    )
-    names = ("n", "qq", "fq", "ff")
-    stretches = points.groupBy("well_id", "t0_month", "b", "di", "slot").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("q") * F.col("q")).alias("qq"), F.sum(F.col("f") * F.col("q")).alias("fq"), F.sum(F.col("f") * F.col("f")).alias("ff"),
-    )
-    seen = stretches.select("*", F.explode(F.filter(days, lambda c: c >= F.col("slot"))).alias("as_of_date"))
-    sums = seen.groupBy("well_id", "t0_month", "b", "di", "as_of_date").agg(*[F.sum(c).alias(c) for c in names]).filter(F.col("n") >= MIN_POSITIVE_MONTHS)
-    error = F.greatest(F.col("qq") - F.col("fq") * F.col("fq") / F.col("ff"), F.lit(0.0))
-    best = F.min(F.struct(error.alias("sse"), "b", "di", (F.col("fq") / F.col("ff")).alias("qi"))).alias("best")
-    found = sums.groupBy("as_of_date", "well_id", "t0_month").agg(F.max("n").cast("int").alias("positive_months"), F.max("qq").alias("squares"), best)
-    if wells is not None:
-        found = found.join(wells.select("as_of_date", "well_id"), ["as_of_date", "well_id"], "left_semi")
-    return found.select("as_of_date", "well_id", "t0_month", "positive_months", "best.qi", "best.di", "best.b", "best.sse", "squares")
+    return _solved_prefixes(series, cutoffs, wells, grid_prefixes, ["qi", "di", "b", "sse", "squares"])
 
 
 def certified(fits: DataFrame, grid: DataFrame) -> DataFrame:
