@@ -202,3 +202,18 @@ def test_alert_stream_equals_the_batch_alert_after_each_delivery(spark, tmp_path
         arrived = log.filter(F.col("ts") <= F.lit(part[-1][0]))
         want = SM.sustained_alert(SM.handler_latency(arrived, 3600), "mean_latency", ["handler"], **ALERT)
         assert {tuple(r) for r in SM.current_alerts(spark, path, ["handler"]).collect()} == {tuple(r) for r in want.select("handler", "firing_at").collect()}
+
+
+def test_a_delivery_of_many_files_is_one_batch(spark, tmp_path, monkeypatch):
+    """r01: the table is rewritten once a delivery, however many files the delivery was written in."""
+    from pyspark.sql import functions as F
+
+    from wellpanel.plans import catalog
+
+    applied, apply = [], AR.apply_batch
+    monkeypatch.setattr(AR, "apply_batch", lambda *args: (applied.append(1), apply(*args)))
+    real = catalog.BD.table
+    monkeypatch.setattr(catalog.BD, "table", lambda spark, d, name: real(spark, d, name).repartition(5) if name == "lineitem" else real(spark, d, name))
+    rows = catalog.QUERIES["r01_arrivals"](spark, "/root/testdata/sf0.001")
+    assert len(applied) == 3
+    assert rows.select(F.count_distinct("well_id", "production_month") == F.count(F.lit(1))).first()[0]

@@ -1333,13 +1333,14 @@ def _streamed(p: Panel, metric: Callable[[DataFrame], DataFrame], name: str, *ke
 @query("r01_arrivals")
 def _(p):
     """Line items arrive in three deliveries that touch the same months."""
-    inbox = staging_path(p.spark, "inbox")
+    inbox, progress = staging_path(p.spark, "inbox"), staging_path(p.spark, "arrivals")
     lineitem = p.table("lineitem")
+    path = TB.layer_path(staging_path(p.spark, "lake"), "silver", "production")
     for turn in range(3):
         lineitem.filter(F.col("l_linenumber") % 3 == turn).write.mode("append").parquet(inbox)
-    deliveries = p.spark.readStream.schema(lineitem.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    path = TB.layer_path(staging_path(p.spark, "lake"), "silver", "production")
-    AR.run_arrivals(BD.raw_production(deliveries, p.table("supplier")), path, staging_path(p.spark, "arrivals"), _silver_checks)
+        # drained before the next one arrives: a delivery is one batch, however many files it was written in
+        deliveries = p.spark.readStream.schema(lineitem.schema).parquet(inbox)
+        AR.run_arrivals(BD.raw_production(deliveries, p.table("supplier")), path, progress, _silver_checks)
     return TB.read_table(p.spark, path).select(*PRODUCTION_SCHEMA.fieldNames())
 
 
