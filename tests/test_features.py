@@ -136,3 +136,21 @@ def test_audit_has_formulas_of_its_own(series, statics):
     seen = FT.audit_features(wrong, series).collect()
     assert seen and all("oil_prod_m3_roll_std_6m" in r.diverging for r in seen)
     assert "_window_aggregates" not in inspect.getsource(FT.recomputed_features)
+
+
+def test_tasks_follow_the_rows_of_the_panel(spark, monkeypatch):
+    """Twice the wells make twice the tasks, the same rows, and no further shuffle of what was built per well."""
+    from wellpanel.operators import cutoffs as CU
+    from wellpanel.operators.features import history_features, recomputed_features
+
+    panel = spark.range(40).selectExpr("concat('w', id) AS well_id", "explode(sequence(date'2020-01-01', date'2021-12-01', interval 1 month)) AS production_month", "cast(id + 1 AS decimal(18,6)) AS oil_prod_m3").localCheckpoint()
+    asked = ["2021-01-01", "2021-07-01", "2022-01-01"]
+    plain = {tuple(r) for r in history_features(panel, asked).collect()}
+    monkeypatch.setattr(CU, "PANEL_ROWS_A_TASK", 60)
+    for wells, tasks in ((20, 8), (40, 16)):
+        part = panel.filter(f"cast(substr(well_id, 2) AS int) < {wells}")
+        assert CU.spread_by_well(part).rdd.getNumPartitions() == tasks
+    for build in (history_features, recomputed_features):
+        plan = build(panel, asked)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+    assert {tuple(r) for r in history_features(panel, asked).collect()} == plain and len(plain) == 120
