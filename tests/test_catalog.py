@@ -56,3 +56,20 @@ def test_entry_survives_a_package_that_only_the_training_operators_need(monkeypa
     entry = importlib.import_module("__spark_entry__")
     assert len(entry.queries()) > 150 and not any(q.startswith("op") for q in entry.queries())
     monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+
+
+def test_a_build_audits_its_features_once(spark, monkeypatch):
+    """The check and its evidence read stored audit rows: no window or aggregation of the audit stands in their plans."""
+    from wellpanel.operators import quality as Q
+    from wellpanel.plans.catalog import QUERIES
+
+    plans, real = [], Q.absent_from
+
+    def seen(name, keys, wrong):
+        plans.append(wrong._jdf.queryExecution().optimizedPlan().toString())
+        return real(name, keys, wrong)
+
+    monkeypatch.setattr(Q, "absent_from", seen)
+    QUERIES["b01_quality_results"](spark, SF_DIR)
+    # the second is the query's own audit of a damaged copy
+    assert len(plans) == 2 and "Window" not in plans[0] and "Window" in plans[1]
