@@ -96,3 +96,15 @@ def test_expand_and_dataset_order(features, dataset):
     keys = [(r.as_of_date, r.well_id, r.horizon) for r in SV.dataset_order(dataset).collect()]
     assert keys == sorted(keys)
     assert dataset.filter(F.col("oil_prod_m3_target").isNull()).count() == 0
+
+
+def test_targets_are_never_broadcast(features, series, dataset):
+    """Their size before the expansion says nothing about the rows that every task would hold."""
+    wanted = {(r.well_id, r.as_of_date, r.horizon) for r in dataset.collect()}
+    joined = features.select("well_id", "as_of_date").join(SV.targets_by_cutoff(series, (1, 2, 3)), ["well_id", "as_of_date"])
+    counted = SV.training_dataset(features, series, (1, 2, 3)).groupBy("as_of_date").count()
+    for df in (joined, counted):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        top = next(line for line in plan.splitlines() if "Join" in line)
+        assert "SortMergeJoin" in top, top
+    assert {(r.well_id, r.as_of_date, r.horizon) for r in joined.collect()} == wanted
