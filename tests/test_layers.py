@@ -206,3 +206,14 @@ def test_range_rebuild_reads_only_its_months(spark, tmp_path):
     plan = rebuilt._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "anio" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert TY.typed_production(raw, "2014-03-01", "2014-06-01").count() == rebuilt.count()
+
+
+def test_a_scan_task_takes_a_small_share_of_a_file(spark, tmp_path):
+    """What a task scans is typed and sorted in its memory, so large files are cut finer than by Spark's default."""
+    path = str(tmp_path / "noise")
+    spark.range(5_000_000).select(F.rand(1).alias("x")).coalesce(1).write.option("parquet.block.size", 4 << 20).parquet(path)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")  # the number of cores must not cut the file
+    try:
+        assert spark.read.parquet(path).rdd.getNumPartitions() == 2
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
