@@ -325,6 +325,9 @@ def failing_rows(df: DataFrame, checks: list[Check], table: str, keys: list[str]
                 F.lit(check.severity).alias("severity"),
             ).select(*shape, *keys, "row_json")
         )
+    if not parts:
+        nothing = [F.lit(None).cast("string").alias(c) for c in ("check_name", "dimension", "severity", *keys, "row_json")]
+        return df.limit(0).select(F.lit(table).alias("table_name"), *nothing)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

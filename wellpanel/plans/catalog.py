@@ -29,7 +29,7 @@ from wellpanel.plans import bindings as BD
 from wellpanel.plans import monthly as MO
 from wellpanel.plans import retraining as RT
 from wellpanel.schema import FEATURE_CONTRACT, FLUID_LABELS, MEASURES, NUMERIC, PRODUCTION_SCHEMA, TEXT
-from wellpanel.session import staging_path
+from wellpanel.session import STORED, staging_path
 from wellpanel.sources import published as PB
 from wellpanel.sources import raw as RAW
 from wellpanel.sources import tables as TB
@@ -78,7 +78,7 @@ class Panel:
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         """Write a layer that several consumers read, as the layered build does."""
         path = staging_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.options(**STORED).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     @cached_property

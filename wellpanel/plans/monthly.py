@@ -38,11 +38,17 @@ class Lake:
 
 
 def _gate(lake: Lake, run: str, table: str, rows: DataFrame, checks: list[Q.Check], keys: list[str]) -> DataFrame:
-    """Check one table, keep results and evidence under the run's name, and stop the chain if a blocking check failed."""
+    """Check one table, keep results and evidence under the run's name, and stop the chain if a blocking check failed.
+
+    Evidence is looked for where a check found something: for keys that repeat, or lack a parent, it shuffles whole rows.
+    """
     path = f"{lake.path('silver', 'quality_results')}/run={run}/checked={table}"
     TB.replace_table(Q.run_checks(rows, checks, table), path)
-    TB.replace_table(Q.failing_rows(rows, checks, table, keys), f"{lake.path('silver', 'quality_failures')}/run={run}/checked={table}")
     results = rows.sparkSession.read.parquet(path)
+    # one name a check
+    found = {r.check_name for r in results.filter("failing_rows > 0").select("check_name").collect()}
+    evidence = Q.failing_rows(rows, [c for c in checks if c.name in found], table, keys)
+    TB.replace_table(evidence, f"{lake.path('silver', 'quality_failures')}/run={run}/checked={table}")
     Q.require_passed(results)
     return results
 
@@ -78,9 +84,10 @@ def build_star(spark: SparkSession, lake: Lake, version: int, run: str, *, start
     for name, (key, business_key) in DIMENSIONS.items():
         written[name] = TB.upsert_dimension(spark, rows[name], lake.path("gold", name), [key], version)
         found.append(_gate(lake, run, name, written[name], Q.dimension_checks(key, business_key), [business_key]))
-    fact = durable(ST.fact_production(production, start, end))
+    # keys and measures of the stored table, month by month: cheaper to read again than to write
+    fact = ST.fact_production(production, start, end)
     found.append(_gate(lake, run, "fact_production", fact, Q.fact_checks(*written.values()), ["production_key"]))
-    PB.upsert_periods(spark, fact, lake.path("gold", "fact_production"), ["production_key"])
+    PB.upsert_periods(spark, fact, lake.path("gold", "fact_production"), ["production_key"], stored=True, by_period=True)
     return reduce(DataFrame.unionByName, found)
 
 
@@ -126,7 +133,7 @@ def build_features(spark: SparkSession, lake: Lake, version: int, run: str, cuto
     # stored once: the check counts these rows and the evidence lists them
     audited = [*Q.feature_checks(), Q.absent_from("point_in_time", IN.KEYS, durable(leaked))]
     found = _gate(lake, run, "well_features", rows, audited, IN.KEYS)
-    staged = PB.stage(spark, rows, stored.path, "as_of_date", ["well_id"], change and change.removed)
+    staged = PB.stage(spark, rows, stored.path, "as_of_date", ["well_id"], change and change.removed, stored=True)
     PB.publish(spark, replace(staged, made_from=f"{state.version}/{version}"))
     return found
 

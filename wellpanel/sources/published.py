@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellpanel.session import durable
+from wellpanel.session import STORED, durable
 from wellpanel.sources.tables import merge_by_key, read_table
 
 NO_PERIOD = "__HIVE_DEFAULT_PARTITION__"
@@ -85,27 +85,32 @@ def read_current(spark: SparkSession, path: str, period: str = "production_month
 
 
 def stage(spark: SparkSession, batch: DataFrame, path: str, period: str = "production_month", keys: list[str] | None = None,
-          removed: DataFrame | None = None) -> Snapshot:
+          removed: DataFrame | None = None, *, stored: bool = False, by_period: bool = False) -> Snapshot:
     """Write what ``batch`` changes beside the table and return the table it would make; nothing is published.
 
     Without ``keys`` every period in the batch is replaced whole; with them, rows of the same key are replaced within
     the periods the batch touches (the period must be a function of the key) and the other rows stay, but for
     those whose key and period ``removed`` lists.  Periods that neither names keep their files and are not opened.
+
+    A batch is read several times.  ``stored`` says that it is a stored table, or columns computed from one, and need not
+    be written for that; ``by_period``, that its files are those of single periods, so that a batch without rows to merge
+    with is written as it is read, without a shuffle.
     """
     before = current(spark, path, period)
     version = before.version + 1
     folder = f"{path}/batches/batch={version:06d}"
     rows, touched = batch, set()
     if keys is not None:
-        batch = durable(batch)
+        batch = batch if stored else durable(batch)
         periods = batch.select(period) if removed is None else batch.select(period).union(removed.select(period))
         touched = {r[0] or NO_PERIOD for r in periods.select(F.col(period).cast("string")).distinct().collect()}  # calendar periods
-        stored = read(spark, before, touched)
-        if stored is not None and removed is not None:
-            stored = stored.join(removed.select(*keys, period), [*keys, period], "left_anti")
-        rows = batch if stored is None else merge_by_key(stored, batch, [*keys, period])
+        kept = read(spark, before, touched)
+        if kept is not None and removed is not None:
+            kept = kept.join(removed.select(*keys, period), [*keys, period], "left_anti")
+        rows = batch if kept is None else merge_by_key(kept, batch, [*keys, period])
     # a leftover of an attempt that was never published is overwritten; the rebalance splits a period that is most of it
-    rows.hint("rebalance", period).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(period).parquet(folder)
+    dealt = rows if by_period and rows is batch else rows.hint("rebalance", period)
+    dealt.write.options(**STORED).mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(period).parquet(folder)
     written = read_table(spark, folder)
     values = set() if written is None else {r[0] or NO_PERIOD for r in written.select(F.col(period).cast("string")).distinct().collect()}
     kept = [(v, b) for v, b in before.batches if v not in values | touched]
@@ -124,9 +129,10 @@ def replace_periods(spark: SparkSession, batch: DataFrame, path: str, period: st
     publish(spark, stage(spark, batch, path, period))
 
 
-def upsert_periods(spark: SparkSession, batch: DataFrame, path: str, keys: list[str], period: str = "production_month") -> None:
-    """Upsert by key, visible at one moment."""
-    publish(spark, stage(spark, batch, path, period, keys))
+def upsert_periods(spark: SparkSession, batch: DataFrame, path: str, keys: list[str], period: str = "production_month", *,
+                   stored: bool = False, by_period: bool = False) -> None:
+    """Upsert by key, visible at one moment; ``stored`` and ``by_period`` as in :func:`stage`."""
+    publish(spark, stage(spark, batch, path, period, keys, stored=stored, by_period=by_period))
 
 
 def _children(spark: SparkSession, folder: str) -> list[str]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wellpanel.functions.columns import strict
 from wellpanel.schema import FEATURE_CONTRACT, MEASURE
-from wellpanel.session import durable
+from wellpanel.session import STORED, durable
 
 #: One namespace per layer.
 LAYERS = ("bronze", "silver", "gold", "features")
@@ -46,7 +46,7 @@ def read_periods(spark: SparkSession, path: str, batch: DataFrame, period: str)
 
 def replace_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Full refresh. ``df`` must not read from ``path``."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer = df.write.options(**STORED).mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
@@ -66,7 +66,8 @@ def replace_periods(batch: DataFrame, path: str, period: str = "production_month
     """
     (
         batch.hint("rebalance", period)
-        .write.mode("overwrite")
+        .write.options(**STORED)
+        .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(period)
         .parquet(path)
@@ -99,7 +100,7 @@ def upsert_periods(
 def write_version(df: DataFrame, path: str, version: int) -> str:
     """A new immutable copy below ``path``; readers keep the previous one meanwhile."""
     target = f"{path}/version={version:06d}"
-    df.write.mode("overwrite").parquet(target)
+    df.write.options(**STORED).mode("overwrite").parquet(target)
     return target
 
 
